@@ -6,13 +6,14 @@ that orders clicks of the same instant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.functions.scalars import format_date
 from clickweave.plans.skew import HotKeys, find_hot_keys, spread_join
 
 DEFAULT_THRESHOLD = 100
+WINDOW_MINUTES = 60
 
 
 def user_daily(clicks: DataFrame) -> DataFrame:
@@ -99,16 +100,26 @@ def minute_trend(clicks: DataFrame) -> DataFrame:
 
 
 def hour_sliding(clicks: DataFrame) -> DataFrame:
-    """Clicks per ad in every 60-minute window that starts on a minute.
+    """Clicks per ad in every 60-minute window that starts on a minute and holds a click.
 
-    Windows start on minute boundaries, so the minute counts are unfolded into their 60 windows
-    instead of the clicks.
+    Instead of repeating counts once per window, each minute with clicks is followed by empty minutes
+    up to the next one (at most 59), which are exactly the ends of the windows to report; a range
+    frame adds up the hour before each end. The rows of one ad are bounded by the minutes of the
+    calendar, not by its clicks.
     """
-    window = F.window("minute", "60 minutes", "1 minute")
-    return minute_counts(clicks).groupBy(window.alias("window"), "adid").agg(
-        F.sum("clickCount").alias("clickCount")
-    ).select(
-        F.date_format("window.start", "yyyyMMddHHmm").alias("window_start"),
-        F.date_format("window.end", "yyyyMMddHHmm").alias("window_end"),
-        "adid", "clickCount",
-    )
+    by_ad = Window.partitionBy("adid").orderBy("at")
+    counts = minute_counts(clicks).select(
+        "adid", "clickCount", F.expr("unix_timestamp(minute) div 60").alias("at"))
+    limit = F.col("at") + WINDOW_MINUTES
+    ends = counts.withColumn("next_at", F.lead("at").over(by_ad)).select(
+        "*", F.explode(F.sequence(F.col("at"), F.least("next_at", limit) - 1)).alias("end"))
+    last_hour = Window.partitionBy("adid").orderBy("end").rangeBetween(1 - WINDOW_MINUTES, 0)
+    own = F.when(F.col("end") == F.col("at"), F.col("clickCount")).otherwise(0)
+
+    def text(minute: Column) -> Column:
+        return F.date_format(F.timestamp_seconds(minute * 60), "yyyyMMddHHmm")
+
+    end = F.col("end") + 1
+    return ends.withColumn("own", own).select(
+        text(end - WINDOW_MINUTES).alias("window_start"), text(end).alias("window_end"),
+        "adid", F.sum("own").over(last_hour).alias("clickCount"))

@@ -34,11 +34,13 @@ def next_pages(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         F.lead("event_id").over(order).isNull().alias("closes"),
         F.first("page_id").over(order).alias("first_page_id"),
     )
-    crossing = F.col("closes") & hot.is_hot()
+    # Written as a sum so that neither part is pushed below the window: both branches then read the
+    # same shuffle instead of scanning the actions twice.
+    flags = F.col("closes").cast("int") + hot.is_hot().cast("int")
     minutes = Window.partitionBy("session_id").orderBy("minute")
-    last_of_minute = linked.where(crossing).withColumn(
+    last_of_minute = linked.where(flags == 2).withColumn(
         "next_page_id", F.lead("first_page_id").over(minutes))
-    return linked.where(~crossing).select(*result).unionByName(last_of_minute.select(*result))
+    return linked.where(flags < 2).select(*result).unionByName(last_of_minute.select(*result))
 
 
 def page_pairs(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -54,6 +56,8 @@ def page_flow(next_page_rows: DataFrame, flow: Sequence[int]) -> DataFrame:
     counts come from one pass with a counter per step, so nothing but those counters is shuffled.
     """
     page, following = F.col("page_id"), F.col("next_page_id")
+    if not flow:
+        raise ValueError("the target page flow is empty")
     steps = list(zip(flow[:-1], flow[1:]))
     counted = next_page_rows.where(page.isin(sorted(set(flow)))).agg(
         F.count_if(page == flow[0]).alias("n0"),

@@ -153,35 +153,31 @@ def sample_sessions(kept: DataFrame, total: int = 100, seed: str = "42", pieces:
 
     Every date gets ``total div dates`` sessions, shared over its hours in proportion to their
     sessions. Within an hour the sessions with the smallest ``md5(seed + session_id)`` are taken, so
-    the sample is repeatable. No hour's quota exceeds ``total``; hence the first ``total`` sessions
-    of each piece of an hour contain the answer and only those meet in the final ranking. Counts of
-    the pieces come from the same pass.
+    the sample is repeatable. No hour's quota exceeds ``total``, hence the first ``total`` sessions of
+    each piece of an hour contain the answer and only those meet in the final ranking.
+
+    ``kept`` is used twice, for the counts and for the ranking; both uses share its session shuffle.
     """
-    candidates = kept.select(
-        *_date_and_hour(), "session_id", "start_ts",
-        F.md5(F.concat(F.lit(seed), F.col("session_id")).cast("binary")).alias("pick"),
-        F.pmod(F.xxhash64("session_id"), F.lit(pieces)).cast("int").alias("piece"),
-    )
-    in_piece = Window.partitionBy("date", "hour", "piece")
-    ranked = candidates.select(
-        "*",
-        F.row_number().over(in_piece.orderBy("pick", "session_id")).alias("rank_in_piece"),
-        F.count("*").over(in_piece).alias("sessions_in_piece"),
-    ).where(F.col("rank_in_piece") <= total)
-
-    # At most 24 rows per date from here on, so windows over all of it stay small.
-    hours = ranked.where(F.col("rank_in_piece") == 1).groupBy("date", "hour").agg(
-        F.sum("sessions_in_piece").alias("hour_sessions"))
+    # At most 24 rows per date, so a window over all of them stays small.
     everything = Window.partitionBy(F.lit(1))
-    quotas = hours.select(
-        "date", "hour", "hour_sessions",
-        F.sum("hour_sessions").over(Window.partitionBy("date")).alias("date_sessions"),
+    quotas = session_hour_counts(kept).select(
+        "date", "hour", F.col("session_count").alias("hour_sessions"),
+        F.sum("session_count").over(Window.partitionBy("date")).alias("date_sessions"),
         F.size(F.collect_set("date").over(everything)).alias("dates"),
     ).select(
         "date", "hour",
         F.expr(f"(hour_sessions * ({int(total)} div dates)) div date_sessions").alias("quota"),
     ).where(F.col("quota") > 0)
 
+    candidates = kept.select(
+        *_date_and_hour(), "session_id", "start_ts",
+        F.md5(F.concat(F.lit(seed), F.col("session_id")).cast("binary")).alias("pick"),
+        F.pmod(F.xxhash64("session_id"), F.lit(pieces)).cast("int").alias("piece"),
+    )
+    in_piece = Window.partitionBy("date", "hour", "piece").orderBy("pick", "session_id")
+    ranked = candidates.withColumn("rank_in_piece", F.row_number().over(in_piece)).where(
+        F.col("rank_in_piece") <= total)
+
     in_hour = Window.partitionBy("date", "hour").orderBy("pick", "session_id")
     return (
         ranked.join(quotas, ["date", "hour"])

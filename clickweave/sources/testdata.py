@@ -29,15 +29,23 @@ def _only(event_type: str, value: Column, otherwise: Column | None = None) -> Co
     return chosen if otherwise is None else chosen.otherwise(otherwise)
 
 
+def _chosen(index: Column, values: tuple[int, ...]) -> Column:
+    """The value at ``index``; the last one is the default."""
+    chosen = F.lit(values[-1])
+    for i, value in enumerate(values[:-1]):
+        chosen = F.when(index == i, F.lit(value)).otherwise(chosen)
+    return chosen
+
+
 def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, event, k = F.col("user_id"), F.col("event_id"), F.col("k")
     # Days a session may span by user, and seconds of the hour its actions fall in.
-    days = F.element_at(F.array(*map(F.lit, (1, 5, 30))), (user % 3 + 1).cast("int"))
-    spans = F.element_at(
-        F.array(*map(F.lit, (4, 8, 12, 45, 90, 400, 1200, 3500))), (user % 8 + 1).cast("int"))
-    day_index = (F.floor((F.day("ts") - 1) / days) * days).cast("int")
+    days = _chosen(user % 3, (1, 5, 30))
+    spans = _chosen(user % 8, (4, 8, 12, 45, 90, 400, 1200, 3500))
+    day = F.day("ts") - 1
+    day_index = day - day % days
     second = (event * 37 % spans).cast("int")
-    minute_text = F.lpad(F.floor(second / 60).cast("int").cast("string"), 2, "0")
+    minute_text = F.lpad(((second - second % 60) / 60).cast("int").cast("string"), 2, "0")
     second_text = F.lpad((second % 60).cast("string"), 2, "0")
     product = event * 31 % 50
 

@@ -1,0 +1,101 @@
+"""A key with a third of all rows: same results, and plans that spread it."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickweave.operators import ads, pageflow, sessions
+from clickweave.plans.skew import HotKeys, find_hot_keys, spread_join
+from clickweave.sources import testdata
+from clickweave.sources.warehouse import load_actions
+
+COLD_SESSION, COLD_USER = HotKeys("session_id"), HotKeys("userid")
+
+
+def bag(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def actions(spark, oracle_dir):
+    """A third of the actions moved into one session, another part without a session."""
+    all_actions = load_actions(testdata.user_visit_action(spark, oracle_dir))
+    session = F.when(F.col("event_id") % 3 == 0, "hot").when(
+        F.col("event_id") % 7 != 0, F.col("session_id"))
+    return all_actions.withColumn("session_id", session)
+
+
+@pytest.fixture(scope="module")
+def clicks(spark, oracle_dir):
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("userid"))
+    return testdata.ad_click(spark, oracle_dir).withColumn("userid", user)
+
+
+def test_probe_finds_the_heavy_keys(actions):
+    hot = find_hot_keys(actions, "session_id", min_rows=100)
+    assert [values for _, values in hot.by_fanout] == [("hot",)]
+    assert hot.by_fanout[0][0] >= 2
+    assert not find_hot_keys(actions, "session_id")
+    nulls = find_hot_keys(actions.withColumn("session_id", F.lit(None).cast("string")), "session_id", 100)
+    assert nulls.null_fanout > 1 and not nulls.by_fanout
+
+
+def test_probe_limits_what_it_returns(spark):
+    df = spark.range(1000).select((F.col("id") % 500).alias("k"))
+    assert not find_hot_keys(df, "k", min_rows=1)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join_equals_plain_join(spark, actions, how):
+    right = actions.where(F.col("event_id") % 2 == 0).groupBy("session_id").agg(F.count("*").alias("n"))
+    left = actions.select("session_id", "event_id")
+    hot = HotKeys("session_id", ((8, ("hot",)),), null_fanout=4)
+    spread = spread_join(left, right, hot, how, ["event_id"])
+    plain = spread_join(left, right, COLD_SESSION, how, ["event_id"])
+    assert bag(spread.select(*plain.columns)) == bag(plain)
+
+
+def test_heavy_key_reaches_many_pieces(actions):
+    hot = HotKeys("session_id", ((8, ("hot",)),), null_fanout=4)
+    pieces = actions.groupBy("session_id").agg(F.count_distinct(hot.salt("event_id")).alias("n"))
+    found = {r["session_id"]: r["n"] for r in pieces.collect()}
+    assert found["hot"] == 8 and found[None] == 4
+    assert all(n == 1 for s, n in found.items() if s not in ("hot", None))
+
+
+def test_filtered_actions_with_a_heavy_session(spark, actions, oracle_dir):
+    kept = actions.where(F.col("city_id") % 2 == 0).select("session_id").distinct()
+    hot = find_hot_keys(actions, "session_id", min_rows=100)
+    assert bag(sessions.filtered_actions(actions, kept, hot).select("event_id")) == bag(
+        sessions.filtered_actions(actions, kept, COLD_SESSION).select("event_id"))
+
+
+def test_next_pages_with_a_heavy_session(actions):
+    hot = HotKeys("session_id", ((4, ("hot",)),), null_fanout=2)
+    cut, plain = pageflow.next_pages(actions, hot), pageflow.next_pages(actions, COLD_SESSION)
+    assert bag(cut) == bag(plain)
+    assert bag(pageflow.page_flow(cut, (1, 2, 3))) == bag(pageflow.page_flow(plain, (1, 2, 3)))
+
+
+def test_cut_session_is_scanned_once(actions):
+    hot = HotKeys("session_id", ((4, ("hot",)),))
+    df = pageflow.next_pages(actions, hot)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("threshold", [1, 3, 7, 50])
+def test_accepted_clicks_with_a_heavy_user(clicks, threshold):
+    hot = HotKeys("userid", ((8, (7,)),))
+    assert bag(ads.accepted_clicks(clicks, threshold, hot).select("event_id")) == bag(
+        ads.accepted_clicks(clicks, threshold, COLD_USER).select("event_id"))
+
+
+def test_without_blacklisted_with_a_heavy_user(clicks):
+    hot = HotKeys("userid", ((8, (7,)),))
+    for listed in (7, 8):
+        blacklisted = clicks.where(F.col("userid") == listed).select("userid")
+        assert bag(ads.without_blacklisted(clicks, blacklisted, hot).select("event_id")) == bag(
+            ads.without_blacklisted(clicks, blacklisted, COLD_USER).select("event_id"))
