@@ -14,9 +14,9 @@ def next_pages(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Every action with the page that follows it in its session (null for the last one).
 
     An ordinary session is one window group. A session with more rows than a task should sort is cut
-    into minutes: inside a minute the next page comes from the same window; the last action of a
-    minute takes the first page of the session's next non-empty minute, from a second window over one
-    row per minute.
+    into seconds: inside a second the next page comes from the same window; the last action of a
+    second takes the first page of the session's next non-empty second, from a second window over one
+    row per second. Its size is bounded by the length of the period, not by the actions in it.
     """
     hot = find_hot_keys(actions, "session_id") if hot is None else hot
     rows = actions.select("session_id", "action_ts", "event_id", "page_id")
@@ -26,8 +26,8 @@ def next_pages(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         order = Window.partitionBy("session_id").orderBy(*in_order)
         return rows.withColumn("next_page_id", F.lead("page_id").over(order)).select(*result)
 
-    rows = rows.withColumn("minute", F.when(hot.is_hot(), F.date_trunc("minute", "action_ts")))
-    order = Window.partitionBy("session_id", "minute").orderBy(*in_order)
+    rows = rows.withColumn("slice", F.when(hot.is_hot(), F.date_trunc("second", "action_ts")))
+    order = Window.partitionBy("session_id", "slice").orderBy(*in_order)
     linked = rows.select(
         "*",
         F.lead("page_id").over(order).alias("next_page_id"),
@@ -37,10 +37,9 @@ def next_pages(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     # Written as a sum so that neither part is pushed below the window: both branches then read the
     # same shuffle instead of scanning the actions twice.
     flags = F.col("closes").cast("int") + hot.is_hot().cast("int")
-    minutes = Window.partitionBy("session_id").orderBy("minute")
-    last_of_minute = linked.where(flags == 2).withColumn(
-        "next_page_id", F.lead("first_page_id").over(minutes))
-    return linked.where(flags < 2).select(*result).unionByName(last_of_minute.select(*result))
+    slices = Window.partitionBy("session_id").orderBy("slice")
+    closing = linked.where(flags == 2).withColumn("next_page_id", F.lead("first_page_id").over(slices))
+    return linked.where(flags < 2).select(*result).unionByName(closing.select(*result))
 
 
 def page_pairs(actions: DataFrame, hot: HotKeys | None = None) -> DataFrame:

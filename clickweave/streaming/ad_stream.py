@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,6 @@ class AdTables:
         )
 
 
-def _date_range(rows: DataFrame) -> tuple[str | None, str | None]:
-    first = rows.agg(F.min("date").alias("low"), F.max("date").alias("high")).first()
-    return first["low"], first["high"]
-
-
 def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
                   threshold: int = ads.DEFAULT_THRESHOLD, k: int = 3, probe_skew: bool = False) -> None:
     """One micro-batch of lines.
@@ -60,34 +56,47 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     user whose count of the day on one ad reaches ``threshold`` is blacklisted for the following
     batches. Province leaders are recomputed for the (date, province) groups the batch touches.
 
-    Only aggregates are written, so each step costs the size of the batch plus the touched dates.
+    Only aggregates are written, so each step costs the size of the batch plus the touched dates. The
+    first write fills the cache of accepted clicks; the steps after it are independent jobs and run
+    side by side.
     """
     spark = lines.sparkSession
-    ad_rejects(lines).write.mode("overwrite").text(f"{tables.rejects}/batch_id={batch_id}")
+    after = batch_id + 1
     clicks = ad_parse(lines)
     hot = find_hot_keys(clicks, "userid") if probe_skew else HotKeys("userid")
     accepted = ads.without_blacklisted(clicks, tables.blacklist.read(spark, batch_id), hot)
     accepted = accepted.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def save_rejects() -> None:
+        ad_rejects(lines).write.mode("overwrite").text(f"{tables.rejects}/batch_id={batch_id}")
+
+    def save_trend() -> None:
+        tables.trend.write(ads.minute_trend(accepted), batch_id)
+
+    def save_blacklist() -> None:
+        totals = tables.user_counts.read(spark, after, low, high).join(
+            counted.select("date", "userid", "adid"), ["date", "userid", "adid"], "left_semi")
+        listed = ads.blacklist(totals, threshold)
+        known = tables.blacklist.read(spark, batch_id)
+        tables.blacklist.write(listed.join(known, "userid", "left_anti"), batch_id)
+
+    def save_places() -> None:
+        tables.city_counts.write(ads.city_daily(accepted), batch_id)
+        touched = tables.city_counts.read_batch(spark, batch_id).select("date", "province").distinct()
+        current = tables.city_counts.read(spark, after, low, high).join(touched, ["date", "province"], "left_semi")
+        tables.province_top.write(ads.province_top(ads.province_daily(current), k), batch_id)
+
     try:
         tables.user_counts.write(ads.user_daily(accepted), batch_id)
-        tables.city_counts.write(ads.city_daily(accepted), batch_id)
-        tables.trend.write(ads.minute_trend(accepted), batch_id)
-        low, high = _date_range(accepted.select(format_date(F.col("ts")).alias("date")))
+        counted = tables.user_counts.read_batch(spark, batch_id)
+        low, high = counted.agg(F.min("date"), F.max("date")).first()
+        steps = (save_blacklist, save_places, save_trend, save_rejects)
+        with ThreadPoolExecutor(len(steps)) as pool:
+            for done in [pool.submit(step) for step in steps]:
+                done.result()
     finally:
         accepted.unpersist()
 
-    # From here on the batch is read back from what it has just written.
-    after = batch_id + 1
-    counted = tables.user_counts.read_batch(spark, batch_id)
-    totals = tables.user_counts.read(spark, after, low, high).join(
-        counted.select("date", "userid", "adid"), ["date", "userid", "adid"], "left_semi")
-    listed = ads.blacklist(totals, threshold).join(tables.blacklist.read(spark, batch_id), "userid", "left_anti")
-    tables.blacklist.write(listed, batch_id)
-
-    touched = tables.city_counts.read_batch(spark, batch_id).select("date", "province").distinct()
-    current = tables.city_counts.read(spark, after, low, high).join(touched, ["date", "province"], "left_semi")
-    tables.province_top.write(ads.province_top(ads.province_daily(current), k), batch_id)
-
 
 def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
     shared = given or spark.conf.get("spark.checkpoint.dir", None)

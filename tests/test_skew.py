@@ -99,3 +99,29 @@ def test_without_blacklisted_with_a_heavy_user(clicks):
         blacklisted = clicks.where(F.col("userid") == listed).select("userid")
         assert bag(ads.without_blacklisted(clicks, blacklisted, hot).select("event_id")) == bag(
             ads.without_blacklisted(clicks, blacklisted, COLD_USER).select("event_id"))
+
+
+def test_user_with_many_sessions_is_split_at_run_time(spark, actions, oracle_dir):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    one_user = actions.withColumn("session_id", F.col("event_id").cast("string")).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(8)).otherwise(F.col("user_id")))
+    profile = sessions.session_profile(sessions.session_spans(one_user), testdata.user_info(spark, oracle_dir))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        split = profile.select("session_id", "age")
+        got = bag(split)
+        plan = split._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "skew=true" in plan
+    assert got == bag(profile.select("session_id", "age"))
