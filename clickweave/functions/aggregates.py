@@ -21,7 +21,6 @@ def group_concat_distinct(df: DataFrame, keys: list[str], value: Column, name: s
     return distinct.groupBy(*keys).agg(F.array_join(sorted_set(F.col(name)), sep).alias(name))
 
 
-def count_between(col: Column, low: int, high: int | None) -> Column:
-    """Number of rows with ``low <= col <= high``; ``high=None`` is open."""
-    inside = col >= low if high is None else col.between(low, high)
-    return F.count_if(inside)
+def count_between(column: str, low: int, high: int | None) -> Column:
+    """Number of rows with ``low <= column <= high``; ``high=None`` is open."""
+    return F.expr(f"count_if({column} >= {low})" if high is None else f"count_if({column} BETWEEN {low} AND {high})")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.functions.aggregates import count_between, sorted_set
-from clickweave.functions.scalars import format_double, format_time, seconds_between
+from clickweave.functions.scalars import format_time, seconds_between
 from clickweave.params import TaskParams
 from clickweave.plans.skew import HotKeys, find_hot_keys, spread_join
 from clickweave.schemas import STEP_BUCKETS, VISIT_BUCKETS
@@ -126,17 +126,16 @@ def filtered_actions(actions: DataFrame, kept: DataFrame, hot: HotKeys | None =
 
 def session_buckets(kept: DataFrame) -> DataFrame:
     """Number of sessions, and of sessions per visit-length and step-length bucket (one row)."""
-    visit = [count_between(F.col("visit_length"), lo, hi).alias(name) for name, lo, hi in VISIT_BUCKETS]
-    step = [count_between(F.col("step_length"), lo, hi).alias(name) for name, lo, hi in STEP_BUCKETS]
+    visit = [count_between("visit_length", lo, hi).alias(name) for name, lo, hi in VISIT_BUCKETS]
+    step = [count_between("step_length", lo, hi).alias(name) for name, lo, hi in STEP_BUCKETS]
     return kept.agg(F.count("*").alias("session_count"), *visit, *step)
 
 
 def session_ratios(buckets: DataFrame) -> DataFrame:
     """Bucket counts as shares of all sessions, half-up to two places; 0.0 when there is no session."""
-    total = F.greatest(F.col("session_count"), F.lit(1))
-    names = [name for name, _, _ in VISIT_BUCKETS + STEP_BUCKETS]
-    return buckets.select(
-        "session_count", *[format_double(F.col(n) / total).alias(f"{n}_ratio") for n in names])
+    return buckets.selectExpr("session_count", *[
+        f"round({name} / greatest(session_count, 1), 2) AS {name}_ratio"
+        for name, _, _ in VISIT_BUCKETS + STEP_BUCKETS])
 
 
 def _date_and_hour() -> list[Column]:

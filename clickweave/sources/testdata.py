@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from clickweave.functions.scalars import json_field
+from pyspark.sql import DataFrame, SparkSession
 
 FIRST_DAY = "2024-01-01"
 # Area levels for the regions that stand in for sales areas.
@@ -16,103 +13,78 @@ REGION_LEVELS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _code() -> Column:
-    return json_field(F.col("props"), "k").cast("int")
+# Columns of the tables read here; a declared schema saves the job that would infer it.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
-def _only(event_type: str, value: Column, otherwise: Column | None = None) -> Column:
-    chosen = F.when(F.col("event_type") == event_type, value)
-    return chosen if otherwise is None else chosen.otherwise(otherwise)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _chosen(index: Column, values: tuple[int, ...]) -> Column:
-    """The value at ``index``; the last one is the default."""
-    chosen = F.lit(values[-1])
-    for i, value in enumerate(values[:-1]):
-        chosen = F.when(index == i, F.lit(value)).otherwise(chosen)
-    return chosen
+# Days a session may span by user, and seconds of the hour its actions fall in.
+_DAYS = "CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 30 END"
+_SPAN = ("CASE user_id % 8 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3 THEN 45 WHEN 4 THEN 90 "
+         "WHEN 5 THEN 400 WHEN 6 THEN 1200 ELSE 3500 END")
+_CODE = "CAST(get_json_object(props, '$.k') AS INT)"
 
 
 def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    user, event, k = F.col("user_id"), F.col("event_id"), F.col("k")
-    # Days a session may span by user, and seconds of the hour its actions fall in.
-    days = _chosen(user % 3, (1, 5, 30))
-    spans = _chosen(user % 8, (4, 8, 12, 45, 90, 400, 1200, 3500))
-    day = F.day("ts") - 1
-    day_index = day - day % days
-    second = (event * 37 % spans).cast("int")
-    minute_text = F.lpad(((second - second % 60) / 60).cast("int").cast("string"), 2, "0")
-    second_text = F.lpad((second % 60).cast("string"), 2, "0")
-    product = event * 31 % 50
-
-    events = table(spark, sf_dir, "events").withColumn("k", _code())
-    events = events.withColumn("date", F.date_add(F.lit(FIRST_DAY).cast("date"), day_index).cast("string"))
-    return events.select(
-        "date", "user_id",
-        F.concat(user, F.lit("_"), F.col("date")).alias("session_id"),
-        (k % 10).cast("bigint").alias("page_id"),
-        F.concat(F.col("date"), F.lit(" "), user % 23, F.lit(":"), minute_text, F.lit(":"), second_text)
-        .alias("action_time"),
-        _only("view", F.concat(F.lit("kw"), k % 10)).alias("search_keyword"),
-        _only("click", k, F.lit(-1)).cast("bigint").alias("click_category_id"),
-        _only("click", product, F.lit(-1)).cast("bigint").alias("click_product_id"),
-        _only("signup", F.concat(k, F.lit(","), (k * 3 + 1) % 100)).alias("order_category_ids"),
-        _only("signup", product.cast("string")).alias("order_product_ids"),
-        _only("purchase", F.concat(k, F.lit(","), (k * 7 + 2) % 100)).alias("pay_category_ids"),
-        _only("purchase", product.cast("string")).alias("pay_product_ids"),
-        (event % 25).cast("bigint").alias("city_id"),
-        "event_id",
+    events = table(spark, sf_dir, "events").selectExpr(
+        "user_id", "event_id", "event_type", f"{_CODE} AS k", "event_id * 31 % 50 AS product",
+        f"CAST(event_id * 37 % {_SPAN} AS INT) AS second",
+        f"CAST(date_add(DATE '{FIRST_DAY}', (day(ts) - 1) - (day(ts) - 1) % {_DAYS}) AS STRING) AS date",
+    )
+    return events.selectExpr(
+        "date", "user_id", "concat(user_id, '_', date) AS session_id", "CAST(k % 10 AS BIGINT) AS page_id",
+        "concat(date, ' ', user_id % 23, ':', lpad(CAST(second div 60 AS STRING), 2, '0'), ':', "
+        "lpad(CAST(second % 60 AS STRING), 2, '0')) AS action_time",
+        "CASE WHEN event_type = 'view' THEN concat('kw', k % 10) END AS search_keyword",
+        "CAST(CASE WHEN event_type = 'click' THEN k ELSE -1 END AS BIGINT) AS click_category_id",
+        "CAST(CASE WHEN event_type = 'click' THEN product ELSE -1 END AS BIGINT) AS click_product_id",
+        "CASE WHEN event_type = 'signup' THEN concat(k, ',', (k * 3 + 1) % 100) END AS order_category_ids",
+        "CASE WHEN event_type = 'signup' THEN CAST(product AS STRING) END AS order_product_ids",
+        "CASE WHEN event_type = 'purchase' THEN concat(k, ',', (k * 7 + 2) % 100) END AS pay_category_ids",
+        "CASE WHEN event_type = 'purchase' THEN CAST(product AS STRING) END AS pay_product_ids",
+        "CAST(event_id % 25 AS BIGINT) AS city_id", "event_id",
     )
 
 
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(key % 20 != 19).select(
-        key.alias("user_id"),
-        F.concat(F.lit("user"), key).alias("username"),
-        F.col("c_name").alias("name"),
-        (key * 13 % 60).cast("int").alias("age"),
-        F.concat(F.lit("professional"), key % 100).alias("professional"),
-        F.concat(F.lit("city"), F.col("c_nationkey")).alias("city"),
-        F.when(key % 2 == 0, "male").otherwise("female").alias("sex"),
+    return table(spark, sf_dir, "customer").where("c_custkey % 20 <> 19").selectExpr(
+        "c_custkey AS user_id", "concat('user', c_custkey) AS username", "c_name AS name",
+        "CAST(c_custkey * 13 % 60 AS INT) AS age", "concat('professional', c_custkey % 100) AS professional",
+        "concat('city', c_nationkey) AS city", "CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex",
     )
 
 
 def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.concat(F.lit('{"product_status": '), F.col("p_partkey") % 2, F.lit("}")).alias("extend_info"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id", "p_name AS product_name",
+        """concat('{"product_status": ', p_partkey % 2, '}') AS extend_info""",
     )
 
 
 def city_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nations.join(regions, nations.n_regionkey == regions.r_regionkey).select(
-        F.col("n_nationkey").cast("bigint").alias("city_id"),
-        F.col("n_name").alias("city_name"),
-        F.col("r_name").alias("area"),
-    )
+    return nations.join(regions, nations.n_regionkey == regions.r_regionkey).selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS city_id", "n_name AS city_name", "r_name AS area")
 
 
 def ad_click(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = (F.col("event_id") % 10).cast("string")
-    return table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        place.alias("province"), place.alias("city"),
-        (F.col("user_id") % 50).alias("userid"),
-        (_code() % 3).cast("bigint").alias("adid"),
-        "event_id",
+    return table(spark, sf_dir, "events").selectExpr(
+        "CAST(ts AS TIMESTAMP) AS ts", "CAST(event_id % 10 AS STRING) AS province",
+        "CAST(event_id % 10 AS STRING) AS city", "user_id % 50 AS userid",
+        f"CAST({_CODE} % 3 AS BIGINT) AS adid", "event_id",
     )
 
 
 def ad_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad_click(spark, sf_dir).select(
-        F.concat_ws(" ", F.unix_millis("ts").cast("string"), "province", "city",
-                    F.col("userid").cast("string"), F.col("adid").cast("string")).alias("value"),
-        "ts",
-    )
+    return ad_click(spark, sf_dir).selectExpr(
+        "concat_ws(' ', unix_millis(ts), province, city, userid, adid) AS value", "ts")

@@ -34,8 +34,8 @@ AREA_LEVELS = {
 def typed(df: DataFrame, ddl: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """The columns of ``ddl`` cast to its types, plus any of ``extra`` that exist."""
     fields = [f.strip().split(" ") for f in ddl.split(",")]
-    wanted = [F.col(name).cast(kind).alias(name) for name, kind in fields]
-    return df.select(*wanted, *[c for c in extra if c in df.columns])
+    kept = [c for c in extra if c in df.columns]
+    return df.selectExpr(*[f"CAST({name} AS {kind}) AS {name}" for name, kind in fields], *kept)
 
 
 def load_actions(df: DataFrame) -> DataFrame:

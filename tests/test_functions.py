@@ -87,7 +87,7 @@ def test_distinct_concatenation_keeps_contained_values(spark):
 
 def test_bucket_bounds_are_inclusive(spark):
     df = spark.range(10)
-    row = df.agg(count_between(F.col("id"), 3, 5), count_between(F.col("id"), 8, None)).first()
+    row = df.agg(count_between("id", 3, 5), count_between("id", 8, None)).first()
     assert tuple(row) == (3, 2)
 
 
