@@ -33,9 +33,9 @@ class AdTables:
     rejects: str
 
     @classmethod
-    def under(cls, root: str, segment_batches: int = 720) -> AdTables:
+    def under(cls, root: str, fan_in: int = 100) -> AdTables:
         def table(name, schema, merge, keys, partition="date"):
-            return StreamTable(f"{root}/{name}", schema, merge, keys, partition, segment_batches)
+            return StreamTable(f"{root}/{name}", schema, merge, keys, partition, fan_in)
 
         return cls(
             user_counts=table("ad_user_click_count", schemas.AD_USER_CLICK_COUNT, "added",

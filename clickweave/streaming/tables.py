@@ -1,6 +1,6 @@
 """Result tables that a stream updates by key.
 
-Every micro-batch writes its own directory, ``batches/batch_id=<n>``, by overwrite, and reads only
+Every micro-batch writes its own directory, ``level=0/unit=<batch id>``, by overwrite, and reads only
 directories of earlier batches. A batch that is run again after a failure therefore sees the same
 input and replaces its own output. Rows of one key are merged when the table is read:
 
@@ -9,9 +9,10 @@ input and replaces its own output. Rows of one key are merged when the table is
 * ``group``      all rows of a group are replaced by those of the newest batch that has the group,
 * ``distinct``   keys are kept once (insert of new keys).
 
-After every ``segment_batches`` batches their directories are merged into one segment, so a read
-touches few directories and a merge costs no more late in the life of a stream than early. A table
-belongs to the checkpoint of one query: batch numbers must not start again on an old table.
+``fan_in`` directories of one level are merged into one of the next, so a read lists at most
+``fan_in`` directories per level and a row is rewritten once per level, however old the stream is.
+Which directories make up the table follows from the batch number alone. A table belongs to the
+checkpoint of one query: batch numbers must not start again on an old table.
 """
 
 from __future__ import annotations
@@ -31,37 +32,38 @@ class StreamTable:
     merge: str                        # added | latest | group | distinct
     keys: tuple[str, ...]
     partition: str | None = None      # column that splits every directory, e.g. the date
-    segment_batches: int = 720        # an hour of 5-second batches
+    fan_in: int = 100
+
+    def __post_init__(self) -> None:
+        if self.fan_in < 2:
+            raise ValueError("fan_in must be at least 2")
 
     # ---- writing ----
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Rows of one micro-batch; they must hold each key at most once."""
-        if batch_id and batch_id % self.segment_batches == 0:
-            spark = rows.sparkSession
-            merged = self._merged(self._batches(spark, batch_id - self.segment_batches, batch_id))
-            self._save(merged, f"segments/segment={batch_id // self.segment_batches - 1}")
-        self._save(rows.withColumn(VERSION, F.lit(batch_id).cast("bigint")), f"batches/batch_id={batch_id}")
-
-    def _save(self, rows: DataFrame, directory: str) -> None:
+        spark, level, size = rows.sparkSession, 1, self.fan_in
+        while batch_id and batch_id % size == 0:
+            part = size // self.fan_in
+            parts = [(level - 1, i) for i in range((batch_id - size) // part, batch_id // part)]
+            self._save(self._merged(self._load(spark, parts)), level, batch_id // size - 1)
+            level, size = level + 1, size * self.fan_in
+        self._save(rows.withColumn(VERSION, F.lit(batch_id).cast("bigint")), 0, batch_id)
+
+    def _save(self, rows: DataFrame, level: int, unit: int) -> None:
         if self.partition:
             # One writer per key hash, not one file per task and date.
             rows = rows.repartition(*self.keys)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if self.partition:
             writer = writer.partitionBy(self.partition)
-        writer.parquet(f"{self.path}/{directory}")
+        writer.parquet(f"{self.path}/level={level}/unit={unit}")
 
     # ---- reading ----
 
     def read(self, spark: SparkSession, before: int, low: str | None = None, high: str | None = None) -> DataFrame:
         """The table as it was before batch ``before``; ``low``/``high`` bound the partition column."""
-        # Segment i is written by batch (i + 1) * segment_batches, hence there for all later ones.
-        sealed = max(before - 1, 0) // self.segment_batches
-        rows = self._batches(spark, sealed * self.segment_batches, before)
-        if sealed:
-            segments = self._load(spark, "segments", [f"{self.path}/segments"])
-            rows = rows.unionByName(segments.where(F.col("segment") < sealed).select(*rows.columns))
+        rows = self._load(spark, self._units(before))
         if low is not None:
             rows = rows.where(F.col(self.partition) >= low)
         if high is not None:
@@ -70,17 +72,31 @@ class StreamTable:
 
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What one batch has written."""
-        return self._batches(spark, batch_id, batch_id + 1).drop(VERSION)
-
-    def _batches(self, spark: SparkSession, start: int, stop: int) -> DataFrame:
-        directories = [f"{self.path}/batches/batch_id={i}" for i in range(start, stop)]
-        if not directories:
-            return spark.createDataFrame([], f"{self.schema}, {VERSION} bigint")
-        return self._load(spark, "batches", directories).drop("batch_id")
-
-    def _load(self, spark: SparkSession, kind: str, directories: list[str]) -> DataFrame:
-        reader = spark.read.schema(f"{self.schema}, {VERSION} bigint")
-        return reader.option("basePath", f"{self.path}/{kind}").parquet(*directories)
+        return self._load(spark, [(0, batch_id)]).drop(VERSION)
+
+    def _units(self, before: int) -> list[tuple[int, int]]:
+        """(level, unit) directories that hold batches 0 to ``before - 1``, the largest first.
+
+        A merged unit is written by the batch that follows its last one, hence there for every batch
+        after that.
+        """
+        level, size = 0, 1
+        while size * self.fan_in < before:
+            level, size = level + 1, size * self.fan_in
+        units, start = [], 0
+        while level:
+            while start + size < before:
+                units.append((level, start // size))
+                start += size
+            level, size = level - 1, size // self.fan_in
+        return units + [(0, i) for i in range(start, before)]
+
+    def _load(self, spark: SparkSession, units: list[tuple[int, int]]) -> DataFrame:
+        schema = f"{self.schema}, {VERSION} bigint"
+        if not units:
+            return spark.createDataFrame([], schema)
+        paths = [f"{self.path}/level={level}/unit={unit}" for level, unit in units]
+        return spark.read.schema(schema).option("basePath", self.path).parquet(*paths).drop("level", "unit")
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         names = [c for c in rows.columns if c not in self.keys and c != VERSION]

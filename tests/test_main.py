@@ -37,5 +37,5 @@ def test_ad_stream_job(spark, small_dir, tmp_path):
     testdata.ad_line(spark, small_dir).select("value").write.text(str(tmp_path / "in"))
     main(["ad-stream", "--files", str(tmp_path / "in"), "--checkpoint", str(tmp_path / "check"),
           "--output", str(tmp_path / "out"), "--threshold", "7", "--available-now"], spark)
-    written = spark.read.parquet(str(tmp_path / "out" / "ad_stat" / "batches"))
+    written = spark.read.parquet(str(tmp_path / "out" / "ad_stat" / "level=0"))
     assert written.agg({"clickCount": "sum"}).first()[0] == 1000

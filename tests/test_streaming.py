@@ -114,10 +114,10 @@ def run_ads(spark, source, tables, checkpoint, **kwargs):
     assert query.exception() is None
 
 
-def test_blacklist_feedback_over_two_runs_with_segments(spark, lines, tmp_path):
+def test_blacklist_feedback_over_two_runs(spark, lines, tmp_path):
     chunks = busy(lines)
     source, check = tmp_path / "in", str(tmp_path / "check")
-    tables = ad_stream.AdTables.under(str(tmp_path / "out"), segment_batches=2)
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
     run_ads(spark, write_files(source, chunks[:2]), tables, check)
     check_tables(spark, tables, chunks[:2])
     run_ads(spark, write_files(source, chunks[2:], 2), tables, check)
@@ -128,7 +128,7 @@ def test_blacklist_feedback_over_two_runs_with_segments(spark, lines, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, lines, tmp_path):
     chunks = busy(lines)
-    tables = ad_stream.AdTables.under(str(tmp_path / "out"), segment_batches=2)
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
     for i in (0, 1, 1, 2, 2):
         batch = spark.createDataFrame([(v,) for v in chunks[i]], "value string")
         ad_stream.process_batch(batch, i, tables, THRESHOLD, probe_skew=True)
