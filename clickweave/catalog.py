@@ -38,6 +38,14 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+def _query_named(name: str) -> Callable[[Query], Query]:
+    """For queries whose own name is that of an imported function."""
+    def register(fn: Query) -> Query:
+        _QUERIES[name] = fn
+        return fn
+    return register
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -62,17 +70,17 @@ def _text(array: str):
 
 # ---- scans ----------------------------------------------------------------------------------
 
-@_query
+@_query_named("action_scan")
 def action_scan_rows(spark, sf):
     return _actions(spark, sf).select(*_ACTION_COLUMNS)
 
 
-@_query
+@_query_named("action_scan_by_time")
 def action_scan_by_time_rows(spark, sf):
     return action_scan_by_time(_all_actions(spark, sf), PARAMS).select(*_ACTION_COLUMNS)
 
 
-@_query
+@_query_named("area_click_scan")
 def area_click_scan_rows(spark, sf):
     return area_click_scan(_all_actions(spark, sf), PARAMS)
 
@@ -229,7 +237,7 @@ def area_top3(spark, sf):
         testdata.REGION_LEVELS)
 
 
-@_query
+@_query_named("group_concat_distinct")
 def group_concat_distinct_cities(spark, sf):
     city = concat_id_name(F.col("city_id"), F.col("city_name"))
     return group_concat_distinct(area_click_base(spark, sf), ["area"], city, "city_info")
@@ -319,13 +327,3 @@ def kv_field_get(spark, sf):
 def kv_field_set(spark, sf):
     return _packed(spark, sf).select(
         "event_id", kv_set(F.col("packed"), "clickCategoryIds", "0").alias("packed"))
-
-
-# Survey names of the queries whose Python name would hide an imported function.
-for _survey_name, _name in (
-    ("action_scan", "action_scan_rows"),
-    ("action_scan_by_time", "action_scan_by_time_rows"),
-    ("area_click_scan", "area_click_scan_rows"),
-    ("group_concat_distinct", "group_concat_distinct_cities"),
-):
-    _QUERIES[_survey_name] = _QUERIES.pop(_name)
