@@ -17,7 +17,7 @@ from clickweave.sources import ad_lines, warehouse
 from clickweave.streaming.ad_stream import BATCH_INTERVAL, AdTables, start_ad_stream
 from clickweave.streaming.words import running_word_count
 
-BATCH_JOBS = ("session-stat", "session-sample", "session-detail", "top-categories", "top-sessions",
+BATCH_JOBS = ("session-reports", "session-stat", "session-sample", "session-detail", "top-categories", "top-sessions",
               "page-flow", "area-products")
 
 
@@ -26,6 +26,16 @@ def _table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
+def batch_reports(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
+    """Reports of a job by the name of their folder below the output ("" for the output itself)."""
+    if args.job != "session-reports":
+        return {"": batch_report(spark, args)}
+    actions = warehouse.load_actions(_table(spark, args.actions))
+    return jobs.session_reports(
+        actions, warehouse.load_users(_table(spark, args.users)), TaskParams.from_json(args.params),
+        args.task_id or str(uuid.uuid4()), args.total, args.seed, args.shared_folder)
+
+
 def batch_report(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     params = TaskParams.from_json(args.params)
     task_id = args.task_id or str(uuid.uuid4())
@@ -54,11 +64,12 @@ def batch_report(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     raise ValueError(args.job)
 
 
-def _write(report: DataFrame, args: argparse.Namespace) -> None:
+def _write(name: str, report: DataFrame, args: argparse.Namespace) -> None:
     if args.output:
-        sinks.append_parquet(report, args.output)
+        sinks.append_parquet(report, f"{args.output}/{name}".rstrip("/"))
     elif args.jdbc_url:
-        sinks.append_jdbc(report, args.jdbc_url, args.jdbc_table, dict(p.split("=", 1) for p in args.jdbc_option))
+        table = "_".join(part for part in (args.jdbc_table, name) if part)
+        sinks.append_jdbc(report, args.jdbc_url, table, dict(p.split("=", 1) for p in args.jdbc_option))
     else:
         report.show(truncate=False)
 
@@ -98,6 +109,7 @@ def parser() -> argparse.ArgumentParser:
         b.add_argument("--total", type=int, default=100, help="sessions to sample")
         b.add_argument("--seed", default="42")
         b.add_argument("--output", help="Parquet directory to append to; printed when no sink is given")
+        b.add_argument("--shared-folder", help="where session-reports keeps the filtered sessions")
         b.add_argument("--jdbc-url")
         b.add_argument("--jdbc-table")
         b.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
@@ -120,7 +132,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     args = parser().parse_args(argv)
     spark = spark or build_session(f"clickweave-{args.job}")
     if args.job in BATCH_JOBS:
-        _write(batch_report(spark, args), args)
+        for name, report in batch_reports(spark, args).items():
+            _write(name, report, args)
     else:
         _stream(spark, args)
 

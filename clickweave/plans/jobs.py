@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clickweave.operators import areas, categories, pageflow, sessions
 from clickweave.params import TaskParams
+from clickweave.plans.shared import shared_table
 from clickweave.plans.skew import HotKeys
 from clickweave.sources.warehouse import AREA_LEVELS, action_scan, action_scan_by_time, area_click_scan
 
@@ -32,7 +33,10 @@ def session_random_extract(actions: DataFrame, users: DataFrame, params: TaskPar
     """Stratified sample of the filtered sessions with their keywords and clicked categories."""
     scanned = action_scan(actions, params)
     sample = sessions.sample_sessions(sessions.kept_sessions(scanned, users, params), total, seed)
-    listed = sessions.sample_with_lists(scanned, sample, total)
+    return _extract(sessions.sample_with_lists(scanned, sample, total), task_id)
+
+
+def _extract(listed: DataFrame, task_id: str) -> DataFrame:
     return listed.select(
         _task(task_id), F.col("session_id").alias("sessionid"), F.col("start_time").alias("startTime"),
         F.nullif(F.array_join("search_keywords", ","), F.lit("")).alias("searchKeywords"),
@@ -40,6 +44,23 @@ def session_random_extract(actions: DataFrame, users: DataFrame, params: TaskPar
     )
 
 
+def session_reports(actions: DataFrame, users: DataFrame, params: TaskParams, task_id: str,
+                    total: int = 100, seed: str = "42", folder: str | None = None) -> dict[str, DataFrame]:
+    """Distribution and sample in one run: the filtered sessions are computed once and shared.
+
+    They are written to ``folder`` (by default below ``spark.checkpoint.dir``), so losing an executor
+    costs no recomputation; the caller removes the folder when the reports are stored.
+    """
+    scanned = action_scan(actions, params)
+    kept = shared_table(sessions.kept_sessions(scanned, users, params), f"kept_sessions_{task_id}", folder)
+    ratios = sessions.session_ratios(sessions.session_buckets(kept))
+    sample = sessions.sample_sessions(kept, total, seed)
+    return {
+        "session_stat": ratios.select(_task(task_id), "*"),
+        "session_random_extract": _extract(sessions.sample_with_lists(scanned, sample, total), task_id),
+    }
+
+
 def session_detail(actions: DataFrame, users: DataFrame, params: TaskParams, task_id: str,
                    total: int = 100, seed: str = "42") -> DataFrame:
     """All actions of the sampled sessions."""

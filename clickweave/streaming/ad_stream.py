@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -13,6 +13,7 @@ from pyspark.storagelevel import StorageLevel
 from clickweave import schemas
 from clickweave.functions.scalars import format_date
 from clickweave.operators import ads
+from clickweave.plans.shared import shared_folder
 from clickweave.plans.skew import HotKeys, find_hot_keys
 from clickweave.sources.ad_lines import ad_parse, ad_rejects
 from clickweave.streaming.tables import StreamTable
@@ -98,13 +99,6 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
         accepted.unpersist()
 
 
-def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
-    shared = given or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("no checkpoint folder: pass one or set spark.checkpoint.dir")
-    return given or f"{shared}/{name}"
-
-
 def _start(writer: DataStreamWriter, available_now: bool, interval: str) -> StreamingQuery:
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
@@ -116,7 +110,7 @@ def start_ad_stream(lines: DataFrame, tables: AdTables, checkpoint: str | None =
     """Runs ``process_batch`` on a stream of lines; the checkpoint restores offsets after a restart."""
     writer = lines.writeStream.foreachBatch(
         lambda batch, batch_id: process_batch(batch, batch_id, tables, threshold, probe_skew=probe_skew)
-    ).option("checkpointLocation", _checkpoint(lines.sparkSession, checkpoint, "ad_stream"))
+    ).option("checkpointLocation", shared_folder(lines.sparkSession, checkpoint, "ad_stream"))
     return _start(writer, available_now, interval)
 
 
@@ -161,5 +155,5 @@ def upsert_stream(rows: DataFrame, table: StreamTable, checkpoint: str | None =
                   available_now: bool = False, interval: str = BATCH_INTERVAL) -> StreamingQuery:
     """Keeps the newest row per key of an update-mode stream in ``table`` (a ``latest`` table)."""
     writer = rows.writeStream.outputMode("update").foreachBatch(table.write).option(
-        "checkpointLocation", _checkpoint(rows.sparkSession, checkpoint, table.path.rstrip("/").split("/")[-1]))
+        "checkpointLocation", shared_folder(rows.sparkSession, checkpoint, table.path.rstrip("/").split("/")[-1]))
     return _start(writer, available_now, interval)

@@ -28,6 +28,12 @@ def test_batch_job_appends_its_report(spark, tables, tmp_path, job):
                  "--products", f"{tables}/product_info", "--cities", f"{tables}/city_area"]
     main(arguments, spark)
     main(arguments, spark)
+    if job == "session-reports":
+        for single, name in (("session-stat", "session_stat"), ("session-sample", "session_random_extract")):
+            main([single, *arguments[1:-10], "--output", str(tmp_path / single), *arguments[-8:]], spark)
+            shared, alone = (spark.read.parquet(str(tmp_path / p)) for p in (f"out/{name}", single))
+            assert sorted(map(str, shared.distinct().collect())) == sorted(map(str, alone.collect()))
+        return
     report = spark.read.parquet(str(tmp_path / "out"))
     assert report.count() and {r[0] for r in report.select("taskid").distinct().collect()} == {"t9"}
     assert report.count() == 2 * report.distinct().count() or job == "session-detail"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickweave import schemas
 from clickweave.operators import ads, words
+from clickweave.plans import shared
 from clickweave.sources import ad_lines, testdata
 from clickweave.streaming import ad_stream
 from clickweave.streaming.tables import StreamTable
@@ -205,7 +206,10 @@ def test_running_word_count(spark, tmp_path):
     assert rows(words.word_count(spark.read.text(str(source)))) == [("a", 3), ("b", 2), ("c", 1)]
 
 
-def test_checkpoint_folder_is_required(spark, tmp_path):
+def test_checkpoint_folder_is_required(spark, monkeypatch):
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert ad_stream._checkpoint(spark, None, "x") == f"{folder}/x"
-    assert ad_stream._checkpoint(spark, "given", "x") == "given"
+    assert shared.shared_folder(spark, None, "x") == f"{folder}/x"
+    assert shared.shared_folder(spark, "given", "x") == "given"
+    monkeypatch.setattr(shared, "CHECKPOINT_SETTING", "spark.no.such.setting")
+    with pytest.raises(ValueError):
+        shared.shared_folder(spark, None, "x")
