@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def words(lines: DataFrame, column: str = "value") -> DataFrame:
     """Space-separated words of every line; empty words are dropped."""
-    parts = F.split(F.translate(column, "\n", " "), " ")
+    parts = F.split(F.replace(F.col(column), F.lit("\n"), F.lit(" ")), " ")
     return lines.select(F.explode(parts).alias("word")).where(F.col("word") != "")
 
 
