@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ BATCH_INTERVAL = "5 seconds"
 TREND_WINDOW, TREND_SLIDE = "60 minutes", "1 minute"
 
 
+Publish = Callable[[str, DataFrame], None]
+
+
 @dataclass(frozen=True)
 class AdTables:
     """The tables of one ad stream."""
@@ -48,9 +52,14 @@ class AdTables:
             rejects=f"{root}/rejects",
         )
 
+    def named(self) -> Iterator[tuple[str, StreamTable]]:
+        for table in (self.user_counts, self.blacklist, self.city_counts, self.province_top, self.trend):
+            yield table.path.rstrip("/").split("/")[-1], table
+
 
 def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
-                  threshold: int = ads.DEFAULT_THRESHOLD, k: int = 3, probe_skew: bool = False) -> None:
+                  threshold: int = ads.DEFAULT_THRESHOLD, k: int = 3, probe_skew: bool = False,
+                  publish: Publish | None = None) -> None:
     """One micro-batch of lines.
 
     Clicks of users blacklisted by an earlier batch are dropped. The rest is added to the counts; a
@@ -60,6 +69,9 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     Only aggregates are written, so each step costs the size of the batch plus the touched dates. The
     first write fills the cache of accepted clicks; the steps after it are independent jobs and run
     side by side.
+
+    ``publish(name, rows)`` is called at the end with the changed rows of each table, for example to
+    upsert them into a database. The rows hold totals, not increments, so repeating a call is harmless.
     """
     spark = lines.sparkSession
     after = batch_id + 1
@@ -97,6 +109,9 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
                 done.result()
     finally:
         accepted.unpersist()
+    if publish:
+        for name, table in tables.named():
+            publish(name, table.changed(spark, batch_id))
 
 
 def _start(writer: DataStreamWriter, available_now: bool, interval: str) -> StreamingQuery:
@@ -106,10 +121,12 @@ def _start(writer: DataStreamWriter, available_now: bool, interval: str) -> Stre
 
 def start_ad_stream(lines: DataFrame, tables: AdTables, checkpoint: str | None = None,
                     threshold: int = ads.DEFAULT_THRESHOLD, available_now: bool = False,
-                    interval: str = BATCH_INTERVAL, probe_skew: bool = False) -> StreamingQuery:
+                    interval: str = BATCH_INTERVAL, probe_skew: bool = False,
+                    publish: Publish | None = None) -> StreamingQuery:
     """Runs ``process_batch`` on a stream of lines; the checkpoint restores offsets after a restart."""
     writer = lines.writeStream.foreachBatch(
-        lambda batch, batch_id: process_batch(batch, batch_id, tables, threshold, probe_skew=probe_skew)
+        lambda batch, batch_id: process_batch(batch, batch_id, tables, threshold, probe_skew=probe_skew,
+                                               publish=publish)
     ).option("checkpointLocation", shared_folder(lines.sparkSession, checkpoint, "ad_stream"))
     return _start(writer, available_now, interval)
 

@@ -74,6 +74,15 @@ class StreamTable:
         """What one batch has written."""
         return self._load(spark, [(0, batch_id)]).drop(VERSION)
 
+    def changed(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Current rows of every key that a batch has written; only the partitions it touched are read."""
+        batch = self.read_batch(spark, batch_id)
+        low, high = None, None
+        if self.partition:
+            low, high = batch.agg(F.min(self.partition), F.max(self.partition)).first()
+        keys = list(self.keys)
+        return self.read(spark, batch_id + 1, low, high).join(batch.select(*keys).distinct(), keys, "left_semi")
+
     def _units(self, before: int) -> list[tuple[int, int]]:
         """(level, unit) directories that hold batches 0 to ``before - 1``, the largest first.
 

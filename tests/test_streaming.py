@@ -136,6 +136,28 @@ def test_replayed_batch_changes_nothing(spark, lines, tmp_path):
     check_tables(spark, tables, chunks[:3])
 
 
+def test_published_rows_rebuild_the_tables(spark, lines, tmp_path):
+    chunks = busy(lines)[:2]
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
+    database = {}
+
+    def upsert(name, changed):
+        table = dict(tables.named())[name]
+        target = database.setdefault(name, {})
+        groups = {}
+        for row in changed.collect():
+            groups.setdefault(tuple(row[k] for k in table.keys), []).append(tuple(row[c] for c in sorted(row.asDict())))
+        target.update(groups)
+
+    for i, chunk in enumerate(chunks):
+        batch = spark.createDataFrame([(v,) for v in chunk], "value string")
+        ad_stream.process_batch(batch, i, tables, THRESHOLD, publish=upsert)
+    for name, table in tables.named():
+        current = table.read(spark, len(chunks))
+        published = sorted(row for group in database[name].values() for row in group)
+        assert published == rows(current.select(*sorted(current.columns))) and published
+
+
 def test_unreadable_lines_go_to_rejects(spark, tmp_path):
     tables = ad_stream.AdTables.under(str(tmp_path / "out"))
     bad = ["", "abc 1 1 2 3", "1704067200000 1 1 2", "1704067200000 1 1 x 3"]
