@@ -67,14 +67,15 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     batches. Province leaders are recomputed for the (date, province) groups the batch touches.
 
     Only aggregates are written, so each step costs the size of the batch plus the touched dates. The
-    first write fills the cache of accepted clicks; the steps after it are independent jobs and run
-    side by side.
+    lines are cached so that the source is read once; the first write also fills the cache of accepted
+    clicks, and the steps after it are independent jobs that run side by side.
 
     ``publish(name, rows)`` is called at the end with the changed rows of each table, for example to
     upsert them into a database. The rows hold totals, not increments, so repeating a call is harmless.
     """
     spark = lines.sparkSession
     after = batch_id + 1
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     clicks = ad_parse(lines)
     hot = find_hot_keys(clicks, "userid") if probe_skew else HotKeys("userid")
     accepted = ads.without_blacklisted(clicks, tables.blacklist.read(spark, batch_id), hot)
@@ -109,6 +110,7 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
                 done.result()
     finally:
         accepted.unpersist()
+        lines.unpersist()
     if publish:
         for name, table in tables.named():
             publish(name, table.changed(spark, batch_id))

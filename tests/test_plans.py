@@ -62,6 +62,15 @@ def test_session_counts_build_no_lists(spark, small_dir):
         assert "collect_set" not in plan(QUERIES[name](spark, small_dir))
 
 
+def test_sample_computes_the_sessions_once(spark, small_dir):
+    df = QUERIES["session_sample"](spark, small_dir)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    scans = [columns for columns in read_columns(final) if "event_id" in columns or "props" in columns]
+    # One scan for the sessions, whose shuffle counts and ranking share, and one for the lists.
+    assert len(scans) == 2 and "ReusedExchange" in final
+
+
 def test_area_clicks_are_counted_before_the_joins(spark, small_dir):
     text = plan(QUERIES["area_top3"](spark, small_dir))
     joined = [line for line in text.splitlines() if "partial_count" in line]
