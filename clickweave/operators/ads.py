@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickweave.functions.scalars import format_date
 from clickweave.plans.skew import HotKeys, find_hot_keys, spread_join
 
 DEFAULT_THRESHOLD = 100
 WINDOW_MINUTES = 60
 
 
+def _daily(clicks: DataFrame, *keys: str) -> DataFrame:
+    """Clicks per date and ``keys``. Grouping is by the date itself; its text is made per group."""
+    counts = clicks.groupBy(F.to_date("ts").alias("date"), *keys).agg(F.count("*").alias("clickCount"))
+    return counts.withColumn("date", F.col("date").cast("string"))
+
+
 def user_daily(clicks: DataFrame) -> DataFrame:
     """Clicks per (date, userid, adid)."""
-    return clicks.groupBy(format_date(F.col("ts")).alias("date"), "userid", "adid").agg(
-        F.count("*").alias("clickCount"))
+    return _daily(clicks, "userid", "adid")
 
 
 def blacklist(user_counts: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
@@ -42,7 +46,7 @@ def blacklist_times(clicks: DataFrame, threshold: int, hot: HotKeys, tie: str =
     is ranked in pieces first; ``row_number() <= k`` is also applied on the map side by Spark.
     """
     group = ["date", "userid", "adid"]
-    ranked = clicks.select(format_date(F.col("ts")).alias("date"), "userid", "adid", "ts", tie)
+    ranked = clicks.select(F.to_date("ts").alias("date"), "userid", "adid", "ts", tie)
     if hot:
         pieces = Window.partitionBy(*group, "piece").orderBy("ts", tie)
         ranked = (
@@ -68,8 +72,7 @@ def accepted_clicks(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD, hot:
 
 def city_daily(clicks: DataFrame) -> DataFrame:
     """Clicks per (date, province, city, adid)."""
-    return clicks.groupBy(format_date(F.col("ts")).alias("date"), "province", "city", "adid").agg(
-        F.count("*").alias("clickCount"))
+    return _daily(clicks, "province", "city", "adid")
 
 
 def province_daily(city_counts: DataFrame) -> DataFrame:

@@ -138,13 +138,18 @@ def session_ratios(buckets: DataFrame) -> DataFrame:
         for name, _, _ in VISIT_BUCKETS + STEP_BUCKETS])
 
 
+def _hour() -> Column:
+    return F.date_trunc("hour", "start_ts").alias("hour_start")
+
+
 def _date_and_hour() -> list[Column]:
-    return [F.date_format("start_ts", "yyyy-MM-dd").alias("date"), F.date_format("start_ts", "HH").alias("hour")]
+    return [F.date_format("hour_start", "yyyy-MM-dd").alias("date"), F.date_format("hour_start", "HH").alias("hour")]
 
 
 def session_hour_counts(kept: DataFrame) -> DataFrame:
     """Sessions per date and hour of their start."""
-    return kept.groupBy(*_date_and_hour()).agg(F.count("*").alias("session_count"))
+    counts = kept.groupBy(_hour()).agg(F.count("*").alias("session_count"))
+    return counts.select(*_date_and_hour(), "session_count")
 
 
 def sample_sessions(kept: DataFrame, total: int = 100, seed: str = "42", pieces: int = SAMPLE_PIECES) -> DataFrame:
@@ -158,31 +163,31 @@ def sample_sessions(kept: DataFrame, total: int = 100, seed: str = "42", pieces:
     ``kept`` is used twice, for the counts and for the ranking; both uses share its session shuffle.
     """
     # At most 24 rows per date, so a window over all of them stays small.
-    everything = Window.partitionBy(F.lit(1))
-    quotas = session_hour_counts(kept).select(
-        "date", "hour", F.col("session_count").alias("hour_sessions"),
-        F.sum("session_count").over(Window.partitionBy("date")).alias("date_sessions"),
-        F.size(F.collect_set("date").over(everything)).alias("dates"),
+    date, everything = F.to_date("hour_start"), Window.partitionBy(F.lit(1))
+    quotas = kept.groupBy(_hour()).agg(F.count("*").alias("hour_sessions")).select(
+        "hour_start", "hour_sessions",
+        F.sum("hour_sessions").over(Window.partitionBy(date)).alias("date_sessions"),
+        F.size(F.collect_set(date).over(everything)).alias("dates"),
     ).select(
-        "date", "hour",
+        "hour_start",
         F.expr(f"(hour_sessions * ({int(total)} div dates)) div date_sessions").alias("quota"),
     ).where(F.col("quota") > 0)
 
     candidates = kept.select(
-        *_date_and_hour(), "session_id", "start_ts",
+        _hour(), "session_id", "start_ts",
         F.md5(F.concat(F.lit(seed), F.col("session_id")).cast("binary")).alias("pick"),
         F.pmod(F.xxhash64("session_id"), F.lit(pieces)).cast("int").alias("piece"),
     )
-    in_piece = Window.partitionBy("date", "hour", "piece").orderBy("pick", "session_id")
+    in_piece = Window.partitionBy("hour_start", "piece").orderBy("pick", "session_id")
     ranked = candidates.withColumn("rank_in_piece", F.row_number().over(in_piece)).where(
         F.col("rank_in_piece") <= total)
 
-    in_hour = Window.partitionBy("date", "hour").orderBy("pick", "session_id")
+    in_hour = Window.partitionBy("hour_start").orderBy("pick", "session_id")
     return (
-        ranked.join(quotas, ["date", "hour"])
+        ranked.join(quotas, "hour_start")
         .withColumn("rank", F.row_number().over(in_hour))
         .where(F.col("rank") <= F.col("quota"))
-        .select("date", "hour", "session_id", "start_ts")
+        .select(*_date_and_hour(), "session_id", "start_ts")
     )
 
 
