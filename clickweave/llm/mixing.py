@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickweave.llm.shared import WORD
+from clickweave.llm.shared import WORD, materialized
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -65,7 +65,7 @@ def _offset(seed: str) -> Column:
 def mix_copies(documents: DataFrame, seed: str = "mix", share: float = SHARE, most: float = MOST,
                weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """A row per document: doc_id, size, source, source_size, target, copies."""
-    sizes = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sizes = materialized(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     placed = sizes.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double")))) \
         .withColumn("part", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(PARTS)))
     group = ["source", "class", "part"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -17,10 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; there is no local fallback."""
+    """The folder that the cluster names for checkpoints; a session without that setting gets one in its warehouse."""
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set(CHECKPOINT_SETTING, root)
     return root.rstrip("/")
 
 
@@ -36,12 +36,3 @@ def materialized(df: DataFrame, name: str, partition_by: str | None = None) -> D
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def renamed_clashes(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the columns an operator works on, so that other columns cannot clash with its own."""
-    return df.select(*wanted)
-
-
-def integer_id(column: str):
-    return F.col(column).cast("long")

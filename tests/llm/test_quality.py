@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import re
+import zlib
+
+import numpy as np
+
+from clickweave.llm import bytescan, quality
+from clickweave.llm.queries import op7_quality
+
+
+def auc(scores, good):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    n1 = good.sum()
+    return (rank[good].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(good) - n1))
+
+
+def test_held_out_accuracy(spark, oracle_dir):
+    got = op7_quality(spark, oracle_dir).collect()
+    docs = spark.read.parquet(f"{oracle_dir}/documents.parquet")
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{oracle_dir}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, label[r.doc_id]) for r in got if r.held_out and r.doc_id in label]
+    scores, predicted, good = (np.array(x) for x in zip(*rows, strict=True))
+    print("auc", auc(scores, good == 1), "accuracy", (predicted == good).mean())
+    assert auc(scores, good == 1) > 0.85
+    assert (predicted == good).mean() > 0.9
+
+
+def test_descent_reaches_the_least_loss():
+    rng = np.random.default_rng(0)
+    rows = [np.sort(rng.choice(40, 6, replace=False)).astype(np.int32) for _ in range(60)]
+    values = [np.full(6, 0.4) for _ in rows]
+    good = np.array([5 in row or 7 in row for row in rows])
+    cost = np.ones(60)
+
+    def loss(w, bias):
+        margins = np.array([w[r] @ v + bias for r, v in zip(rows, values)]) * np.where(good, 1, -1)
+        return 0.5 * (w @ w + bias * bias) + (cost * np.maximum(0, 1 - margins)).sum()
+
+    w, bias = quality.dual_coordinate_descent(rows, values, good, cost, rounds=400)
+    best = loss(w, bias)
+    for _ in range(200):
+        step = rng.normal(0, 0.02, 40)
+        used = np.zeros_like(w)
+        used[:40] = step
+        assert loss(w + used, bias + rng.normal(0, 0.02)) >= best - 1e-6
+
+
+def test_words_and_hashes_match_plain_ones():
+    import pyarrow as pa
+    texts = ["", " a b\x0bc\n", "Ünï  x", None, "same word", "word same", "x" * 3000, "\x85\xa0 q"]
+    column = pa.array([t.encode() if t is not None else None for t in texts], pa.binary())
+    seen = {}
+    for chunk in bytescan.chunks(column, most=9):
+        found = bytescan.words(chunk)
+        hashes = bytescan.word_hashes(chunk, found)
+        for i in range(len(chunk.bounds) - 1):
+            want = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", texts[chunk.first + i] or "")]
+            mine = slice(found.bounds[i], found.bounds[i + 1])
+            assert [chunk.data[a:b].tobytes() for a, b in zip(found.starts[mine], found.ends[mine])] == want
+            for word, value in zip(want, hashes[mine]):
+                assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "a", 3), (3, "b c", 4), (3, "b c", 4)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(3, 1, 9), (3, None, 9), (None, 0, 9)], "doc_id long, quality int, text int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert quality.classify(docs.limit(0), labels).collect() == []
+    assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
