@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import mixing, packing, quality, secrets, token_counts
+from clickweave.llm import fingerprints, mixing, packing, quality, secrets, token_counts, topk
 from clickweave.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +41,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
-    named = (op2_token_counts, op3_secrets, op5_mixing, op6_packing, op7_quality)
+    named = (op2_token_counts, op3_secrets, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
     return {query.__name__: query for query in named}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op8_topk": topk.ORACLE}
