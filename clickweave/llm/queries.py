@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import fingerprints, mixing, packing, quality, secrets, token_counts, topk
+from clickweave.llm import fingerprints, jaccard, mixing, packing, quality, secrets, token_counts, topk
 from clickweave.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = (op2_token_counts, op3_secrets, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
+    named = (op1_jaccard, op2_token_counts, op3_secrets, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
     return {query.__name__: query for query in named}
 
 

@@ -163,7 +163,7 @@ def whole_vectors(vectors: DataFrame, scale: int, id_column: str, vector: str) -
 def _blocks(rows: DataFrame, name: str, size: int, n: int, width: int) -> DataFrame:
     """A row per block: its number, ids and tree. ``rows`` holds vec_id and e; about ``size`` rows go into each block."""
 
-    def index(key, table: pa.Table) -> pa.Table:
+    def index(key, table):
         ids = table.column("vec_id").to_numpy()
         points = np.zeros((len(ids), width))
         for i, e in enumerate(table.column("e").to_pylist()):
