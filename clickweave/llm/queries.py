@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import fingerprints, jaccard, mixing, packing, quality, secrets, token_counts, topk
+from clickweave.llm import fingerprints, jaccard, mixing, packing, quality, secrets, suffixes, token_counts, topk
 from clickweave.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", secrets.spans_text(F.col("spans")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -54,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = (op1_jaccard, op2_token_counts, op3_secrets, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
+    named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
     return {query.__name__: query for query in named}
 
 

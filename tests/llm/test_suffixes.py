@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+
+from clickweave.llm import suffixes
+from clickweave.llm.queries import op4_suffix_dedup
+
+
+def plain(texts, length):
+    """(n_removed, n_spans, remaining bytes) of each text, from all its strings."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = [False] * len(d)
+        for i in range(len(d) - length + 1):
+            if seen[d[i:i + length]] > 1:
+                gone[i:i + length] = [True] * length
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((sum(gone), spans, bytes(b for b, g in zip(d, gone) if not g)))
+    return out
+
+
+def corpus(seed, n=60, alphabet="abcd é"):
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice(alphabet) for _ in range(k))
+    passages = [word(rng.randrange(10, 90)) for _ in range(8)]
+    texts = [None, "", "x", "ab" * 200, "ab" * 77, "z" * 130]
+    for _ in range(n):
+        parts = [rng.choice(passages)[rng.randrange(6):] if rng.random() < 0.5 else word(rng.randrange(50)) for _ in range(rng.randrange(1, 6))]
+        texts.append("".join(parts))
+    return texts + texts[10:14]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_of_front_coded_runs(seed):
+    rng = random.Random(seed)
+    entries = [("".join(rng.choice("ab") for _ in range(rng.randrange(30))).encode(), b"x" * rng.randrange(3), i, i * 7, bool(i % 2))
+               for i in range(rng.randrange(1, 300))]
+    parts = [entries[i::5] for i in range(5)]
+    runs = [run for part in parts for run in suffixes.front_coded(part, most=400)]
+    merged = list(suffixes.merge_runs([suffixes.read_run(run) for run in runs]))
+    assert sorted((s, *p) for _, s, p in merged) == sorted(entries)
+    last = b""
+    for shared, suffix, _ in merged:
+        assert last <= suffix and shared == suffixes.common_prefix(last, suffix)
+        last = suffix
+    assert list(suffixes.merge_runs([])) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_all_strings(spark, seed):
+    texts = corpus(seed)
+    frame = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = suffixes.remove_repeated(frame, length=30, gram=8).collect()
+    want = Counter((i if i % 9 else None, len((t or "").encode()), *p) for (i, t), p in zip(enumerate(texts), plain(texts, 30)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == want
+
+
+def test_widespread_passage(spark):
+    """A passage in more texts than one shard may hold open spans of, in ever other surroundings."""
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = word(40)
+    texts = [word(rng.randrange(25, 45)) + passage + word(rng.randrange(25, 45)) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeated(frame, length=30, gram=8).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts, 30)
+
+
+def test_whole_table(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in op4_suffix_dedup(spark, small_dir).collect()}
+    total = 0
+    for doc, (removed, spans, kept) in zip(docs, plain([d.text for d in docs], 200)):
+        r = got[doc.doc_id]
+        total += removed
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(doc.text.encode()), removed, spans, hashlib.sha256(kept).hexdigest())
+    assert total > 0
+
+
+def test_odd_rows(spark):
+    frame = spark.createDataFrame([(1, "a" * 300, "d"), (1, "b" * 250, "d"), (2, None, "d"), (3, "", "d"), (4, "a" * 150, "d")],
+                                  "doc_id long, text string, doc string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeated(frame).collect())
+    assert got == [(1, 250, 250, 1), (1, 300, 300, 1), (2, 0, 0, 0), (3, 0, 0, 0), (4, 150, 0, 0)]
+    assert suffixes.remove_repeated(frame.limit(0)).collect() == []
