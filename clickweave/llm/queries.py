@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm import fingerprints, jaccard, mixing, packing, quality, secrets, suffixes, token_counts, topk
+from clickweave.llm import fingerprints, jaccard, mixing, packing, phrases, quality, secrets, suffixes, token_counts, topk
 from clickweave.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,18 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = phrases.remove_recurring(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def all_queries() -> dict[str, Query]:
-    named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op10_fingerprints)
+    named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op9_phrase_dedup,
+             op10_fingerprints)
     return {query.__name__: query for query in named}
 
 
