@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Parts of one length that are numbered independently, so no length has to fit into one task.
 PARTS = 64
 #: Words whose ids a worker keeps; longer words are not kept.
-MEMORY = 500_000
+MEMORY = 1_500_000
 LONGEST_KEPT = 64
 _WIDTH = 4  # bytes of an id
 
@@ -47,7 +47,7 @@ class WordEncoder:
         if len(known) > self.memory:
             known.clear()
         cut = [text.split() for text in texts]
-        new = list({word for words in cut for word in words if word not in known})
+        new = list(set().union(*cut).difference(known))
         encoded = self.tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
         known.update((word, array("I", e.ids).tobytes()) for word, e in zip(new, encoded, strict=True))
         ids = [b"".join(map(known.__getitem__, words)) for words in cut]

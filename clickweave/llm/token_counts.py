@@ -53,7 +53,7 @@ class PieceCounter:
         if len(known) > self.memory:
             known.clear()
         cut = [parts_of(text) for text in texts]
-        new = list({part for parts in cut for part in parts if part not in known})
+        new = list(set().union(*cut).difference(known))
         known.update(zip(new, self._encoded(new), strict=True))
         counted = [sum(map(known.__getitem__, parts)) for parts in cut]
         for part in new:
