@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.llm import bytescan
@@ -339,3 +339,13 @@ def _without_id(texts: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), batch.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
     return texts.where(F.col("doc_id").isNull()).mapInArrow(count, "doc_id long, n_shingles long, component_id long")
+
+
+def one_of_each_component(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that have their component's smallest doc_id, once for each text; rows without doc_id all stay."""
+    links = link_components(documents)
+    smallest = links.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    with_id = documents.join(smallest, F.col("doc_id").cast("long") == F.col("_kept")).withColumn("_text", F.xxhash64("text"))
+    first = Window.partitionBy("_kept", "_text").orderBy("doc_id")
+    once = with_id.withColumn("_at", F.row_number().over(first)).where(F.col("_at") == 1)
+    return once.select(*documents.columns).union(documents.where(F.col("doc_id").isNull()))

@@ -62,31 +62,52 @@ def _offset(seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_copies(documents: DataFrame, seed: str = "mix", share: float = SHARE, most: float = MOST,
-               weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """A row per document: doc_id, size, source, source_size, target, copies."""
-    sizes = materialized(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    placed = sizes.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double")))) \
-        .withColumn("part", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(PARTS)))
-    group = ["source", "class", "part"]
-    counts = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+def _placed(documents: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, source, size, the class of sizes and the part in which a document is numbered, and ``others``."""
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), *others)
+    return sized.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double")))) \
+        .withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(PARTS)))
+
+
+_GROUP = ["source", "class", "part"]
+
+
+def _starts(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
+    """For each source, class and part: the documents before it along the source, and the source's size and target."""
     along = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*group).orderBy("size", "doc_id")
-    ranked = placed.withColumn("at", F.row_number().over(within))
-    start, target = starts.alias("s"), source_targets(sizes, share, most, weights).alias("t")
-    joined = ranked.alias("d").join(
-        start, (F.col("d.source").eqNullSafe(F.col("s.source"))) & (F.col("d.class") == F.col("s.class"))
-        & (F.col("d.part") == F.col("s.part"))
-    ).join(target, F.col("d.source").eqNullSafe(F.col("t.source")))
+    counts = sizes.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(*_GROUP, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before")).alias("s")
+    target = source_targets(sizes, share, most, weights).alias("t")
+    return starts.join(target, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target")
+
+
+def _with_copies(placed: DataFrame, starts: DataFrame, seed: str) -> DataFrame:
+    """``placed`` with source_size, target and copies."""
+    within = Window.partitionBy(*_GROUP).orderBy("size", "doc_id")
+    ranked = placed.withColumn("at", F.row_number().over(within)).alias("d")
+    start = starts.withColumnRenamed("source", "source_").alias("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = (F.col("before") + F.col("at")).cast("double")
-    return joined.select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", rate.alias("rate"), rank.alias("rank"),
-    ).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.floor(F.col("rate") * F.col("rank") + _offset(seed))
-         - F.floor(F.col("rate") * (F.col("rank") - 1) + _offset(seed))).cast("long").alias("copies"))
+    copies = F.floor(rate * rank + _offset(seed)) - F.floor(rate * (rank - 1) + _offset(seed))
+    return ranked.join(start, F.col("d.source").eqNullSafe(F.col("source_")) & (F.col("d.class") == F.col("s.class"))
+                       & (F.col("d.part") == F.col("s.part"))).select("d.*", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mix_copies(documents: DataFrame, seed: str = "mix", share: float = SHARE, most: float = MOST,
+               weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, copies."""
+    sizes = materialized(_placed(documents), "sizes")
+    return _with_copies(sizes, _starts(sizes, share, most, weights), seed).select(
+        "doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mix_documents(documents: DataFrame, seed: str = "mix", share: float = SHARE, most: float = MOST,
+                  weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, as often as the mix takes them."""
+    starts = _starts(materialized(_placed(documents), "sizes"), share, most, weights)
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document")
+    mixed = _with_copies(_placed(documents, whole), starts, seed)
+    return mixed.where(F.col("copies") > 0).select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")), "document").select("document.*")
 
 
 ORACLE = r"""

@@ -207,3 +207,19 @@ def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     scored = quality_scores(documents, fit_model(documents, labels, sample))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` whose text scores ``threshold`` or more, with all their columns."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    text = documents.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.binary())], names=["text"])
+            good = np.zeros(batch.num_rows, bool)
+            for row, present in _each_text(texts, 0):
+                good[row] = score(sent.value, present) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return documents.mapInArrow(keep, documents.schema)

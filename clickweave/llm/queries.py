@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clickweave.llm import fingerprints, jaccard, mixing, packing, phrases, quality, secrets, suffixes, token_counts, topk
 from clickweave.llm.shared import table
 
@@ -66,7 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op9_phrase_dedup,
              op10_fingerprints)
-    return {query.__name__: query for query in named}
+    return {query.__name__: query for query in named} | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:

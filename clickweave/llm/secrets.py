@@ -30,6 +30,8 @@ from clickweave.llm.shared import materialized
 
 KINDS = ("assign", "access", "hex")
 BATTERY = "random"
+#: Stands in redacted texts for a secret.
+MARK = "<secret>"
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -245,5 +247,61 @@ def find_secrets(documents: DataFrame, rate: float = 1e-2) -> DataFrame:
         F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
+def redacted_text(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
+    """``text`` with every span, or union of spans that touch, replaced by ``mark``."""
+    out, at, covered = [], 0, -1
+    for start, end in sorted(spans):
+        if start > covered:
+            out += [text[at:start], mark]
+        covered = max(covered, end)
+        at = covered
+    return "".join([*out, text[at:]])
+
+
+def redact(documents: DataFrame, rate: float = 1e-2) -> DataFrame:
+    """``documents`` with all secrets in ``text`` replaced, and ``n_chars``, if there is such a column, counted anew.
+
+    Documents without secrets stay as they are. The texts are read twice: to count the battery's p-values, and to replace.
+    """
+    counts_type = "alphabet string, band int, step int, n long"
+
+    def count(batches):
+        n = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    n.update((alphabet, band, _step(p)) for _, _, alphabet, band, p in battery_spans(text, base_spans(text)))
+        keys = list(n)
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        columns = list(zip(*[(*key, n[key]) for key in keys], strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["alphabet", "band", "step", "n"])
+
+    counts = documents.select("text").mapInArrow(count, counts_type).groupBy("alphabet", "band", "step").agg(F.sum("n")).collect()
+    lowest = thresholds([tuple(row) for row in counts], rate)
+    text_at = documents.columns.index("text")
+    chars_at = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+
+    def replace(batches):
+        for batch in batches:
+            texts, changed = batch.column(text_at).to_pylist(), {}
+            for i, text in enumerate(texts):
+                if text:
+                    base = base_spans(text)
+                    spans = [(s, e) for s, e, _ in base]
+                    spans += [(s, e) for s, e, a, b, p in battery_spans(text, base) if _step(p) >= lowest.get((a, b), STEPS + 1)]
+                    if spans:
+                        changed[i] = redacted_text(text, spans)
+            if changed:
+                columns = batch.columns
+                columns[text_at] = pa.array([changed.get(i, text) for i, text in enumerate(texts)], columns[text_at].type)
+                if chars_at is not None:
+                    sizes = columns[chars_at].to_pylist()
+                    columns[chars_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(sizes)], columns[chars_at].type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return documents.mapInArrow(replace, documents.schema)
+
+
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
