@@ -69,9 +69,9 @@ def set_id(hashes: np.ndarray) -> int:
     return int(bytescan.mixed(np.array([bytescan.mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64))[0].astype(np.int64))
 
 
-def dense_sketch(hashes: np.ndarray) -> np.ndarray:
+def dense_sketch(hashes: np.ndarray) -> bytes:
     bits = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def block_keys(hashes: np.ndarray, band: int, apart: int) -> tuple[np.ndarray, int] | None:
@@ -101,7 +101,7 @@ def bands_of(n: int) -> list[tuple[int, int]]:
     return found
 
 
-_ENTRIES = "key long, node long, info long, sketch array<long>"
+_ENTRIES = "key long, node long, info long, sketch binary"
 
 
 def _entries(batches):
@@ -136,15 +136,15 @@ def _entries(batches):
                 doc_infos.append(info)
                 sketches.append(sketch)
             n_keys = sum(map(len, keys))
-            empty = pa.nulls(n_keys, pa.list_(pa.int64()))
+            empty = pa.nulls(n_keys, pa.binary())
             columns = [np.concatenate([np.array(own, np.int64), *more]) for own, more in
                        ((doc_ids, keys), (doc_nodes, nodes), (doc_infos, infos))]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), empty])],
+                [*map(pa.array, columns), pa.concat_arrays([pa.array(sketches, pa.binary()), empty])],
                 names=["key", "node", "info", "sketch"])
 
 
-_RUNS = "key long, node long, info long, hot boolean, sketch array<long>, kind int"
+_RUNS = "key long, node long, info long, hot boolean, sketch binary, kind int"
 
 
 def _runs(batches):
@@ -161,7 +161,7 @@ def _runs(batches):
             names=["key", "node", "info", "hot", "sketch", "kind"])
 
     def none(n):
-        return pa.nulls(n, pa.list_(pa.int64()))
+        return pa.nulls(n, pa.binary())
 
     for batch in batches:
         info = batch.column(2).to_numpy()
@@ -209,6 +209,11 @@ def _may_link(n_a: Column, n_b: Column) -> Column:
     return F.least(n_a, n_b) * 5 >= F.greatest(n_a, n_b) * 4
 
 
+def _word(sketch: str, i: int) -> Column:
+    """The i-th eight bytes of a sketch as a number."""
+    return F.conv(F.hex(F.substring(sketch, 8 * i + 1, 8)), 16, -10).cast("long")
+
+
 def _sketches_near(a: str, b: str, n_a: Column, n_b: Column) -> Column:
     """Whether the dense sketches are no further apart than linked sets of these sizes can be."""
     differing = F.lit(0)
@@ -276,7 +281,7 @@ def link_components(documents: DataFrame) -> DataFrame:
     kept = kept.select("key", "node", _size(F.col("info")).alias("n"))
 
     sketch = classes.where(F.col("sketch").isNotNull()).groupBy("node").agg(F.first("sketch").alias("sketch"))
-    sketches = sketch.select("node", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH_WORDS)])
+    sketches = sketch.select("node", *[_word("sketch", i).alias(f"s{i}") for i in range(SKETCH_WORDS)])
     per_node = materialized(classes.groupBy("node").agg(F.min("key").alias("first_doc"), F.max("info").alias("info")), "nodes")
 
     first = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))

@@ -254,9 +254,11 @@ def repeated_windows(texts: DataFrame, kind: Kind, name: str, compare: Callable[
 
 
 def with_removals(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``texts`` with the list of its repeated windows (span, low, high), null where there are none."""
+    """``texts`` with the list of its repeated windows (span, low, high), empty where there are none."""
     lists = repeated.groupBy("doc").agg(F.collect_list(F.struct("span", "low", "high")).alias("repeated"))
-    return texts.join(lists.hint("shuffle_hash"), "doc", "left").select(*texts.columns, "repeated")
+    # Empty, not null: a batch for Python takes a time that grows with the run of nulls in a list column.
+    none = F.array().cast("array<struct<span:bigint,low:bigint,high:bigint>>")
+    return texts.join(lists.hint("shuffle_hash"), "doc", "left").select(*texts.columns, F.coalesce("repeated", none).alias("repeated"))
 
 
 def removed_units(batch: pa.RecordBatch, kind: Kind, text: int, repeated: int) -> Iterator[tuple[int, np.ndarray | None]]:
@@ -271,7 +273,7 @@ def removed_units(batch: pa.RecordBatch, kind: Kind, text: int, repeated: int) -
             row = piece.chunk.first + i
             mine = slice(offsets[row], offsets[row + 1])
             own = slice(edges[i], edges[i + 1])
-            if mine.start == mine.stop or own.start == own.stop or not lists[row].is_valid:
+            if mine.start == mine.stop or own.start == own.stop:
                 yield row, None
                 continue
             order = np.argsort(span[mine], kind="stable")
