@@ -12,13 +12,18 @@ from clickweave import sinks
 from clickweave.operators.ads import DEFAULT_THRESHOLD
 from clickweave.params import TaskParams
 from clickweave.plans import jobs
+from clickweave.plans.shared import remove_shared
 from clickweave.session import build_session
 from clickweave.sources import ad_lines, warehouse
+from clickweave import schemas
+from clickweave.streaming import ad_stream
 from clickweave.streaming.ad_stream import BATCH_INTERVAL, AdTables, start_ad_stream
+from clickweave.streaming.tables import StreamTable
 from clickweave.streaming.words import running_word_count
 
 BATCH_JOBS = ("session-reports", "session-stat", "session-sample", "session-detail", "top-categories", "top-sessions",
               "page-flow", "area-products")
+STATISTICS = ("city-daily-stream", "minute-trend-stream", "rolling-hour-stream")
 
 
 def _table(spark: SparkSession, name: str) -> DataFrame:
@@ -33,12 +38,12 @@ def batch_reports(spark: SparkSession, args: argparse.Namespace) -> dict[str, Da
     actions = warehouse.load_actions(_table(spark, args.actions))
     return jobs.session_reports(
         actions, warehouse.load_users(_table(spark, args.users)), TaskParams.from_json(args.params),
-        args.task_id or str(uuid.uuid4()), args.total, args.seed, args.shared_folder)
+        args.task_id, args.total, args.seed, args.shared_folder)
 
 
 def batch_report(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     params = TaskParams.from_json(args.params)
-    task_id = args.task_id or str(uuid.uuid4())
+    task_id = args.task_id
     actions = warehouse.load_actions(_table(spark, args.actions))
 
     def users():
@@ -83,16 +88,35 @@ def _lines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return ad_lines.file_lines(spark, args.files)
 
 
+def _statistic(clicks: DataFrame, args: argparse.Namespace):
+    """A running statistic kept in the state store, written below the output."""
+    if args.job == "rolling-hour-stream":
+        trigger = {"availableNow": True} if args.available_now else {"processingTime": args.interval}
+        return ad_stream.rolling_hour_stream(clicks, args.lateness or ad_stream.TREND_WINDOW).writeStream.outputMode("append").format(
+            "parquet").option("path", args.output).option("checkpointLocation", args.checkpoint).trigger(**trigger).start()
+    if args.job == "city-daily-stream":
+        rows = ad_stream.city_daily_stream(clicks, args.lateness or "1 day")
+        table = StreamTable(args.output, schemas.AD_STAT, "latest", ("date", "province", "city", "adid"), "date")
+    else:
+        rows = ad_stream.minute_trend_stream(clicks, args.lateness or ad_stream.TREND_WINDOW)
+        table = StreamTable(args.output, schemas.AD_CLICK_TREND, "latest", ("date", "hour", "minute", "adid"), "date")
+    return ad_stream.upsert_stream(rows, table, args.checkpoint, args.available_now, args.interval)
+
+
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     lines = _lines(spark, args)
     if args.job == "ad-stream":
         query = start_ad_stream(lines, AdTables.under(args.output), args.checkpoint, args.threshold,
-                                args.available_now, args.interval)
+                                args.available_now, args.interval, args.probe_skew)
+    elif args.job in STATISTICS:
+        query = _statistic(ad_lines.ad_parse(lines), args)
     else:
         trigger = {"availableNow": True} if args.available_now else {"processingTime": args.interval}
         query = running_word_count(lines).writeStream.outputMode("complete").format("console").option(
             "checkpointLocation", args.checkpoint).trigger(**trigger).start()
     query.awaitTermination()
+    if args.job in STATISTICS and (late := ad_stream.late_rows(query)):
+        print(f"{late} clicks came after the watermark and are not counted")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -113,7 +137,7 @@ def parser() -> argparse.ArgumentParser:
         b.add_argument("--jdbc-url")
         b.add_argument("--jdbc-table")
         b.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
-    for job in ("ad-stream", "word-stream"):
+    for job in ("ad-stream", *STATISTICS, "word-stream"):
         s = sub.add_parser(job)
         source = s.add_mutually_exclusive_group(required=True)
         source.add_argument("--kafka-brokers")
@@ -121,9 +145,12 @@ def parser() -> argparse.ArgumentParser:
         source.add_argument("--files", help="directory of text files")
         s.add_argument("--kafka-topic")
         s.add_argument("--checkpoint", required=True)
-        s.add_argument("--output", required=job == "ad-stream", help="root directory of the result tables")
+        s.add_argument("--output", required=job != "word-stream", help="root directory of the result tables")
+        s.add_argument("--lateness", help="how long a running statistic waits for late clicks, e.g. '2 hours'")
+        s.add_argument("--probe-skew", action=argparse.BooleanOptionalAction, default=True,
+                       help="find users with very many clicks in each batch and spread them")
         s.add_argument("--threshold", type=int, default=DEFAULT_THRESHOLD)
-        s.add_argument("--interval", default=BATCH_INTERVAL if job == "ad-stream" else "1 second")
+        s.add_argument("--interval", default="1 second" if job == "word-stream" else BATCH_INTERVAL)
         s.add_argument("--available-now", action="store_true", help="process what is there and stop")
     return p
 
@@ -132,8 +159,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     args = parser().parse_args(argv)
     spark = spark or build_session(f"clickweave-{args.job}")
     if args.job in BATCH_JOBS:
-        for name, report in batch_reports(spark, args).items():
-            _write(name, report, args)
+        args.task_id = args.task_id or str(uuid.uuid4())
+        try:
+            for name, report in batch_reports(spark, args).items():
+                _write(name, report, args)
+        finally:
+            if args.job == "session-reports":
+                remove_shared(spark, jobs.kept_name(args.task_id), args.shared_folder)
     else:
         _stream(spark, args)
 

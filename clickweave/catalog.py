@@ -8,21 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickweave.functions.aggregates import group_concat_distinct
+from clickweave.functions import scalars
 from clickweave.functions.scalars import concat_id_name, format_time, kv_get, kv_set
 from clickweave.operators import ads, areas, categories, pageflow, sessions, words
 from clickweave.params import TaskParams
 from clickweave.plans import jobs
+from clickweave.plans.skew import find_hot_keys
 from clickweave.sources import ad_lines, testdata
-from clickweave.sources.warehouse import action_scan, action_scan_by_time, area_click_scan, load_actions
+from clickweave.sources.warehouse import (
+    action_rejects,
+    action_scan,
+    action_scan_by_time,
+    area_click_scan,
+    load_actions,
+)
 
 TASK = "task-1"
-SAMPLE_TOTAL, SAMPLE_SEED = 1000, "42"
-AD_THRESHOLD = 7
+SAMPLE_TOTAL, SAMPLE_SEED = 100, "42"
+LARGE_SAMPLE_TOTAL = 1000
+AD_THRESHOLD = 5
+#: Rows from which the queries named ..._hot count a key as heavy: low enough for the test tables.
+HOT_ROWS = 20
 
-_PERIOD = {"startDate": "2024-01-01", "endDate": "2024-01-30", "startAge": 20, "endAge": 50,
+_PERIOD = {"startDate": "2024-01-05", "endDate": "2024-01-20", "startAge": 20, "endAge": 50,
            "targetPageFlow": "1,2,3,4,5,6,7"}
 PARAMS = TaskParams.from_dict(_PERIOD)
 NARROW = TaskParams.from_dict({**_PERIOD, "sex": "male", "keywords": "kw1,kw2", "categoryIds": "5,10,15"})
+PLACES = TaskParams.from_dict({**_PERIOD, "professionals": ",".join(f"professional{i}" for i in range(0, 100, 2)),
+                               "cities": ",".join(f"city{i}" for i in range(13))})
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -129,11 +142,23 @@ def session_filter_narrow(spark, sf):
     return _filtered_profile(spark, sf, NARROW)
 
 
+@_query
+def session_filter_places(spark, sf):
+    return _filtered_profile(spark, sf, PLACES)
+
+
 @_query
 def filtered_actions(spark, sf):
     return sessions.filtered_actions(_actions(spark, sf), _kept(spark, sf)).select(*_ACTION_COLUMNS)
 
 
+@_query
+def filtered_actions_hot(spark, sf):
+    actions = _actions(spark, sf)
+    hot = find_hot_keys(actions, "session_id", HOT_ROWS)
+    return sessions.filtered_actions(actions, _kept(spark, sf), hot).select(*_ACTION_COLUMNS)
+
+
 @_query
 def session_buckets(spark, sf):
     return sessions.session_buckets(_kept(spark, sf))
@@ -161,6 +186,18 @@ def session_sample_detail(spark, sf):
                                SAMPLE_TOTAL, SAMPLE_SEED)
 
 
+@_query
+def session_sample_1000(spark, sf):
+    return jobs.session_random_extract(_all_actions(spark, sf), testdata.user_info(spark, sf), PARAMS, TASK,
+                                       LARGE_SAMPLE_TOTAL, SAMPLE_SEED)
+
+
+@_query
+def session_sample_detail_1000(spark, sf):
+    return jobs.session_detail(_all_actions(spark, sf), testdata.user_info(spark, sf), PARAMS, TASK,
+                               LARGE_SAMPLE_TOTAL, SAMPLE_SEED)
+
+
 # ---- categories -----------------------------------------------------------------------------
 
 @_query
@@ -173,6 +210,16 @@ def category_counts(spark, sf):
     return categories.category_counts(action_scan_by_time(_all_actions(spark, sf), PARAMS))
 
 
+@_query
+def category_counts_raw(spark, sf):
+    return categories.category_counts(action_scan_by_time(load_actions(testdata.raw_actions(spark, sf)), PARAMS))
+
+
+@_query_named("action_rejects")
+def action_rejects_rows(spark, sf):
+    return action_rejects(testdata.raw_actions(spark, sf)).select("event_id", "user_id", "action_time", "unreadable")
+
+
 @_query
 def top10_category(spark, sf):
     return jobs.top10_category(_all_actions(spark, sf), PARAMS, TASK)
@@ -190,6 +237,12 @@ def page_pairs(spark, sf):
     return pageflow.page_pairs(_actions(spark, sf))
 
 
+@_query
+def page_pairs_hot(spark, sf):
+    actions = _actions(spark, sf)
+    return pageflow.page_pairs(actions, find_hot_keys(actions, "session_id", HOT_ROWS))
+
+
 def _flow(spark, sf):
     return pageflow.page_flow(pageflow.next_pages(_actions(spark, sf)), PARAMS.target_page_flow)
 
@@ -275,6 +328,12 @@ def ad_accepted_clicks(spark, sf):
     return _click_columns(ads.accepted_clicks(testdata.ad_click(spark, sf), AD_THRESHOLD))
 
 
+@_query
+def ad_accepted_clicks_hot(spark, sf):
+    clicks = testdata.ad_click(spark, sf)
+    return _click_columns(ads.accepted_clicks(clicks, AD_THRESHOLD, find_hot_keys(clicks, "userid", HOT_ROWS)))
+
+
 @_query
 def ad_city_daily(spark, sf):
     return ads.city_daily(testdata.ad_click(spark, sf))
@@ -312,7 +371,7 @@ def _packed(spark, sf):
         "|", F.concat(F.lit("sessionid="), F.col("session_id")),
         F.concat(F.lit("searchKeywords="), F.coalesce("search_keyword", F.lit(""))),
         F.concat(F.lit("clickCategoryIds="), F.col("click_category_id").cast("string")))
-    return _actions(spark, sf).select("event_id", packed.alias("packed"))
+    return _all_actions(spark, sf).select("event_id", packed.alias("packed"))
 
 
 @_query
@@ -327,3 +386,24 @@ def kv_field_get(spark, sf):
 def kv_field_set(spark, sf):
     return _packed(spark, sf).select(
         "event_id", kv_set(F.col("packed"), "clickCategoryIds", "0").alias("packed"))
+
+
+@_query
+def scalar_functions(spark, sf):
+    time, ts, noon = F.col("action_time"), F.col("action_ts"), F.lit("2024-01-10 12:00:00")
+    return _all_actions(spark, sf).select(
+        "event_id",
+        scalars.trim_comma(F.concat(F.lit(","), F.col("session_id"), F.lit(",,"))).alias("trimmed"),
+        scalars.pad2(F.col("page_id")).alias("padded"),
+        scalars.is_empty(F.col("search_keyword")).alias("no_keyword"),
+        scalars.is_not_empty(F.col("search_keyword")).alias("keyword"),
+        scalars.time_before(time, noon).alias("before_noon"),
+        scalars.time_after(time, noon).alias("after_noon"),
+        scalars.format_date(ts).alias("day"),
+        scalars.date_hour(ts).alias("day_hour"),
+        scalars.format_date_key(ts).alias("day_key"),
+        scalars.format_date(scalars.parse_date_key(scalars.format_date_key(ts))).alias("day_again"),
+        scalars.format_time_minute(ts).alias("minute"),
+        scalars.format_double(F.col("event_id") / 8, 2).alias("eighth"),
+        (scalars.yesterday_date() < scalars.today_date()).alias("days_pass"),
+    )

@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+ACTION_TIME = r"^\d{4}-\d\d-\d\d \d{1,2}:\d\d:\d\d$"
+
+
 # ---- ids, names and lists -------------------------------------------------------------------
 
 def concat_id_name(id_col: Column, name_col: Column, sep: str = ":") -> Column:
@@ -21,8 +24,8 @@ def json_field(json_col: Column, field: str) -> Column:
 
 
 def csv_values(col: Column) -> Column:
-    """Distinct entries of a comma list (array of text)."""
-    return F.array_distinct(F.split(col, ","))
+    """Distinct numbers of a comma list (array of bigint); entries that are no numbers are one null."""
+    return F.array_distinct(F.transform(F.split(col, ","), lambda entry: F.trim(entry).try_cast("bigint")))
 
 
 def trim_comma(col: Column) -> Column:
@@ -64,11 +67,12 @@ def kv_set(packed: Column, key: str, value: str, delimiter: str = "|") -> Column
 # ---- dates and times ------------------------------------------------------------------------
 
 def parse_action_time(col: Column) -> Column:
-    """``yyyy-MM-dd H:mm:ss`` text, hour padded or not; unreadable text gives null.
+    """``yyyy-MM-dd H:mm:ss`` text, hour padded or not; any other text gives null.
 
-    The native cast takes one-digit hours and is far cheaper per row than a pattern formatter.
+    The native cast takes one-digit hours and is far cheaper per row than a pattern formatter, but would also read a
+    bare time as today's and a bare year as its first day; the pattern keeps such text out.
     """
-    return col.try_cast("timestamp")
+    return F.when(F.regexp_like(col, F.lit(ACTION_TIME)), col.try_cast("timestamp"))
 
 
 def time_before(a: Column, b: Column) -> Column:

@@ -16,12 +16,10 @@ def category_events(actions: DataFrame) -> DataFrame:
 
     One scan serves all three kinds: the lists of an action are unfolded by kind, then by value.
     """
-    clicked = F.when(F.col("click_category_id") != NO_CLICK, F.array(F.col("click_category_id").cast("string")))
+    clicked = F.when(F.col("click_category_id") != NO_CLICK, F.array(F.col("click_category_id")))
     lists = F.array(clicked, csv_values(F.col("order_category_ids")), csv_values(F.col("pay_category_ids")))
     by_kind = actions.select(F.posexplode(lists).alias("kind", "ids")).where(F.col("ids").isNotNull())
-    values = by_kind.select("kind", F.explode("ids").alias("id"))
-    return values.select("kind", F.trim("id").try_cast("bigint").alias("category_id")).where(
-        F.col("category_id").isNotNull())
+    return by_kind.select("kind", F.explode("ids").alias("category_id")).where(F.col("category_id").isNotNull())
 
 
 def category_universe(actions: DataFrame) -> DataFrame:
@@ -49,13 +47,13 @@ def top_category_sessions(actions: DataFrame, kept: DataFrame, top: DataFrame, k
     """The ``k`` kept sessions with most clicks in each of the ``top`` categories.
 
     Clicks are counted per (category, session) before the kept sessions are looked up: a very long
-    session is then at most one row per top category, and wide action rows never move. ``top`` is
-    the result of a limit, hence small enough to broadcast.
+    session is then at most one row per top category, and wide action rows never move. Spark broadcasts
+    ``top`` by its own check of the size, as ``k`` is the caller's.
     """
     clicks = actions.where(F.col("click_category_id") != NO_CLICK).select(
         F.col("click_category_id").alias("category_id"), "session_id")
     counts = (
-        clicks.join(F.broadcast(top.select("category_id")), "category_id")
+        clicks.join(top.select("category_id"), "category_id")
         .groupBy("category_id", "session_id").agg(F.count("*").alias("click_count"))
         .join(kept.select("session_id"), "session_id", "left_semi")
     )

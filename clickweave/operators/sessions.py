@@ -16,8 +16,6 @@ from clickweave.schemas import STEP_BUCKETS, VISIT_BUCKETS
 from clickweave.sources.warehouse import NO_CLICK
 
 UNRESTRICTED = TaskParams()
-# Broadcasting the sampled session ids is bounded by the sample total; beyond this Spark chooses.
-MAX_BROADCAST_SAMPLE = 100_000
 SAMPLE_PIECES = 256
 
 
@@ -152,26 +150,34 @@ def session_hour_counts(kept: DataFrame) -> DataFrame:
     return counts.select(*_date_and_hour(), "session_count")
 
 
+def hour_quotas(kept: DataFrame, total: int) -> DataFrame:
+    """Sessions to sample from each hour of each date (hour_start, quota), by largest remainder.
+
+    Every hour gets the whole part of its proportional share of ``min(total, sessions)``; what is left over goes
+    to the hours with the largest fractions, the earlier hour first on a tie. No quota exceeds its hour.
+    """
+    # At most 24 rows per date, so a window over all of them stays small.
+    everything = Window.partitionBy(F.lit(1))
+    shares = kept.groupBy(_hour()).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(everything)).withColumn(
+        "wanted", F.least(F.lit(int(total)).cast("bigint"), "all"))
+    parts = shares.select("hour_start", "wanted", F.expr("n * wanted div all").alias("whole"), F.expr("n * wanted % all").alias("rest"))
+    turn = F.row_number().over(everything.orderBy(F.desc("rest"), "hour_start"))
+    left = F.col("wanted") - F.sum("whole").over(everything)
+    quotas = parts.select("hour_start", (F.col("whole") + (turn <= left).cast("bigint")).alias("quota"))
+    return quotas.where(F.col("quota") > 0)
+
+
 def sample_sessions(kept: DataFrame, total: int = 100, seed: str = "42", pieces: int = SAMPLE_PIECES) -> DataFrame:
     """Stratified sample without replacement: (date, hour, session_id, start_ts).
 
-    Every date gets ``total div dates`` sessions, shared over its hours in proportion to their
-    sessions. Within an hour the sessions with the smallest ``md5(seed + session_id)`` are taken, so
-    the sample is repeatable. No hour's quota exceeds ``total``, hence the first ``total`` sessions of
-    each piece of an hour contain the answer and only those meet in the final ranking.
+    Exactly ``min(total, sessions)`` rows, see ``hour_quotas``. Within an hour the sessions with the
+    smallest ``md5(seed + session_id)`` are taken, so the sample is repeatable. No hour's quota exceeds
+    ``total``, hence the first ``total`` sessions of each piece of an hour contain the answer and only
+    those meet in the final ranking.
 
     ``kept`` is used twice, for the counts and for the ranking; both uses share its session shuffle.
     """
-    # At most 24 rows per date, so a window over all of them stays small.
-    date, everything = F.to_date("hour_start"), Window.partitionBy(F.lit(1))
-    quotas = kept.groupBy(_hour()).agg(F.count("*").alias("hour_sessions")).select(
-        "hour_start", "hour_sessions",
-        F.sum("hour_sessions").over(Window.partitionBy(date)).alias("date_sessions"),
-        F.size(F.collect_set(date).over(everything)).alias("dates"),
-    ).select(
-        "hour_start",
-        F.expr(f"(hour_sessions * ({int(total)} div dates)) div date_sessions").alias("quota"),
-    ).where(F.col("quota") > 0)
+    quotas = hour_quotas(kept, total)
 
     candidates = kept.select(
         _hour(), "session_id", "start_ts",
@@ -191,14 +197,10 @@ def sample_sessions(kept: DataFrame, total: int = 100, seed: str = "42", pieces:
     )
 
 
-def _bounded(sample: DataFrame, total: int) -> DataFrame:
-    return F.broadcast(sample) if total <= MAX_BROADCAST_SAMPLE else sample
-
-
-def sample_with_lists(actions: DataFrame, sample: DataFrame, total: int) -> DataFrame:
+def sample_with_lists(actions: DataFrame, sample: DataFrame) -> DataFrame:
     """Sampled sessions with their keyword and category lists, built for the sampled sessions only."""
     chosen = sample.select("session_id", "start_ts")
-    values = actions.join(_bounded(chosen, total), "session_id").groupBy(
+    values = actions.join(chosen, "session_id").groupBy(
         "session_id", "start_ts", _keyword().alias("keyword"), _clicked_category().alias("category")
     ).agg(F.count("*").alias("n"))
     return values.groupBy("session_id", "start_ts").agg(
@@ -207,6 +209,6 @@ def sample_with_lists(actions: DataFrame, sample: DataFrame, total: int) -> Data
     ).withColumn("start_time", format_time(F.col("start_ts")))
 
 
-def sample_detail(actions: DataFrame, sample: DataFrame, total: int) -> DataFrame:
+def sample_detail(actions: DataFrame, sample: DataFrame) -> DataFrame:
     """Every action of the sampled sessions."""
-    return actions.join(_bounded(sample.select("session_id"), total), "session_id", "left_semi")
+    return actions.join(sample.select("session_id"), "session_id", "left_semi")

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from clickweave.catalog import AD_THRESHOLD, PARAMS, SAMPLE_SEED, SAMPLE_TOTAL, TASK
-from clickweave.schemas import STEP_BUCKETS, VISIT_BUCKETS
+TASK, AD_THRESHOLD = "task-1", 5
+START, END = "2024-01-05", "2024-01-20"
+FLOW = (1, 2, 3, 4, 5, 6, 7)
+SAMPLE_SEED = "42"
+# Bounds of the report's buckets, both ends included, in seconds and in actions.
+VISIT_BUCKETS = (
+    ("visit_length_1s_3s", 1, 3), ("visit_length_4s_6s", 4, 6), ("visit_length_7s_9s", 7, 9),
+    ("visit_length_10s_30s", 10, 30), ("visit_length_30s_60s", 31, 60), ("visit_length_1m_3m", 61, 180),
+    ("visit_length_3m_10m", 181, 600), ("visit_length_10m_30m", 601, 1800), ("visit_length_30m", 1801, None),
+)
+STEP_BUCKETS = (
+    ("step_length_1_3", 1, 3), ("step_length_4_6", 4, 6), ("step_length_7_9", 7, 9),
+    ("step_length_10_30", 10, 30), ("step_length_30_60", 31, 60), ("step_length_60", 61, None),
+)
 
 _ACTION = """
 e0 AS (
@@ -13,7 +25,8 @@ e0 AS (
                      WHEN 4 THEN 90 WHEN 5 THEN 400 WHEN 6 THEN 1200 ELSE 3500 END span
   FROM events),
 e1 AS (
-  SELECT *, CAST(date '2024-01-01' + CAST(floor((day(ts) - 1) / sd) AS INT) * sd AS VARCHAR) bd,
+  SELECT *, (event_id * 31) % 50 + CASE WHEN event_id % 41 = 0 THEN 1000000000 ELSE 0 END product,
+    CAST(date '2024-01-01' + CAST(floor((day(ts) - 1) / sd) AS INT) * sd + CASE WHEN sd = 30 THEN 9 ELSE 0 END AS VARCHAR) bd,
     CAST((event_id * 37) % span AS INT) sec FROM e0),
 all_actions AS (
   SELECT bd AS "date", user_id, concat(user_id, '_', bd) session_id, CAST(k % 10 AS BIGINT) page_id,
@@ -21,28 +34,42 @@ all_actions AS (
            lpad(CAST(sec % 60 AS VARCHAR), 2, '0')) action_time,
     CASE WHEN event_type = 'view' THEN concat('kw', k % 10) END search_keyword,
     CAST(CASE WHEN event_type = 'click' THEN k ELSE -1 END AS BIGINT) click_category_id,
-    CAST(CASE WHEN event_type = 'click' THEN (event_id * 31) % 50 ELSE -1 END AS BIGINT) click_product_id,
+    CAST(CASE WHEN event_type = 'click' THEN product ELSE -1 END AS BIGINT) click_product_id,
     CASE WHEN event_type = 'signup' THEN concat(k, ',', (k * 3 + 1) % 100) END order_category_ids,
-    CASE WHEN event_type = 'signup' THEN concat((event_id * 31) % 50) END order_product_ids,
+    CASE WHEN event_type = 'signup' THEN concat(product) END order_product_ids,
     CASE WHEN event_type = 'purchase' THEN concat(k, ',', (k * 7 + 2) % 100) END pay_category_ids,
-    CASE WHEN event_type = 'purchase' THEN concat((event_id * 31) % 50) END pay_product_ids,
-    CAST(event_id % 25 AS BIGINT) city_id, event_id,
+    CASE WHEN event_type = 'purchase' THEN concat(product) END pay_product_ids,
+    CAST(user_id * 7 % 27 AS BIGINT) city_id, event_id,
     CAST(bd AS TIMESTAMP) + to_seconds((user_id % 23) * 3600 + sec) AS ats
   FROM e1)
 """
 _PERIOD = f"""
-actions AS (SELECT * FROM all_actions WHERE "date" BETWEEN '{PARAMS.start_date}' AND '{PARAMS.end_date}')
+actions AS (SELECT * FROM all_actions WHERE "date" BETWEEN '{START}' AND '{END}')
 """
 _TIMED = f"""
 timed AS (SELECT * FROM all_actions
-          WHERE ats >= TIMESTAMP '{PARAMS.start_date}' AND ats < TIMESTAMP '{PARAMS.end_date}' + INTERVAL 1 DAY)
+          WHERE ats >= TIMESTAMP '{START}' AND ats < TIMESTAMP '{END}' + INTERVAL 1 DAY)
+"""
+_RAW = """
+raw AS (SELECT event_id, CASE WHEN event_id % 89 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END user_id,
+          CASE WHEN event_id % 97 = 0 THEN substr(action_time, 12) WHEN event_id % 101 = 0 THEN "date"
+               WHEN event_id % 103 = 0 THEN NULL ELSE action_time END action_time,
+          CASE event_id % 4 WHEN 0 THEN concat(page_id, ', ', page_id) WHEN 1 THEN concat('0', page_id, ',', page_id)
+               WHEN 2 THEN concat('x,', page_id) ELSE order_category_ids END order_category_ids,
+          pay_category_ids, click_category_id, ats,
+          event_id % 97 = 0 OR event_id % 101 = 0 OR event_id % 103 = 0 no_time, event_id % 89 = 0 no_user
+        FROM all_actions)
+"""
+_RAW_TIMED = f"""
+raw_timed AS (SELECT * FROM raw WHERE NOT no_time
+              AND ats >= TIMESTAMP '{START}' AND ats < TIMESTAMP '{END}' + INTERVAL 1 DAY)
 """
 _USERS = """
 users AS (
-  SELECT c_custkey user_id, CAST((c_custkey * 13) % 60 AS INT) age,
+  SELECT c_custkey + 5 user_id, CAST((c_custkey * 13) % 60 AS INT) age,
     concat('professional', c_custkey % 100) professional, concat('city', c_nationkey) user_city,
     CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END sex
-  FROM customer WHERE c_custkey % 20 <> 19)
+  FROM customer)
 """
 
 
@@ -55,7 +82,7 @@ rollup AS (
     list_sort(list(DISTINCT click_category_id) FILTER (WHERE click_category_id <> -1)) cats
   FROM {source} GROUP BY session_id),
 profile AS (SELECT * FROM rollup JOIN users USING (user_id)),
-kept AS (SELECT * FROM profile WHERE age BETWEEN {PARAMS.start_age} AND {PARAMS.end_age})
+kept AS (SELECT * FROM profile WHERE age BETWEEN 20 AND 50)
 """
 
 
@@ -89,13 +116,17 @@ _BUCKETS = f"buckets AS (SELECT count(*) session_count, {_bucket_counts()} FROM
 _RATIOS = ", ".join(
     f"((200 * {name} + n) // (2 * n)) / 100.0 AS {name}_ratio" for name, _, _ in VISIT_BUCKETS + STEP_BUCKETS)
 
-_SAMPLE = f"""
+
+def _sample(total: int) -> str:
+    """Whole parts of the proportional shares first, then one more for each of the largest remainders."""
+    return f"""
 started AS (SELECT *, strftime(start_ts, '%Y-%m-%d') d, strftime(start_ts, '%H') h,
               md5(concat('{SAMPLE_SEED}', session_id)) pick FROM kept),
 per_hour AS (SELECT d, h, count(*) hn FROM started GROUP BY d, h),
-per_day AS (SELECT d, sum(hn) dn FROM per_hour GROUP BY d),
-quota AS (SELECT d, h, (hn * ({SAMPLE_TOTAL} // (SELECT count(*) FROM per_day))) // dn q
-          FROM per_hour JOIN per_day USING (d)),
+whole AS (SELECT count(*) n, least(count(*), {total}) wanted FROM kept),
+share AS (SELECT d, h, (hn * wanted) // n w, (hn * wanted) % n rest, wanted FROM per_hour, whole),
+quota AS (SELECT d, h, w + CASE WHEN row_number() OVER (ORDER BY rest DESC, d, h) <= wanted - sum(w) OVER () THEN 1 ELSE 0 END q
+          FROM share),
 sample AS (SELECT s.* FROM
              (SELECT *, row_number() OVER (PARTITION BY d, h ORDER BY pick, session_id) rn FROM started) s
            JOIN quota USING (d, h) WHERE rn <= q)
@@ -107,13 +138,13 @@ def _category_events(source: str) -> str:
 category_event AS (
   SELECT 'click' kind, click_category_id c FROM {source} WHERE click_category_id <> -1
   UNION ALL
-  SELECT 'order', CAST(unnest(list_distinct(string_split(order_category_ids, ','))) AS BIGINT) FROM {source}
+  SELECT 'order', unnest(list_distinct(list_transform(string_split(order_category_ids, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)))) FROM {source}
   UNION ALL
-  SELECT 'pay', CAST(unnest(list_distinct(string_split(pay_category_ids, ','))) AS BIGINT) FROM {source}),
+  SELECT 'pay', unnest(list_distinct(list_transform(string_split(pay_category_ids, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)))) FROM {source}),
 category_count AS (
   SELECT c category_id, count(*) FILTER (WHERE kind = 'click') click_count,
     count(*) FILTER (WHERE kind = 'order') order_count, count(*) FILTER (WHERE kind = 'pay') pay_count
-  FROM category_event GROUP BY c),
+  FROM category_event WHERE c IS NOT NULL GROUP BY c),
 top10 AS (SELECT * FROM category_count
           ORDER BY click_count DESC, order_count DESC, pay_count DESC, category_id LIMIT 10)
 """
@@ -121,7 +152,7 @@ top10 AS (SELECT * FROM category_count
 
 _CATEGORIES = ",".join((_ACTION, _TIMED, _category_events("timed")))
 
-_FLOW = list(PARAMS.target_page_flow)
+_FLOW = list(FLOW)
 _STEP_ROWS = " UNION ALL ".join(
     [f"SELECT 0 step, '{_FLOW[0]}' page_split, count(*) page_count FROM linked WHERE page_id = {_FLOW[0]}"]
     + [f"SELECT {i}, '{a}_{b}', count(*) FROM linked WHERE page_id = {a} AND next_page_id = {b}"
@@ -151,9 +182,9 @@ info AS (SELECT area, click_product_id, click_count, city_info, p_name product_n
 """))
 
 _ADS = f"""
-ad AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') "date", CAST(event_id % 10 AS VARCHAR) province,
+ad AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') "date", CAST(event_id % 10 // 3 AS VARCHAR) province,
          CAST(event_id % 10 AS VARCHAR) city, user_id % 50 userid,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 adid FROM events),
+         CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 adid FROM events),
 user_day AS (SELECT "date", userid, adid, count(*) "clickCount" FROM ad GROUP BY ALL),
 listed AS (SELECT DISTINCT userid FROM user_day WHERE "clickCount" >= {AD_THRESHOLD}),
 running AS (SELECT *, count(*) OVER (PARTITION BY "date", userid, adid ORDER BY ts, event_id
@@ -176,7 +207,7 @@ def _pick(ctes: str, select: str) -> str:
 
 
 def all_oracles() -> dict[str, str]:
-    return {
+    named = {
         "action_scan": _pick(f"{_ACTION},{_PERIOD}", f"SELECT {_ACTION_LIST} FROM actions"),
         "action_scan_by_time": _pick(f"{_ACTION},{_TIMED}", f"SELECT {_ACTION_LIST} FROM timed"),
         "area_click_scan": _pick(_AREAS, "SELECT click_product_id, city_id FROM area_click"),
@@ -189,6 +220,10 @@ def all_oracles() -> dict[str, str]:
         "session_filter_narrow": _pick(_SESSIONS, f"""
             SELECT {_PROFILE_LIST} FROM kept WHERE sex = 'male'
               AND list_has_any(kws, ['kw1', 'kw2']) AND list_has_any(cats, [5, 10, 15])"""),
+        "session_filter_places": _pick(_SESSIONS, f"""
+            SELECT {_PROFILE_LIST} FROM kept
+            WHERE CAST(replace(professional, 'professional', '') AS INT) % 2 = 0
+              AND CAST(replace(user_city, 'city', '') AS INT) < 13"""),
         "filtered_actions": _pick(_SESSIONS, f"""
             SELECT {_ACTION_LIST} FROM actions WHERE session_id IN (SELECT session_id FROM kept)"""),
         "session_buckets": _pick(f"{_SESSIONS},{_BUCKETS}", "SELECT * FROM buckets"),
@@ -198,18 +233,24 @@ def all_oracles() -> dict[str, str]:
         "session_hour_counts": _pick(_SESSIONS, """
             SELECT strftime(start_ts, '%Y-%m-%d') "date", strftime(start_ts, '%H') "hour", count(*) session_count
             FROM kept GROUP BY ALL"""),
-        "session_sample": _pick(f"{_SESSIONS},{_SAMPLE}", f"""
+        **{f"session_sample{suffix}": _pick(f"{_SESSIONS},{_sample(total)}", f"""
             SELECT '{TASK}' taskid, session_id sessionid, strftime(start_ts, {_TIME}) "startTime",
               array_to_string(kws, ',') "searchKeywords", array_to_string(cats, ',') "clickCategoryIds"
-            FROM sample"""),
-        "session_sample_detail": _pick(f"{_SESSIONS},{_SAMPLE}", f"""
+            FROM sample""") for suffix, total in (("", 100), ("_1000", 1000))},
+        **{f"session_sample_detail{suffix}": _pick(f"{_SESSIONS},{_sample(total)}", f"""
             SELECT '{TASK}' taskid, user_id userid, session_id sessionid, page_id pageid, action_time "actionTime",
               search_keyword "searchKeyword", click_category_id "clickCategoryId",
               click_product_id "clickProductId", order_category_ids "orderCategoryIds",
               order_product_ids "orderProductIds", pay_category_ids "payCategoryIds", pay_product_ids "payProductIds"
-            FROM actions WHERE session_id IN (SELECT session_id FROM sample)"""),
+            FROM actions WHERE session_id IN (SELECT session_id FROM sample)""")
+           for suffix, total in (("", 100), ("_1000", 1000))},
         "category_universe": _pick(_CATEGORIES, "SELECT DISTINCT c category_id FROM category_event"),
         "category_counts": _pick(_CATEGORIES, "SELECT * FROM category_count"),
+        "category_counts_raw": _pick(",".join((_ACTION, _RAW, _RAW_TIMED, _category_events("raw_timed"))), "SELECT * FROM category_count"),
+        "action_rejects": _pick(f"{_ACTION},{_RAW}", """
+            SELECT event_id, user_id, action_time,
+              concat_ws(',', CASE WHEN no_time THEN 'action_time' END, CASE WHEN no_user THEN 'user_id' END) unreadable
+            FROM raw WHERE no_time OR no_user"""),
         "top10_category": _pick(_CATEGORIES, f"""
             SELECT '{TASK}' taskid, category_id categoryid, click_count "clickCount", order_count "orderCount",
               pay_count "payCount" FROM top10"""),
@@ -266,10 +307,21 @@ def all_oracles() -> dict[str, str]:
             SELECT word, count(*) AS "count"
             FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) word FROM documents)
             WHERE word <> '' GROUP BY word""",
-        "kv_field_get": _pick(f"{_ACTION},{_PERIOD}", """
+        "scalar_functions": _pick(_ACTION, """
+            SELECT event_id, session_id trimmed, lpad(CAST(page_id AS VARCHAR), 2, '0') padded,
+              coalesce(search_keyword, '') = '' no_keyword, coalesce(search_keyword, '') <> '' keyword,
+              ats < TIMESTAMP '2024-01-10 12:00:00' before_noon, ats > TIMESTAMP '2024-01-10 12:00:00' after_noon,
+              strftime(ats, '%Y-%m-%d') "day", strftime(ats, '%Y-%m-%d_%H') day_hour, strftime(ats, '%Y%m%d') day_key,
+              strftime(ats, '%Y-%m-%d') day_again, strftime(ats, '%Y%m%d%H%M') "minute",
+              (event_id * 25 + 1) // 2 / 100.0::DOUBLE eighth, true days_pass
+            FROM all_actions"""),
+        "kv_field_get": _pick(_ACTION, """
             SELECT event_id, session_id sessionid, nullif(search_keyword, '') search_keywords,
-              CAST(click_category_id AS VARCHAR) click_category_ids FROM actions"""),
-        "kv_field_set": _pick(f"{_ACTION},{_PERIOD}", f"""
+              CAST(click_category_id AS VARCHAR) click_category_ids FROM all_actions"""),
+        "kv_field_set": _pick(_ACTION, f"""
             SELECT event_id, regexp_replace({_PACKED}, 'clickCategoryIds=.*$', 'clickCategoryIds=0') packed
-            FROM actions"""),
+            FROM all_actions"""),
     }
+    for name in ("filtered_actions", "page_pairs", "ad_accepted_clicks"):
+        named[f"{name}_hot"] = named[name]
+    return named

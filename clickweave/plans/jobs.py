@@ -21,6 +21,11 @@ def _task(task_id: str):
     return F.lit(task_id).alias("taskid")
 
 
+def kept_name(task_id: str) -> str:
+    """Name of the shared table of a run's filtered sessions."""
+    return f"kept_sessions_{task_id}"
+
+
 def session_aggr_stat(actions: DataFrame, users: DataFrame, params: TaskParams, task_id: str) -> DataFrame:
     """Visit-length and step-length distribution of the filtered sessions (one row)."""
     kept = sessions.kept_sessions(action_scan(actions, params), users, params)
@@ -33,7 +38,7 @@ def session_random_extract(actions: DataFrame, users: DataFrame, params: TaskPar
     """Stratified sample of the filtered sessions with their keywords and clicked categories."""
     scanned = action_scan(actions, params)
     sample = sessions.sample_sessions(sessions.kept_sessions(scanned, users, params), total, seed)
-    return _extract(sessions.sample_with_lists(scanned, sample, total), task_id)
+    return _extract(sessions.sample_with_lists(scanned, sample), task_id)
 
 
 def _extract(listed: DataFrame, task_id: str) -> DataFrame:
@@ -48,16 +53,16 @@ def session_reports(actions: DataFrame, users: DataFrame, params: TaskParams, ta
                     total: int = 100, seed: str = "42", folder: str | None = None) -> dict[str, DataFrame]:
     """Distribution and sample in one run: the filtered sessions are computed once and shared.
 
-    They are written to ``folder`` (by default below ``spark.checkpoint.dir``), so losing an executor
-    costs no recomputation; the caller removes the folder when the reports are stored.
+    They are written to a folder of their own below ``folder`` (by default below ``spark.checkpoint.dir``), so
+    losing an executor costs no recomputation; ``remove_shared`` removes it once the reports are stored.
     """
     scanned = action_scan(actions, params)
-    kept = shared_table(sessions.kept_sessions(scanned, users, params), f"kept_sessions_{task_id}", folder)
+    kept = shared_table(sessions.kept_sessions(scanned, users, params), kept_name(task_id), folder)
     ratios = sessions.session_ratios(sessions.session_buckets(kept))
     sample = sessions.sample_sessions(kept, total, seed)
     return {
         "session_stat": ratios.select(_task(task_id), "*"),
-        "session_random_extract": _extract(sessions.sample_with_lists(scanned, sample, total), task_id),
+        "session_random_extract": _extract(sessions.sample_with_lists(scanned, sample), task_id),
     }
 
 
@@ -66,7 +71,7 @@ def session_detail(actions: DataFrame, users: DataFrame, params: TaskParams, tas
     """All actions of the sampled sessions."""
     scanned = action_scan(actions, params)
     sample = sessions.sample_sessions(sessions.kept_sessions(scanned, users, params), total, seed)
-    return sessions.sample_detail(scanned, sample, total).select(
+    return sessions.sample_detail(scanned, sample).select(
         _task(task_id), F.col("user_id").alias("userid"), F.col("session_id").alias("sessionid"),
         F.col("page_id").alias("pageid"), F.col("action_time").alias("actionTime"),
         F.col("search_keyword").alias("searchKeyword"),
@@ -76,17 +81,19 @@ def session_detail(actions: DataFrame, users: DataFrame, params: TaskParams, tas
     )
 
 
-def top10_category(actions: DataFrame, params: TaskParams, task_id: str, k: int = 10) -> DataFrame:
+def top10_category(actions: DataFrame, params: TaskParams, task_id: str, k: int = 10,
+                   date_of_time: bool = False) -> DataFrame:
     """The ten leading categories over all actions of the period."""
-    top = categories.top_categories(categories.category_counts(action_scan_by_time(actions, params)), k)
+    top = categories.top_categories(categories.category_counts(action_scan_by_time(actions, params, date_of_time)), k)
     return top.select(
         _task(task_id), F.col("category_id").alias("categoryid"), F.col("click_count").alias("clickCount"),
         F.col("order_count").alias("orderCount"), F.col("pay_count").alias("payCount"))
 
 
-def top10_session(actions: DataFrame, users: DataFrame, params: TaskParams, task_id: str, k: int = 10) -> DataFrame:
+def top10_session(actions: DataFrame, users: DataFrame, params: TaskParams, task_id: str, k: int = 10,
+                  date_of_time: bool = False) -> DataFrame:
     """The ten filtered sessions with most clicks in each of the ten leading categories."""
-    scanned = action_scan_by_time(actions, params)
+    scanned = action_scan_by_time(actions, params, date_of_time)
     top = categories.top_categories(categories.category_counts(scanned), k)
     kept = sessions.kept_sessions(scanned, users, params)
     return categories.top_category_sessions(scanned, kept, top, k).select(

@@ -28,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Days a session may span by user, and seconds of the hour its actions fall in.
+# Days a session may span by user, days by which its dates are shifted, and seconds of the hour its actions fall in.
 _DAYS = "CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 30 END"
+_SHIFT = "CASE user_id % 3 WHEN 2 THEN 9 ELSE 0 END"
 _SPAN = ("CASE user_id % 8 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3 THEN 45 WHEN 4 THEN 90 "
          "WHEN 5 THEN 400 WHEN 6 THEN 1200 ELSE 3500 END")
 _CODE = "CAST(get_json_object(props, '$.k') AS INT)"
@@ -37,9 +38,10 @@ _CODE = "CAST(get_json_object(props, '$.k') AS INT)"
 
 def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr(
-        "user_id", "event_id", "event_type", f"{_CODE} AS k", "event_id * 31 % 50 AS product",
+        "user_id", "event_id", "event_type", f"{_CODE} AS k",
+        "event_id * 31 % 50 + CASE WHEN event_id % 41 = 0 THEN 1000000000 ELSE 0 END AS product",  # some unknown products
         f"CAST(event_id * 37 % {_SPAN} AS INT) AS second",
-        f"CAST(date_add(DATE '{FIRST_DAY}', (day(ts) - 1) - (day(ts) - 1) % {_DAYS}) AS STRING) AS date",
+        f"CAST(date_add(DATE '{FIRST_DAY}', (day(ts) - 1) - (day(ts) - 1) % {_DAYS} + {_SHIFT}) AS STRING) AS date",
     )
     return events.selectExpr(
         "date", "user_id", "concat(user_id, '_', date) AS session_id", "CAST(k % 10 AS BIGINT) AS page_id",
@@ -52,13 +54,27 @@ def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_type = 'signup' THEN CAST(product AS STRING) END AS order_product_ids",
         "CASE WHEN event_type = 'purchase' THEN concat(k, ',', (k * 7 + 2) % 100) END AS pay_category_ids",
         "CASE WHEN event_type = 'purchase' THEN CAST(product AS STRING) END AS pay_product_ids",
-        "CAST(event_id % 25 AS BIGINT) AS city_id", "event_id",
+        "CAST(user_id * 7 % 27 AS BIGINT) AS city_id", "event_id",  # two cities are unknown
     )
 
 
+def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actions as a careless source would deliver them: some times and ids cannot be read, lists repeat numbers."""
+    spoilt = {
+        "action_time": "CASE WHEN event_id % 97 = 0 THEN substr(action_time, 12) WHEN event_id % 101 = 0 THEN date "
+                       "WHEN event_id % 103 = 0 THEN NULL ELSE action_time END",
+        "user_id": "CASE WHEN event_id % 89 = 0 THEN 'x' ELSE CAST(user_id AS STRING) END",
+        "order_category_ids": "CASE event_id % 4 WHEN 0 THEN concat(page_id, ', ', page_id) WHEN 1 THEN concat('0', page_id, ',', page_id) "
+                              "WHEN 2 THEN concat('x,', page_id) ELSE order_category_ids END",
+    }
+    actions = user_visit_action(spark, sf_dir)
+    return actions.selectExpr(*[f"{spoilt[c]} AS {c}" if c in spoilt else c for c in actions.columns])
+
+
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 20 <> 19").selectExpr(
-        "c_custkey AS user_id", "concat('user', c_custkey) AS username", "c_name AS name",
+    # Shifted ids: the first five users of the actions are unknown.
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey + 5 AS user_id", "concat('user', c_custkey + 5) AS username", "c_name AS name",
         "CAST(c_custkey * 13 % 60 AS INT) AS age", "concat('professional', c_custkey % 100) AS professional",
         "concat('city', c_nationkey) AS city", "CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex",
     )
@@ -79,9 +95,9 @@ def city_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ad_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "CAST(ts AS TIMESTAMP) AS ts", "CAST(event_id % 10 AS STRING) AS province",
+        "CAST(ts AS TIMESTAMP) AS ts", "CAST(event_id % 10 div 3 AS STRING) AS province",
         "CAST(event_id % 10 AS STRING) AS city", "user_id % 50 AS userid",
-        f"CAST({_CODE} % 3 AS BIGINT) AS adid", "event_id",
+        f"CAST({_CODE} % 7 AS BIGINT) AS adid", "event_id",
     )
 
 

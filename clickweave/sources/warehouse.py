@@ -1,8 +1,9 @@
 """Scans of the warehouse tables.
 
 The scans take a DataFrame (a table, a Parquet directory, a view) and add only projections and
-predicates on native columns, so both reach the file scan; a table partitioned by ``date`` is
-pruned by the same predicate.
+predicates on stored columns, so both reach the file scan; a table partitioned by ``date`` is
+pruned by the same predicate. ``action_scan_by_time`` filters the stored text of the time, whose date
+prefix has a fixed width, next to the parsed time.
 """
 
 from __future__ import annotations
@@ -32,22 +33,38 @@ AREA_LEVELS = {
 
 
 def typed(df: DataFrame, ddl: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of ``ddl`` cast to its types, plus any of ``extra`` that exist."""
+    """The columns of ``ddl`` cast to its types, plus any of ``extra`` that exist; unreadable values become null."""
     fields = [f.strip().split(" ") for f in ddl.split(",")]
     kept = [c for c in extra if c in df.columns]
-    return df.selectExpr(*[f"CAST({name} AS {kind}) AS {name}" for name, kind in fields], *kept)
+    stored = dict(df.dtypes)
+    return df.select(*[F.col(name) if stored[name] == kind or (name, stored[name]) == ("date", "date")
+                       else F.col(name).try_cast(kind).alias(name) for name, kind in fields], *kept)
 
 
 def load_actions(df: DataFrame) -> DataFrame:
     """``user_visit_action`` with declared types and ``action_ts``. An ``event_id``, where the table
     has one, orders actions of the same second; otherwise a hash of what the page order depends on
-    does, repeatably and without reading the other columns."""
+    does, repeatably and without reading the other columns. A ``date`` stored as DATE stays one, so that its
+    range is pushed down. What cannot be read is null; ``action_rejects`` lists such rows."""
     actions = typed(df, USER_VISIT_ACTION, ("event_id",))
     if "event_id" not in actions.columns:
         actions = actions.withColumn("event_id", F.xxhash64("session_id", "action_time", "page_id"))
     return actions.withColumn("action_ts", parse_action_time(F.col("action_time")))
 
 
+def action_rejects(df: DataFrame) -> DataFrame:
+    """Rows of ``user_visit_action`` that jobs by time or by id lose, with the columns that cannot be read.
+
+    The time must be there; ids may be null, but where they are given they must be numbers.
+    """
+    fields = [f.strip().split(" ") for f in USER_VISIT_ACTION.split(",")]
+    stored = dict(df.dtypes)
+    unreadable = [F.when(parse_action_time(F.col("action_time").cast("string")).isNull(), F.lit("action_time"))]
+    unreadable += [F.when(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), F.lit(name))
+                   for name, kind in fields if stored[name] != kind and kind != "string"]
+    return df.withColumn("unreadable", F.concat_ws(",", *unreadable)).where(F.col("unreadable") != "")
+
+
 def load_users(df: DataFrame) -> DataFrame:
     return typed(df, USER_INFO)
 
@@ -70,13 +87,20 @@ def action_scan(actions: DataFrame, params: TaskParams) -> DataFrame:
     return actions
 
 
-def action_scan_by_time(actions: DataFrame, params: TaskParams) -> DataFrame:
-    """Actions whose time lies in the date range; the whole last day is included."""
+def action_scan_by_time(actions: DataFrame, params: TaskParams, date_of_time: bool = False) -> DataFrame:
+    """Actions whose time lies in the date range; the whole last day is included.
+
+    ``date_of_time`` states that the table's ``date`` is the date of its time: the range of dates is then added, which
+    prunes the partitions of a table partitioned by ``date``.
+    """
+    if date_of_time:
+        actions = action_scan(actions, params)
     if params.start_date:
-        actions = actions.where(F.col("action_ts") >= F.lit(params.start_date).cast("timestamp"))
+        actions = actions.where((F.col("action_time") >= params.start_date)
+                                & (F.col("action_ts") >= F.lit(params.start_date).cast("timestamp")))
     if params.end_date:
-        after = dt.date.fromisoformat(params.end_date) + dt.timedelta(days=1)
-        actions = actions.where(F.col("action_ts") < F.lit(after.isoformat()).cast("timestamp"))
+        after = (dt.date.fromisoformat(params.end_date) + dt.timedelta(days=1)).isoformat()
+        actions = actions.where((F.col("action_time") < after) & (F.col("action_ts") < F.lit(after).cast("timestamp")))
     return actions
 
 

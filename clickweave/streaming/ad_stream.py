@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -38,9 +39,9 @@ class AdTables:
     rejects: str
 
     @classmethod
-    def under(cls, root: str, fan_in: int = 100) -> AdTables:
+    def under(cls, root: str) -> AdTables:
         def table(name, schema, merge, keys, partition="date"):
-            return StreamTable(f"{root}/{name}", schema, merge, keys, partition, fan_in)
+            return StreamTable(f"{root}/{name}", schema, merge, keys, partition)
 
         return cls(
             user_counts=table("ad_user_click_count", schemas.AD_USER_CLICK_COUNT, "added",
@@ -58,7 +59,7 @@ class AdTables:
 
 
 def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
-                  threshold: int = ads.DEFAULT_THRESHOLD, k: int = 3, probe_skew: bool = False,
+                  threshold: int = ads.DEFAULT_THRESHOLD, k: int = 3, probe_skew: bool = True,
                   publish: Publish | None = None) -> None:
     """One micro-batch of lines.
 
@@ -66,9 +67,10 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     user whose count of the day on one ad reaches ``threshold`` is blacklisted for the following
     batches. Province leaders are recomputed for the (date, province) groups the batch touches.
 
-    Only aggregates are written, so each step costs the size of the batch plus the touched dates. The
-    lines are cached so that the source is read once; the first write also fills the cache of accepted
-    clicks, and the steps after it are independent jobs that run side by side.
+    Only aggregates are written, and only of the dates that the batch touches are earlier ones read, so a click with a bad
+    clock costs its own date and no other. The lines are cached so that the source is read once; a user with very
+    many clicks in the batch is found in them and spread over tasks (``probe_skew``). The first write also fills the cache of
+    accepted clicks; the steps after it are independent jobs that run side by side, in the job group of the query.
 
     ``publish(name, rows)`` is called at the end with the changed rows of each table, for example to
     upsert them into a database. The rows hold totals, not increments, so repeating a call is harmless.
@@ -80,40 +82,44 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     hot = find_hot_keys(clicks, "userid") if probe_skew else HotKeys("userid")
     accepted = ads.without_blacklisted(clicks, tables.blacklist.read(spark, batch_id), hot)
     accepted = accepted.persist(StorageLevel.MEMORY_AND_DISK)
+    touched: dict[str, list[str]] = {}
+
+    def save(table: StreamTable, rows: DataFrame) -> None:
+        touched[table.path] = table.write(rows, batch_id)
 
     def save_rejects() -> None:
         ad_rejects(lines).write.mode("overwrite").text(f"{tables.rejects}/batch_id={batch_id}")
 
     def save_trend() -> None:
-        tables.trend.write(ads.minute_trend(accepted), batch_id)
+        save(tables.trend, ads.minute_trend(accepted))
 
     def save_blacklist() -> None:
-        totals = tables.user_counts.read(spark, after, low, high).join(
-            counted.select("date", "userid", "adid"), ["date", "userid", "adid"], "left_semi")
-        listed = ads.blacklist(totals, threshold)
+        totals = tables.user_counts.changed(spark, batch_id, touched[tables.user_counts.path])
         known = tables.blacklist.read(spark, batch_id)
-        tables.blacklist.write(listed.join(known, "userid", "left_anti"), batch_id)
+        save(tables.blacklist, ads.blacklist(totals, threshold).join(known, "userid", "left_anti"))
 
     def save_places() -> None:
-        tables.city_counts.write(ads.city_daily(accepted), batch_id)
-        touched = tables.city_counts.read_batch(spark, batch_id).select("date", "province").distinct()
-        current = tables.city_counts.read(spark, after, low, high).join(touched, ["date", "province"], "left_semi")
-        tables.province_top.write(ads.province_top(ads.province_daily(current), k), batch_id)
+        save(tables.city_counts, ads.city_daily(accepted))
+        dates = touched[tables.city_counts.path]
+        groups = tables.city_counts.changed(spark, batch_id, dates).select("date", "province").distinct()
+        current = tables.city_counts.read(spark, after, dates).join(groups, ["date", "province"], "left_semi")
+        save(tables.province_top, ads.province_top(ads.province_daily(current), k))
 
     try:
-        tables.user_counts.write(ads.user_daily(accepted), batch_id)
-        counted = tables.user_counts.read_batch(spark, batch_id)
-        low, high = counted.agg(F.min("date"), F.max("date")).first()
-        steps = (save_blacklist, save_places, save_trend, save_rejects)
-        with ThreadPoolExecutor(len(steps)) as pool:
-            for done in [pool.submit(step) for step in steps]:
-                done.result()
+        save(tables.user_counts, ads.user_daily(accepted))
+        if touched[tables.user_counts.path]:
+            steps = (save_blacklist, save_places, save_trend, save_rejects)
+            with ThreadPoolExecutor(len(steps)) as pool:
+                for done in [pool.submit(inheritable_thread_target(step)) for step in steps]:
+                    done.result()
+        else:
+            save_rejects()
     finally:
         accepted.unpersist()
         lines.unpersist()
     if publish:
         for name, table in tables.named():
-            publish(name, table.changed(spark, batch_id))
+            publish(name, table.changed(spark, batch_id, touched.get(table.path, [])))
 
 
 def _start(writer: DataStreamWriter, available_now: bool, interval: str) -> StreamingQuery:
@@ -123,7 +129,7 @@ def _start(writer: DataStreamWriter, available_now: bool, interval: str) -> Stre
 
 def start_ad_stream(lines: DataFrame, tables: AdTables, checkpoint: str | None = None,
                     threshold: int = ads.DEFAULT_THRESHOLD, available_now: bool = False,
-                    interval: str = BATCH_INTERVAL, probe_skew: bool = False,
+                    interval: str = BATCH_INTERVAL, probe_skew: bool = True,
                     publish: Publish | None = None) -> StreamingQuery:
     """Runs ``process_batch`` on a stream of lines; the checkpoint restores offsets after a restart."""
     writer = lines.writeStream.foreachBatch(
@@ -176,3 +182,8 @@ def upsert_stream(rows: DataFrame, table: StreamTable, checkpoint: str | None =
     writer = rows.writeStream.outputMode("update").foreachBatch(table.write).option(
         "checkpointLocation", shared_folder(rows.sparkSession, checkpoint, table.path.rstrip("/").split("/")[-1]))
     return _start(writer, available_now, interval)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, by the progress reports the query still holds."""
+    return sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators)

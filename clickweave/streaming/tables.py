@@ -1,28 +1,34 @@
 """Result tables that a stream updates by key.
 
-Every micro-batch writes its own directory, ``level=0/unit=<batch id>``, by overwrite, and reads only
-directories of earlier batches. A batch that is run again after a failure therefore sees the same
-input and replaces its own output. Rows of one key are merged when the table is read:
+A table is plain Parquet, one folder per value of its partition column (the date) and below it one folder per state:
+``date=2024-01-01/state=17`` is the whole date as batch 17 left it. A micro-batch reads the newest earlier state of
+the dates it touches, merges its rows and writes their new state; other dates are neither read nor listed, and a batch
+without rows does nothing. Two states of a date are kept, so a batch that is run again reads what it read the first
+time and replaces what it wrote; older ones are removed. The number of files of a date therefore does not depend on
+the number of batches. The price is that a batch rewrites the aggregates of the dates it touches.
+
+Rows of one key are merged by one of these rules:
 
 * ``added``      counts of one key are summed (adding upsert),
 * ``latest``     the row of the newest batch wins (overwriting upsert),
 * ``group``      all rows of a group are replaced by those of the newest batch that has the group,
 * ``distinct``   keys are kept once (insert of new keys).
 
-``fan_in`` directories of one level are merged into one of the next, so a read lists at most
-``fan_in`` directories per level and a row is rewritten once per level, however old the stream is.
-Which directories make up the table follows from the batch number alone. A table belongs to the
-checkpoint of one query: batch numbers must not start again on an old table.
+A table belongs to the checkpoint of one query: batch numbers must not start again on an old table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VERSION = "version"
+VERSION = "version"      # the last batch that changed a row
+STATE = "state"
+WHOLE = "part"           # partition column of a table that has none of its own
+KEPT_STATES = 2
 
 
 @dataclass(frozen=True)
@@ -31,92 +37,95 @@ class StreamTable:
     schema: str                       # DDL of the table's columns
     merge: str                        # added | latest | group | distinct
     keys: tuple[str, ...]
-    partition: str | None = None      # column that splits every directory, e.g. the date
-    fan_in: int = 100
-
-    def __post_init__(self) -> None:
-        if self.fan_in < 2:
-            raise ValueError("fan_in must be at least 2")
+    partition: str | None = None      # column by which the table is split, e.g. the date
 
     # ---- writing ----
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        """Rows of one micro-batch; they must hold each key at most once."""
-        spark, level, size = rows.sparkSession, 1, self.fan_in
-        while batch_id and batch_id % size == 0:
-            part = size // self.fan_in
-            parts = [(level - 1, i) for i in range((batch_id - size) // part, batch_id // part)]
-            self._save(self._merged(self._load(spark, parts)), level, batch_id // size - 1)
-            level, size = level + 1, size * self.fan_in
-        self._save(rows.withColumn(VERSION, F.lit(batch_id).cast("bigint")), 0, batch_id)
-
-    def _save(self, rows: DataFrame, level: int, unit: int) -> None:
-        if self.partition:
-            # One writer per key hash, not one file per task and date.
-            rows = rows.repartition(*self.keys)
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if self.partition:
-            writer = writer.partitionBy(self.partition)
-        writer.parquet(f"{self.path}/level={level}/unit={unit}")
+    def write(self, rows: DataFrame, batch_id: int) -> list[str]:
+        """Merges the rows of one micro-batch, which hold each key at most once; the partitions touched are returned."""
+        spark = rows.sparkSession
+        rows = self._split(rows.withColumn(VERSION, F.lit(batch_id).cast("bigint"))).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select(self._column).distinct().collect())
+            if touched:
+                merged = self._merged(self._load(spark, batch_id, touched).unionByName(rows))
+                merged.withColumn(STATE, F.lit(batch_id)).repartition(*self.keys).write.mode("overwrite").option(
+                    "partitionOverwriteMode", "dynamic").partitionBy(self._column, STATE).parquet(self.path)
+        finally:
+            rows.unpersist()
+        for value in touched:
+            self._remove_old(spark, value, batch_id)
+        return touched
+
+    def _remove_old(self, spark: SparkSession, value: str, batch_id: int) -> None:
+        earlier = [state for state in self._states(spark, value) if state <= batch_id]
+        for state in earlier[:-KEPT_STATES]:
+            path, files = _hadoop(spark, f"{self._folder(value)}/{STATE}={state}")
+            files.delete(path, True)
 
     # ---- reading ----
 
-    def read(self, spark: SparkSession, before: int, low: str | None = None, high: str | None = None) -> DataFrame:
-        """The table as it was before batch ``before``; ``low``/``high`` bound the partition column."""
-        rows = self._load(spark, self._units(before))
-        if low is not None:
-            rows = rows.where(F.col(self.partition) >= low)
-        if high is not None:
-            rows = rows.where(F.col(self.partition) <= high)
-        return self._merged(rows).drop(VERSION)
-
-    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """What one batch has written."""
-        return self._load(spark, [(0, batch_id)]).drop(VERSION)
-
-    def changed(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Current rows of every key that a batch has written; only the partitions it touched are read."""
-        batch = self.read_batch(spark, batch_id)
-        low, high = None, None
-        if self.partition:
-            low, high = batch.agg(F.min(self.partition), F.max(self.partition)).first()
-        keys = list(self.keys)
-        return self.read(spark, batch_id + 1, low, high).join(batch.select(*keys).distinct(), keys, "left_semi")
-
-    def _units(self, before: int) -> list[tuple[int, int]]:
-        """(level, unit) directories that hold batches 0 to ``before - 1``, the largest first.
-
-        A merged unit is written by the batch that follows its last one, hence there for every batch
-        after that.
-        """
-        level, size = 0, 1
-        while size * self.fan_in < before:
-            level, size = level + 1, size * self.fan_in
-        units, start = [], 0
-        while level:
-            while start + size < before:
-                units.append((level, start // size))
-                start += size
-            level, size = level - 1, size // self.fan_in
-        return units + [(0, i) for i in range(start, before)]
-
-    def _load(self, spark: SparkSession, units: list[tuple[int, int]]) -> DataFrame:
-        schema = f"{self.schema}, {VERSION} bigint"
-        if not units:
+    def read(self, spark: SparkSession, before: int, partitions: Iterable[str] | None = None) -> DataFrame:
+        """The table as it was before batch ``before``, or only some of its partitions."""
+        return self._whole(self._load(spark, before, partitions)).drop(VERSION)
+
+    def changed(self, spark: SparkSession, batch_id: int, partitions: Iterable[str] | None = None) -> DataFrame:
+        """Current rows of every key that a batch has written; ``partitions`` are those that it touched."""
+        return self._whole(self._load(spark, batch_id + 1, partitions).where(F.col(VERSION) == batch_id)).drop(VERSION)
+
+    @property
+    def _column(self) -> str:
+        return self.partition or WHOLE
+
+    def _split(self, rows: DataFrame) -> DataFrame:
+        return rows if self.partition else rows.withColumn(WHOLE, F.lit("all"))
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        return rows if self.partition else rows.drop(WHOLE)
+
+    def _folder(self, value: str) -> str:
+        return f"{self.path}/{self._column}={value}"
+
+    def _states(self, spark: SparkSession, value: str) -> list[int]:
+        return sorted(map(int, _children(spark, self._folder(value), STATE)))
+
+    def _load(self, spark: SparkSession, before: int, partitions: Iterable[str] | None) -> DataFrame:
+        schema = f"{self.schema}, {VERSION} bigint" + ("" if self.partition else f", {WHOLE} string")
+        paths = []
+        for value in sorted(_children(spark, self.path, self._column) if partitions is None else set(partitions)):
+            states = [state for state in self._states(spark, value) if state < before]
+            if states:
+                paths.append(f"{self._folder(value)}/{STATE}={states[-1]}")
+        if not paths:
             return spark.createDataFrame([], schema)
-        paths = [f"{self.path}/level={level}/unit={unit}" for level, unit in units]
-        return spark.read.schema(schema).option("basePath", self.path).parquet(*paths).drop("level", "unit")
+        return spark.read.schema(schema).option("basePath", self.path).parquet(*paths).drop(STATE)
 
     def _merged(self, rows: DataFrame) -> DataFrame:
-        names = [c for c in rows.columns if c not in self.keys and c != VERSION]
-        version = F.max(VERSION).alias(VERSION)
+        names = [c for c in rows.columns if c not in (*self.keys, VERSION, WHOLE)]
+        keys = [*self.keys] if self.partition else [*self.keys, WHOLE]
+        newest = F.max(VERSION).alias(VERSION)
         if self.merge == "added":
-            return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in names], version)
+            return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], newest)
         if self.merge == "latest":
-            return rows.groupBy(*self.keys).agg(*[F.max_by(c, VERSION).alias(c) for c in names], version)
+            return rows.groupBy(*keys).agg(*[F.max_by(c, VERSION).alias(c) for c in names], newest)
         if self.merge == "distinct":
-            return rows.groupBy(*self.keys).agg(version)
+            return rows.groupBy(*keys).agg(F.min(VERSION).alias(VERSION))
         if self.merge == "group":
-            newest = F.max(VERSION).over(Window.partitionBy(*self.keys))
-            return rows.withColumn("newest", newest).where(F.col(VERSION) == F.col("newest")).drop("newest")
+            last = F.max(VERSION).over(Window.partitionBy(*keys))
+            return rows.withColumn("newest", last).where(F.col(VERSION) == F.col("newest")).drop("newest")
         raise ValueError(f"unknown merge rule {self.merge!r}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and the file system it is on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the partition folders ``column=value`` directly below a path."""
+    found, files = _hadoop(spark, path)
+    if not files.exists(found):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(found)]
+    return [name.split("=", 1)[1] for name in names if name.startswith(f"{column}=")]

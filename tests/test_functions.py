@@ -38,12 +38,15 @@ def test_commas_padding_and_emptiness(spark):
     assert one(spark, ["1", "12", "123", ""], fn.pad2(v())) == ["01", "12", "123", "00"]
     assert one(spark, ["", None, "x"], fn.is_empty(v())) == [True, True, False]
     assert one(spark, ["", None, "x"], fn.is_not_empty(v())) == [False, False, True]
-    assert one(spark, ["1,2,1"], fn.csv_values(v())) == [["1", "2"]]
+    assert one(spark, ["1,2,1"], fn.csv_values(v())) == [[1, 2]]
+    assert one(spark, ["5, 5", "05,5", "x"], fn.csv_values(v())) == [[5], [5], [None]]
 
 
 def test_times_with_and_without_padding(spark):
     at = fn.parse_action_time(v())
     rows = ["2018-06-25 6:27:16", "2018-06-25 16:27:16", "nonsense"]
+    odd = ["12:30:00", "2018", "2018-06-25", "2018-06-25 6:27:16+05:00", "2018-06-25T06:27:16", "2018-13-25 6:27:16", None]
+    assert one(spark, odd, at) == [None] * len(odd)
     assert one(spark, rows, fn.format_time(at)) == ["2018-06-25 06:27:16", "2018-06-25 16:27:16", None]
     assert one(spark, rows[:2], fn.date_hour(at)) == ["2018-06-25_06", "2018-06-25_16"]
     assert one(spark, rows[:1], fn.format_time_minute(at)) == ["201806250627"]

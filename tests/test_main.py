@@ -6,7 +6,10 @@ import json
 
 import pytest
 
-from clickweave.__main__ import BATCH_JOBS, main
+from pyspark.errors import AnalysisException
+
+from clickweave.__main__ import BATCH_JOBS, STATISTICS, main
+from clickweave.plans import shared
 from clickweave.sources import testdata
 
 PARAMS = json.dumps({"startDate": "2024-01-01", "endDate": "2024-01-30", "startAge": 20, "endAge": 50,
@@ -43,5 +46,24 @@ def test_ad_stream_job(spark, small_dir, tmp_path):
     testdata.ad_line(spark, small_dir).select("value").write.text(str(tmp_path / "in"))
     main(["ad-stream", "--files", str(tmp_path / "in"), "--checkpoint", str(tmp_path / "check"),
           "--output", str(tmp_path / "out"), "--threshold", "7", "--available-now"], spark)
-    written = spark.read.parquet(str(tmp_path / "out" / "ad_stat" / "level=0"))
-    assert written.agg({"clickCount": "sum"}).first()[0] == 1000
+    assert spark.read.parquet(str(tmp_path / "out" / "ad_user_click_count")).agg({"clickCount": "sum"}).first()[0] == 1000
+
+
+@pytest.mark.parametrize("job", STATISTICS)
+def test_running_statistics_jobs(spark, small_dir, tmp_path, job):
+    testdata.ad_line(spark, small_dir).select("value").write.text(str(tmp_path / "in"))
+    main([job, "--files", str(tmp_path / "in"), "--checkpoint", str(tmp_path / "check"),
+          "--output", str(tmp_path / "out"), "--available-now"], spark)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_shared_folder_keeps_what_others_store_there(spark, tables, tmp_path):
+    foreign = str(tmp_path / "shared" / "other")
+    spark.range(3).write.parquet(foreign)
+    main(["session-reports", "--params", PARAMS, "--task-id", "t1", "--output", str(tmp_path / "out"), "--shared-folder",
+          str(tmp_path / "shared"), "--actions", f"{tables}/user_visit_action", "--users", f"{tables}/user_info"], spark)
+    assert spark.read.parquet(foreign).count() == 3
+    assert [p.name for p in (tmp_path / "shared").iterdir()] == ["other"]
+    shared.shared_table(spark.range(2), "mine", str(tmp_path / "shared"))
+    with pytest.raises(AnalysisException):
+        shared.shared_table(spark.range(2), "mine", str(tmp_path / "shared"))

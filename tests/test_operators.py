@@ -114,7 +114,7 @@ def test_sample_meets_its_quotas(spark):
     assert set(counts.values()) == {6} and len(counts) == 10
     assert rows(sample) == rows(sessions.sample_sessions(kept.repartition(7), total=60, seed="1", pieces=3))
     assert rows(sample) != rows(sessions.sample_sessions(kept, total=60, seed="2"))
-    assert sessions.sample_sessions(kept, total=1).count() == 0
+    assert [sessions.sample_sessions(kept, total=n).count() for n in (1, 7, 13, 399)] == [1, 7, 13, 399]
     assert sessions.sample_sessions(kept, total=5000).count() == 400
     assert sessions.sample_sessions(kept.limit(0), total=10).count() == 0
 
@@ -123,6 +123,8 @@ def test_category_counts_per_action(spark):
     actions = load(spark, [
         act(category=7), act(category=7), act(orders="7,8,7"), act(pays="9"), act(pays="7,x,"), act(orders="")])
     assert rows(categories.category_counts(actions)) == [(7, 2, 1, 1), (8, 0, 1, 0), (9, 0, 0, 1)]
+    spaced = load(spark, [act(orders="5, 5"), act(orders="05,5"), act(orders="x")])
+    assert rows(categories.category_counts(spaced)) == [(5, 0, 2, 0)]
     assert rows(categories.category_universe(actions)) == [(7,), (8,), (9,)]
 
 

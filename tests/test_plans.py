@@ -7,8 +7,9 @@ import re
 import pytest
 
 import __spark_entry__ as spark_entry
+from clickweave import catalog
 
-QUERIES = spark_entry.queries()
+QUERIES = {name: query for name, query in spark_entry.queries().items() if name in catalog.all_queries()}
 
 
 def plan(df):
@@ -27,8 +28,8 @@ def test_no_python_and_no_cartesian_product(spark, small_dir, name):
 
 
 @pytest.mark.parametrize("name, limit", [
-    ("area_top3", 3), ("ad_province_top3", 3), ("top10_category_sessions", 10), ("session_sample", 1000),
-    ("ad_accepted_clicks", 7)])
+    ("area_top3", 3), ("ad_province_top3", 3), ("top10_category_sessions", 10), ("session_sample", 100),
+    ("ad_accepted_clicks", 5)])
 def test_ranked_groups_are_limited_before_the_shuffle(spark, small_dir, name, limit):
     text = plan(QUERIES[name](spark, small_dir))
     assert re.search(rf"WindowGroupLimit .*row_number\(\), {limit}, Partial", text)
@@ -96,3 +97,32 @@ def test_predicates_on_stored_columns_reach_the_file_scan(spark, tmp_path):
     assert "Not(EqualTo(click_product_id,-1))" in text
     assert read_columns(text) == [{"click_product_id", "city_id", "date"}]
     assert sorted(r[0] for r in clicks.select(F.col("click_product_id")).collect()) == [3, 4, 5]
+
+
+def test_time_range_reaches_the_file_scan(spark, tmp_path):
+    from clickweave import schemas
+    from clickweave.params import TaskParams
+    from clickweave.plans import jobs
+    from clickweave.sources import warehouse
+
+    path = str(tmp_path / "actions")
+    data = [(f"2018-06-{d:02d}", 1, "s", 1, f"2018-06-{d:02d} {time}", None, d, 1, None, None, None, None, 0)
+            for d in range(1, 31) for time in ("6:00:00", "23:59:59")]
+    spark.createDataFrame(data, schemas.USER_VISIT_ACTION).write.partitionBy("date").parquet(path)
+    actions = warehouse.load_actions(spark.read.schema(schemas.USER_VISIT_ACTION).parquet(path))
+    users = spark.createDataFrame([(1, "u", "n", 30, "p", "c", "male")], schemas.USER_INFO)
+    params = TaskParams(start_date="2018-06-03", end_date="2018-06-05")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for partitions, plans in ((False, (warehouse.action_scan_by_time(actions, params), jobs.top10_category(actions, params, "t"),
+                                       jobs.top10_session(actions, users, params, "t"))),
+                              (True, (warehouse.action_scan_by_time(actions, params, True),
+                                      jobs.top10_category(actions, params, "t", date_of_time=True)))):
+        for df in plans:
+            text = plan(df)
+            scans = [line for line in text.split("FileScan parquet")[1:] if "action_time" in line.split("]")[0]]
+            assert scans
+            for scan in scans:
+                assert "GreaterThanOrEqual(action_time,2018-06-03)" in scan and "LessThan(action_time,2018-06-06)" in scan
+                assert ("PartitionFilters: [isnotnull(date" in scan) == partitions
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert warehouse.action_scan_by_time(actions, params).count() == 6

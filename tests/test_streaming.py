@@ -118,7 +118,7 @@ def run_ads(spark, source, tables, checkpoint, **kwargs):
 def test_blacklist_feedback_over_two_runs(spark, lines, tmp_path):
     chunks = busy(lines)
     source, check = tmp_path / "in", str(tmp_path / "check")
-    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"))
     run_ads(spark, write_files(source, chunks[:2]), tables, check)
     check_tables(spark, tables, chunks[:2])
     run_ads(spark, write_files(source, chunks[2:], 2), tables, check)
@@ -129,7 +129,7 @@ def test_blacklist_feedback_over_two_runs(spark, lines, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, lines, tmp_path):
     chunks = busy(lines)
-    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"))
     for i in (0, 1, 1, 2, 2):
         batch = spark.createDataFrame([(v,) for v in chunks[i]], "value string")
         ad_stream.process_batch(batch, i, tables, THRESHOLD, probe_skew=True)
@@ -138,7 +138,7 @@ def test_replayed_batch_changes_nothing(spark, lines, tmp_path):
 
 def test_published_rows_rebuild_the_tables(spark, lines, tmp_path):
     chunks = busy(lines)[:2]
-    tables = ad_stream.AdTables.under(str(tmp_path / "out"), fan_in=2)
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"))
     database = {}
 
     def upsert(name, changed):
@@ -175,6 +175,49 @@ def test_empty_batch(spark, tmp_path):
     assert tables.blacklist.read(spark, 1).count() == 0
 
 
+def test_only_touched_dates_are_read(spark, tmp_path, monkeypatch):
+    """A batch reads no other date, a bad clock adds its own date only, an empty batch reads and writes nothing."""
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"))
+    day = 86_400_000
+    start = 1_704_067_200_000
+
+    def batch(batch_id, *millis):
+        lines = spark.createDataFrame([(f"{ms} 1 1 2 3",) for ms in millis], "value string")
+        ad_stream.process_batch(lines, batch_id, tables)
+
+    for i in range(3):
+        batch(i, start + i * day)
+    read = []
+    states = StreamTable._states
+    monkeypatch.setattr(StreamTable, "_states", lambda self, spark, value: read.append(value) or states(self, spark, value))
+    batch(3, start + day, 0)
+    assert set(read) - {"all"} == {"2024-01-02", "1970-01-01", "20240102", "19700101"}
+    read.clear()
+    batch(4)
+    assert set(read) <= {"all"}
+    assert rows(tables.user_counts.read(spark, 5).select("date", "clickCount")) == [
+        ("1970-01-01", 1), ("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 1)]
+
+
+def test_files_of_a_date_do_not_grow_with_the_batches(spark, tmp_path):
+    table = StreamTable(str(tmp_path / "t"), schemas.AD_CLICK_TREND, "added", ("date", "hour", "minute", "adid"), "date")
+    row = spark.createDataFrame([("20240101", "01", "02", 7, 1)], schemas.AD_CLICK_TREND)
+    for batch_id in (0, 1, 2, 250, 251, 999, 999):
+        table.write(row, batch_id)
+    assert rows(table.read(spark, 1000).select("clickCount")) == [(6,)]
+    assert rows(table.read(spark, 999).select("clickCount")) == [(5,)]
+    assert sorted(p.name for p in (tmp_path / "t" / "date=20240101").iterdir()) == ["state=251", "state=999"]
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 2 * 3
+
+
+def test_steps_of_a_batch_stay_in_the_job_group(spark, lines, tmp_path, monkeypatch):
+    groups = []
+    rejects = ad_stream.ad_rejects
+    monkeypatch.setattr(ad_stream, "ad_rejects", lambda x: groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id")) or rejects(x))
+    run_ads(spark, write_files(tmp_path / "in", lines[:1]), ad_stream.AdTables.under(str(tmp_path / "out")), str(tmp_path / "check"))
+    assert groups and all(groups)
+
+
 @pytest.mark.parametrize("kind", ["city", "trend"])
 def test_running_statistics_equal_batch(spark, lines, tmp_path, kind):
     source = write_files(tmp_path / "in", lines)
@@ -183,11 +226,11 @@ def test_running_statistics_equal_batch(spark, lines, tmp_path, kind):
     if kind == "city":
         stream, want = ad_stream.city_daily_stream(clicks), ads.city_daily(batch)
         table = StreamTable(str(tmp_path / "t"), schemas.AD_STAT, "latest",
-                            ("date", "province", "city", "adid"), "date", 2)
+                            ("date", "province", "city", "adid"), "date")
     else:
         stream, want = ad_stream.minute_trend_stream(clicks), ads.minute_trend(batch)
         table = StreamTable(str(tmp_path / "t"), schemas.AD_CLICK_TREND, "latest",
-                            ("date", "hour", "minute", "adid"), "date", 2)
+                            ("date", "hour", "minute", "adid"), "date")
     query = ad_stream.upsert_stream(stream, table, str(tmp_path / "check"), available_now=True)
     query.awaitTermination(300)
     assert query.exception() is None
