@@ -39,6 +39,10 @@ class StreamTable:
     keys: tuple[str, ...]
     partition: str | None = None      # column by which the table is split, e.g. the date
 
+    def __post_init__(self) -> None:
+        if self.merge not in ("added", "latest", "group", "distinct"):
+            raise ValueError(f"unknown merge rule {self.merge!r}")
+
     # ---- writing ----
 
     def write(self, rows: DataFrame, batch_id: int) -> list[str]:
@@ -110,10 +114,8 @@ class StreamTable:
             return rows.groupBy(*keys).agg(*[F.max_by(c, VERSION).alias(c) for c in names], newest)
         if self.merge == "distinct":
             return rows.groupBy(*keys).agg(F.min(VERSION).alias(VERSION))
-        if self.merge == "group":
-            last = F.max(VERSION).over(Window.partitionBy(*keys))
-            return rows.withColumn("newest", last).where(F.col(VERSION) == F.col("newest")).drop("newest")
-        raise ValueError(f"unknown merge rule {self.merge!r}")
+        last = F.max(VERSION).over(Window.partitionBy(*keys))  # group
+        return rows.withColumn("newest", last).where(F.col(VERSION) == F.col("newest")).drop("newest")
 
 
 def _hadoop(spark: SparkSession, path: str):

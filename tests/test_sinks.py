@@ -29,51 +29,36 @@ def fill(spark, table, batches, schema):
         table.write(spark.createDataFrame(batch, schema), i)
 
 
-@pytest.mark.parametrize("fan_in", [2, 100])
-def test_added_and_latest(spark, tmp_path, fan_in):
+def test_added_and_latest(spark, tmp_path):
     schema = "date string, k bigint, n bigint"
     batches = [[("d1", 1, 5), ("d1", 2, 1)], [("d1", 1, 2)], [], [("d2", 1, 7), ("d1", 2, 4)], [("d1", 3, 1)]]
-    added = StreamTable(str(tmp_path / "a"), schema, "added", ("date", "k"), "date", fan_in)
-    latest = StreamTable(str(tmp_path / "l"), schema, "latest", ("date", "k"), "date", fan_in)
+    added = StreamTable(str(tmp_path / "a"), schema, "added", ("date", "k"), "date")
+    latest = StreamTable(str(tmp_path / "l"), schema, "latest", ("date", "k"), "date")
     fill(spark, added, batches, schema)
     fill(spark, latest, batches, schema)
     columns = ["date", "k", "n"]
     assert rows(added.read(spark, 5).select(*columns)) == [("d1", 1, 7), ("d1", 2, 5), ("d1", 3, 1), ("d2", 1, 7)]
     assert rows(latest.read(spark, 5).select(*columns)) == [("d1", 1, 2), ("d1", 2, 4), ("d1", 3, 1), ("d2", 1, 7)]
-    assert rows(added.read(spark, 5, low="d2").select(*columns)) == [("d2", 1, 7)]
-    assert rows(added.read_batch(spark, 3).select(*columns)) == [("d1", 2, 4), ("d2", 1, 7)]
+    assert rows(added.read(spark, 5, ["d2"]).select(*columns)) == [("d2", 1, 7)]
+    assert rows(added.read(spark, 4, ["d1", "d9"]).select(*columns)) == [("d1", 1, 7), ("d1", 2, 5)]
+    assert rows(added.changed(spark, 4, ["d1"]).select(*columns)) == [("d1", 3, 1)]
     assert rows(added.read(spark, 0)) == []
 
 
-@pytest.mark.parametrize("fan_in", [2, 100])
-def test_group_and_distinct(spark, tmp_path, fan_in):
+def test_group_and_distinct(spark, tmp_path):
     schema = "date string, province string, ad bigint, n bigint"
-    group = StreamTable(str(tmp_path / "g"), schema, "group", ("date", "province"), "date", fan_in)
+    group = StreamTable(str(tmp_path / "g"), schema, "group", ("date", "province"), "date")
     fill(spark, group, [
         [("d1", "p", 1, 3), ("d1", "p", 2, 2), ("d1", "q", 1, 1)], [("d1", "p", 3, 9)], [("d2", "p", 1, 1)]], schema)
     assert rows(group.read(spark, 3).select("date", "province", "ad", "n")) == [
         ("d1", "p", 3, 9), ("d1", "q", 1, 1), ("d2", "p", 1, 1)]
-    listed = StreamTable(str(tmp_path / "b"), "userid bigint", "distinct", ("userid",), None, fan_in)
+    listed = StreamTable(str(tmp_path / "b"), "userid bigint", "distinct", ("userid",))
     fill(spark, listed, [[(1,)], [(2,)], [(1,)], []], "userid bigint")
     assert rows(listed.read(spark, 4)) == [(1,), (2,)]
-    assert rows(listed.read(spark, 1)) == [(1,)]
-
-
-@pytest.mark.parametrize("fan_in", [2, 3, 10])
-def test_units_cover_every_batch_once(fan_in):
-    table = StreamTable("t", "k bigint", "added", ("k",), None, fan_in)
-    for before in range(200):
-        covered = []
-        for level, unit in table._units(before):
-            size = fan_in ** level
-            covered += range(unit * size, (unit + 1) * size)
-            # Written while batch (unit + 1) * size ran, so it must be an earlier one.
-            assert not level or (unit + 1) * size < before
-        assert covered == list(range(before))
-        levels = [level for level, _ in table._units(before)]
-        assert all(levels.count(x) <= fan_in for x in levels)
+    assert rows(listed.changed(spark, 1)) == [(2,)]
+    assert rows(listed.changed(spark, 2)) == rows(listed.changed(spark, 3)) == []
 
 
 def test_unknown_merge_rule(spark, tmp_path):
     with pytest.raises(ValueError):
-        StreamTable(str(tmp_path), "k bigint", "sum", ("k",)).read(spark, 0)
+        StreamTable(str(tmp_path), "k bigint", "sum", ("k",))
