@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clickweave.llm import fingerprints, jaccard, mixing, packing, phrases, quality, secrets, suffixes, token_counts, topk
-from clickweave.llm.shared import table
+from clickweave.llm.shared import table, workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,10 +64,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _runnable(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workers_find_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
     named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op9_phrase_dedup,
              op10_fingerprints)
-    return {query.__name__: query for query in named} | {"pipeline": corpus_pipeline.run}
+    return {query.__name__: _runnable(query) for query in named} | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
