@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickweave.llm import jaccard, mixing, packing, quality, secrets
-from clickweave.llm.shared import materialized, table
+from clickweave.llm.shared import materialized, table, workers_find_package
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    workers_find_package(spark)
     return quality.keep_good(docs, quality.fit_model(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
+    workers_find_package(spark)
     return jaccard.one_of_each_component(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
+    workers_find_package(spark)
     return secrets.redact(docs)
 
 
@@ -32,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    workers_find_package(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
