@@ -57,25 +57,25 @@ class WordEncoder:
         return ids
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def _encoder(tokenizer_file: str) -> WordEncoder:
-    if tokenizer_file not in _ENCODERS:
+def _encoder(tokenizer_file: str, memory: int) -> WordEncoder:
+    if (tokenizer_file, memory) not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
+        _ENCODERS[tokenizer_file, memory] = WordEncoder(tokenizer_file, memory)
+    return _ENCODERS[tokenizer_file, memory]
 
 
 def token_pieces(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0,
-                 at_once: int = 256) -> DataFrame:
+                 at_once: int = 256, memory: int = MEMORY) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut at the capacity."""
     step = capacity * _WIDTH
 
     def cut(batches):
-        encoder, end = _encoder(tokenizer_file), end_id.to_bytes(_WIDTH, "little")
+        encoder, end = _encoder(tokenizer_file, memory), end_id.to_bytes(_WIDTH, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
@@ -234,7 +234,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.col("first_offset") + (turn % F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialized(token_pieces(documents, tokenizer_file, capacity, end_id), "pieces")
+def pack_documents(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0,
+                   memory: int = MEMORY) -> DataFrame:
+    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset. A worker keeps the ids of ``memory`` words."""
+    pieces = materialized(token_pieces(documents, tokenizer_file, capacity, end_id, memory=memory), "pieces")
     return best_fit_pack(pieces, capacity)
