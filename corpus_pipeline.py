@@ -8,6 +8,8 @@ from clickweave.llm import jaccard, mixing, packing, quality, secrets
 from clickweave.llm.shared import materialized, table, workers_find_package
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words whose ids a worker keeps: fewer than packing by itself, as the workers still hold memory of the stages before.
+WORDS_KEPT = 300_000
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     workers_find_package(spark)
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=WORDS_KEPT)
 
 
 STAGES = [
