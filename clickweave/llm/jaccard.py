@@ -274,10 +274,9 @@ def link_components(documents: DataFrame) -> DataFrame:
 
     # Hot keys count only for sets that have too few others.
     turn, spare = F.shiftright("info", 32).bitwiseAND(F.lit(1)), F.shiftright("info", 33)
-    hot = members.where("hot").withColumn("turn", turn)
-    poor = hot.groupBy("node", "turn").agg(F.count(F.lit(1)).alias("n"), F.max(spare).alias("spare")).where(F.col("n") > F.col("spare"))
-    kept = members.where(~F.col("hot")).select("key", "node", "info").union(
-        hot.join(poor.select("node", "turn"), ["node", "turn"]).select("key", "node", "info"))
+    of_set = Window.partitionBy("node", turn)  # no more rows than the set has blocks
+    poor = members.where("hot").withColumn("n", F.count(F.lit(1)).over(of_set)).where(F.col("n") > spare)
+    kept = members.where(~F.col("hot")).select("key", "node", "info").union(poor.select("key", "node", "info"))
     kept = kept.select("key", "node", _size(F.col("info")).alias("n"))
 
     sketch = classes.where(F.col("sketch").isNotNull()).groupBy("node").agg(F.first("sketch").alias("sketch"))
