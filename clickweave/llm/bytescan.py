@@ -95,9 +95,14 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
+def inside_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a word."""
+    return _IS_WORD[data]
+
+
 def words(chunk: Chunk) -> Words:
     """Longest stretches without space, tab, line feed, vertical tab, form feed and carriage return."""
-    inside = _IS_WORD[chunk.data]
+    inside = inside_word(chunk.data)
     opens = np.zeros(len(inside) + 1, bool)
     opens[chunk.bounds] = True
     before = np.zeros(len(inside), bool)

@@ -13,9 +13,12 @@ table gives an empty result. Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-from itertools import compress
+import re
+from collections.abc import Iterator
+from itertools import compress, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,9 @@ from clickweave.llm.windows import Kind
 
 LENGTH = 13
 GRAM = 4
+#: Words of a long text that are held as objects at a time.
+GROUP = 1 << 17
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def _passages(kind: Kind, shards: int):
@@ -112,6 +118,27 @@ def recurring_windows(texts: DataFrame, kind: Kind) -> DataFrame:
     return windows.repeated_windows(texts, kind, "phrases", compare)
 
 
+def _word_groups(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text; those of a long one in groups, as objects take many times the bytes of their words."""
+    if len(text) <= windows.PIECE:
+        yield text.split()
+        return
+    found = (match.group() for match in _WORD.finditer(text))
+    while group := list(islice(found, GROUP)):
+        yield group
+
+
+def without_words(text: bytes, mask: np.ndarray | None) -> tuple[int, bytes]:
+    """(number of words, those not in the mask joined by one space)."""
+    n, parts = 0, []
+    for group in _word_groups(text):
+        stay = group if mask is None else list(compress(group, ~mask[n:n + len(group)]))
+        n += len(group)
+        if stay:
+            parts.append(b" ".join(stay))
+    return n, b" ".join(parts)
+
+
 def remove_recurring(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept (the remaining words joined by one space)."""
     kind = Kind(length, gram, words=True, ordered=True)
@@ -123,10 +150,10 @@ def remove_recurring(documents: DataFrame, length: int = LENGTH, gram: int = GRA
             n_words, n_removed, kept = [], [], []
             texts = batch.column(1).to_pylist()
             for row, mask in windows.removed_units(batch, kind, 1, 2):
-                words = texts[row].split()
-                n_words.append(len(words))
+                n, rest = without_words(texts[row], mask)
+                n_words.append(n)
                 n_removed.append(0 if mask is None else int(mask.sum()))
-                kept.append(b" ".join(words if mask is None else compress(words, ~mask)))
+                kept.append(rest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_words", "n_removed", "kept"])

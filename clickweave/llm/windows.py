@@ -1,7 +1,8 @@
 """Finding repeated windows (of bytes or of words) in a corpus, and cutting them out: the steps that two operators share.
 
 1. Every text's anchors (see ``anchors``) are sent as (hash of the anchor's gram, hash of its span, document). Inside a piece of
-   about a megabyte equal spans are sent no more than twice, so copies and monotonous texts weigh little.
+   about a megabyte equal spans are sent no more than twice, so copies and monotonous texts weigh little. A longer text is looked
+   at in stretches that overlap by a window less one unit, so texts have no greatest length.
 2. Rows sorted by gram and span are read in one pass that remembers one row: equal spans settle all windows of their anchors at once;
    spans that share a gram with another span, but are not settled, stay open. Most anchors have a gram of their own and end here.
 3. The operator compares the windows of open spans with its own method, gram by gram. Grams with more than ``HOT`` open
@@ -47,21 +48,58 @@ class Kind(NamedTuple):
 
 
 class Piece(NamedTuple):
-    """A chunk, its words (None for bytes), the hashes over its units, each text's first unit, and the anchors."""
+    """A chunk, its words (None for bytes), the hashes over its units, each text's first unit, and the anchors. ``skipped``: units
+    of the text before this piece, where it is a stretch of a long text; ``ends``: whether its last text ends here."""
 
     chunk: bytescan.Chunk
     words: bytescan.Words | None
     units: bytescan.Hashes
     bounds: np.ndarray
     anchors: Anchors
-
-
-def pieces(texts: pa.Array, kind: Kind) -> Iterator[Piece]:
-    for chunk in bytescan.chunks(texts, PIECE):
-        words = bytescan.words(chunk) if kind.words else None
-        units = bytescan.Hashes(bytescan.word_hashes(chunk, words) if kind.words else chunk.data)
-        bounds = words.bounds if kind.words else chunk.bounds
-        yield Piece(chunk, words, units, bounds, find_anchors(units, bounds, kind.length, kind.gram))
+    skipped: int
+    ends: bool
+
+
+def _stretches(chunk: bytescan.Chunk, kind: Kind, most: int) -> Iterator[tuple[bytescan.Chunk, bytescan.Words | None, int, bool]]:
+    """(stretch, its words, units before it, whether the text ends) of a chunk: itself, or of a text of more than ``most`` bytes
+    stretches that overlap by ``length - 1`` units, so that every window is in one of them. No word is cut."""
+    data, start, size, skipped = chunk.data, 0, most, 0
+    while len(chunk.bounds) == 2 and start + most < len(data):
+        part, words = data[start:start + size], None
+        ends = start + size >= len(data)
+        if kind.words:
+            if not ends:
+                gaps = np.flatnonzero(~bytescan.inside_word(part))
+                part = part[:gaps[-1] if len(gaps) else 0]
+            words = bytescan.words(bytescan.Chunk(chunk.first, part, np.array([0, len(part)])))
+            if size > most and len(words.starts) > kind.length:  # behind very long words there may be many short ones
+                n = int(np.searchsorted(words.ends, words.ends[kind.length - 1] + most, "right"))
+                ends &= n == len(words.starts)
+                if not ends:
+                    part = part[:words.ends[n - 1]]
+                    words = bytescan.Words(words.starts[:n], words.ends[:n], np.array([0, n]))
+        fresh = (len(part) if words is None else len(words.starts)) - kind.length + 1
+        if not ends and fresh < 1:  # no whole window yet: very long words, or stretches of space
+            size *= 2
+            continue
+        yield bytescan.Chunk(chunk.first, part, np.array([0, len(part)])), words, skipped, ends
+        if ends:
+            return
+        if words is None:
+            start += fresh
+        else:
+            start += int(words.starts[fresh]) if kind.length > 1 else len(part)
+        skipped, size = skipped + fresh, most
+    rest = bytescan.Chunk(chunk.first, data[start:], np.array([0, len(data) - start])) if start else chunk
+    yield rest, bytescan.words(rest) if kind.words else None, skipped, True
+
+
+def pieces(texts: pa.Array, kind: Kind, most: int = PIECE) -> Iterator[Piece]:
+    for whole in bytescan.chunks(texts, most):
+        for chunk, words, skipped, ends in _stretches(whole, kind, most):
+            units = bytescan.Hashes(bytescan.word_hashes(chunk, words) if kind.words else chunk.data)
+            bounds = words.bounds if kind.words else chunk.bounds
+            yield Piece(chunk, words, units, bounds, find_anchors(units, bounds, kind.length, kind.gram), skipped, ends)
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -163,20 +201,23 @@ def open_spans(batch: pa.RecordBatch, kind: Kind) -> Iterator[OpenSpans]:
     offsets = lists.offsets.to_numpy()
     flat = lists.values
     span, alone, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    sorted_row = -1
     for piece in pieces(batch.column(1), kind):
         a = piece.anchors
         edges = np.searchsorted(a.text, np.arange(len(piece.bounds)))
         chosen, which = [], []
         for i in range(len(piece.bounds) - 1):
             row = piece.chunk.first + i
-            wanted = span[offsets[row]:offsets[row + 1]]
+            if row != sorted_row:  # once for all stretches of a long text
+                order = np.argsort(span[offsets[row]:offsets[row + 1]])
+                wanted, sorted_row = span[offsets[row]:offsets[row + 1]][order], row
             own, at = np.unique(a.span_hash[edges[i]:edges[i + 1]], return_index=True)
             if not len(own) or not len(wanted):
                 continue
-            place = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-            found = np.flatnonzero(own[place] == wanted)
-            chosen.append(edges[i] + at[place[found]])
-            which.append(offsets[row] + found)
+            place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+            found = np.flatnonzero(wanted[place] == own)
+            chosen.append(edges[i] + at[found])
+            which.append(offsets[row] + order[place[found]])
         if chosen:
             anchor, which = np.concatenate(chosen), np.concatenate(which)
             yield OpenSpans(piece, ids[piece.chunk.first + a.text[anchor]], anchor, alone[which], hot[which])
@@ -261,11 +302,23 @@ def with_removals(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     return texts.join(lists.hint("shuffle_hash"), "doc", "left").select(*texts.columns, F.coalesce("repeated", none).alias("repeated"))
 
 
+def _joined(stretches: list[tuple[int, int, np.ndarray | None]]) -> np.ndarray | None:
+    """The mask of a long text from (units before, units, mask) of its stretches."""
+    if all(mask is None for _, _, mask in stretches):
+        return None
+    whole = np.zeros(stretches[-1][0] + stretches[-1][1], bool)
+    for skipped, size, mask in stretches:
+        if mask is not None:
+            whole[skipped:skipped + size] |= mask
+    return whole
+
+
 def removed_units(batch: pa.RecordBatch, kind: Kind, text: int, repeated: int) -> Iterator[tuple[int, np.ndarray | None]]:
     """(row, mask of its units that repeated windows cover) for every row of a batch; None for none."""
     lists = batch.column(repeated)
     offsets, flat = lists.offsets.to_numpy(), lists.values
     span, low, high = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    sorted_row, stretches = -1, []
     for piece in pieces(batch.column(text), kind):
         a = piece.anchors
         edges = np.searchsorted(a.text, np.arange(len(piece.bounds)))
@@ -273,18 +326,26 @@ def removed_units(batch: pa.RecordBatch, kind: Kind, text: int, repeated: int) -
             row = piece.chunk.first + i
             mine = slice(offsets[row], offsets[row + 1])
             own = slice(edges[i], edges[i + 1])
-            if mine.start == mine.stop or own.start == own.stop:
-                yield row, None
+            size = int(piece.bounds[i + 1] - piece.bounds[i])
+            mask = None
+            if mine.start != mine.stop and own.start != own.stop:
+                if row != sorted_row:  # once for all stretches of a long text
+                    order = np.argsort(span[mine], kind="stable")
+                    spans, lows, highs, sorted_row = span[mine][order], low[mine][order], high[mine][order], row
+                left, right = (np.searchsorted(spans, a.span_hash[own], side) for side in ("left", "right"))
+                n = right - left
+                which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first, last = np.repeat(a.low[own], n), np.repeat(a.high[own], n)
+                start = first + lows[which] - piece.bounds[i]
+                end = np.where(highs[which] < 0, last, first + highs[which]) + kind.length - piece.bounds[i]
+                change = np.zeros(size + 1, np.int64)
+                np.add.at(change, start, 1)
+                np.add.at(change, end, -1)
+                mask = np.cumsum(change[:-1]) > 0
+            if not piece.skipped and piece.ends:
+                yield row, mask
                 continue
-            order = np.argsort(span[mine], kind="stable")
-            spans, lows, highs = span[mine][order], low[mine][order], high[mine][order]
-            left, right = (np.searchsorted(spans, a.span_hash[own], side) for side in ("left", "right"))
-            n = right - left
-            which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            first, last = np.repeat(a.low[own], n), np.repeat(a.high[own], n)
-            start = first + lows[which] - piece.bounds[i]
-            end = np.where(highs[which] < 0, last, first + highs[which]) + kind.length - piece.bounds[i]
-            change = np.zeros(piece.bounds[i + 1] - piece.bounds[i] + 1, np.int64)
-            np.add.at(change, start, 1)
-            np.add.at(change, end, -1)
-            yield row, np.cumsum(change[:-1]) > 0
+            stretches.append((piece.skipped, size, mask))
+            if piece.ends:
+                yield row, _joined(stretches)
+                stretches = []
