@@ -5,8 +5,10 @@ from level to level. For a pair of blocks both trees are walked together. A pair
 ``<a, b> + |a| rb + |b| ra + ra rb`` (centres a and b, radii ra and rb); where that is below the worst kth score within the
 query node the pair is pruned, all below it included. The best k of each block pair are merged per query. Results are exact.
 
-Equal vectors are searched for once, and of equal data vectors only the k + 1 smallest ids can be among the k best, so a
-vector that a large share of the rows has is one entry.
+Rows of the same id and vector are one entry that knows its number of rows. Equal vectors are searched for once, and of equal data
+vectors only the k + 1 smallest ids can be among the k best, so a vector that a large share of the rows has is one entry. All limits
+count entries, of which the query's own id has one; a query whose id has several vectors is searched for by itself, without
+the entries of its id. The rows of an entry are counted again at the end.
 
 Components become floor(scale * x). Vectors that are null or hold a null or non-finite component, and rows without an id, take
 no part. Shorter vectors count as filled up with zeros. Scores must fit into a long. Ties go to the smaller id. A repeated row
@@ -95,8 +97,10 @@ def build_tree(points: np.ndarray, leaf: int = LEAF) -> CoverTree:
     return CoverTree(points[order], order, np.array(centre), np.array(radius), np.array(first), np.array(end), kids)
 
 
-def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, data id, score) of the k best of every query. Positions are those before the tree was built."""
+def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, k: int,
+                     barred: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, data id, score) of the k best of every query. Positions are those before the tree was built. ``barred``: for
+    each query the first data id that it must not get, and the one after the last."""
     n = len(queries.points)
     if not n or not len(data.points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -104,6 +108,7 @@ def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray,
     exact = np.abs(queries.points).max(initial=0) * np.abs(data.points).max(initial=0) * queries.points.shape[1] < 2**53
     whole_queries, whole_data = (queries.points, data.points) if exact else (queries.points.astype(np.int64), data.points.astype(np.int64))
     none = np.iinfo(np.int64).min
+    barred_from, barred_to = (b[queries.order] for b in barred) if barred else (None, None)
     best, best_ids = np.full((n, k), none), np.full((n, k), np.iinfo(np.int64).max)
     query_norm, data_norm = (np.sqrt((t.centre ** 2).sum(1)) for t in (queries, data))
 
@@ -121,8 +126,11 @@ def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray,
         useful = np.flatnonzero((scores >= best[q, -1][:, None]).any(0))
         if not useful.size:
             return
-        scores = np.concatenate([best[q], scores[:, useful]], 1)
-        names = np.concatenate([best_ids[q], np.broadcast_to(ids[d][useful], (scores.shape[0], useful.size))], 1)
+        scores, names = scores[:, useful], np.broadcast_to(ids[d][useful], (scores.shape[0], useful.size))
+        if barred is not None:
+            out = (names >= barred_from[q][:, None]) & (names < barred_to[q][:, None])
+            scores, names = np.where(out, none, scores), np.where(out, np.iinfo(np.int64).max, names)
+        scores, names = np.concatenate([best[q], scores], 1), np.concatenate([best_ids[q], names], 1)
         kept = np.lexsort((names, ~scores), axis=1)[:, :k]  # ~ turns the order around without overflow
         best[q], best_ids[q] = np.take_along_axis(scores, kept, 1), np.take_along_axis(names, kept, 1)
 
@@ -161,18 +169,20 @@ def whole_vectors(vectors: DataFrame, scale: int, id_column: str, vector: str) -
 
 
 def _blocks(rows: DataFrame, name: str, size: int, n: int, width: int) -> DataFrame:
-    """A row per block: its number, ids and tree. ``rows`` holds vec_id and e; about ``size`` rows go into each block."""
+    """A row per block: its number, ids, notes and tree. ``rows`` holds vec_id, e and note (long), no two with the same vec_id
+    and e; about ``size`` rows go into each block. Ids ascend."""
 
     def index(key, table):
-        ids = table.column("vec_id").to_numpy()
+        table = table.sort_by("vec_id")
+        ids, notes = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "note"))
         points = np.zeros((len(ids), width))
         for i, e in enumerate(table.column("e").to_pylist()):
             points[i, :len(e)] = e
-        return pa.table({name: pa.array([key[0].as_py()], pa.int64()), f"{name}_ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
-                         f"{name}_tree": pa.array([pickle.dumps(tuple(build_tree(points)))], pa.binary())})
+        columns = [pa.array([x], pa.binary()) for x in (ids.tobytes(), notes.tobytes(), pickle.dumps(tuple(build_tree(points))))]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *columns], names=[name, f"{name}_ids", f"{name}_notes", f"{name}_tree"])
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))))
-    return dealt.groupBy(name).applyInArrow(index, f"{name} long, {name}_ids binary, {name}_tree binary")
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "e"), F.lit(max(1, -(-n // size)))))
+    return dealt.groupBy(name).applyInArrow(index, f"{name} long, {name}_ids binary, {name}_notes binary, {name}_tree binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_column: str = "vec_id",
@@ -180,9 +190,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     """Rows query_id, rank (from 1), vec_id, score: the k best other rows of every row for which ``is_query`` (over vec_id) holds."""
     whole = whole_vectors(vectors, scale, id_column, vector)
     by_vector = Window.partitionBy("e").orderBy("vec_id")
-    data = whole.withColumn("at", F.row_number().over(by_vector)).where(F.col("at") <= k + 1).drop("at")
-    asked = whole.where(is_query).select("vec_id", "e").distinct()
-    leaders = asked.groupBy("e").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "e")
+    entries = whole.groupBy("vec_id", "e").agg(F.count(F.lit(1)).alias("note"))
+    data = entries.withColumn("at", F.row_number().over(by_vector)).where(F.col("at") <= k + 1).drop("at")
+    # slot: 0 for the only vector of an id, else a number from 1 for each of them.
+    of_id = Window.partitionBy("vec_id")
+    slot = F.when(F.count(F.lit(1)).over(of_id) > 1, F.row_number().over(of_id.orderBy("e"))).otherwise(0).cast("long")
+    asked = whole.where(is_query).select("vec_id", "e").distinct().select("vec_id", "e", slot.alias("slot"))
+    shared = asked.where(F.col("slot") == 0).groupBy("e").agg(F.min("vec_id").alias("leader"))
+    leaders = shared.select(F.col("leader").alias("vec_id"), "e", F.lit(0).cast("long").alias("note")).union(
+        asked.where(F.col("slot") > 0).select("vec_id", "e", F.col("slot").alias("note")))
     sizes = whole.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("e")).alias("width")).first()
     if not sizes.n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -194,19 +210,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                query_ids, data_ids = (np.frombuffer(row[f"{x}_ids"], np.int64) for x in "qd")
+                query_ids, slots, data_ids, copies = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "q_notes", "d_ids", "d_notes"))
                 query_tree, data_tree = (CoverTree(*pickle.loads(row[f"{x}_tree"])) for x in "qd")
-                at, found, score = dual_tree_search(query_tree, data_tree, data_ids, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(found), pa.array(score)], names=["leader", "vec_id", "score"])
+                # Entries go by their place in the order of ids, which tells those of the same id apart.
+                barred = tuple(np.where(slots > 0, np.searchsorted(data_ids, query_ids, side), 0) for side in ("left", "right"))
+                at, found, score = dual_tree_search(query_tree, data_tree, np.arange(len(data_ids)), k + 1, barred)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_ids[at], slots[at], data_ids[found], copies[found], score)],
+                                                 names=["leader", "slot", "vec_id", "copies", "score"])
 
     pairs = query_blocks.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(data_blocks, "d")
-    found = pairs.select("q_ids", "q_tree", "d_ids", "d_tree").repartition(F.xxhash64("q_ids", "d_ids")).mapInArrow(search, "leader long, vec_id long, score long")
-    best = Window.partitionBy("leader").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs.select("q_ids", "q_notes", "q_tree", "d_ids", "d_notes", "d_tree").repartition(F.xxhash64("q_ids", "d_ids")).mapInArrow(
+        search, "leader long, slot long, vec_id long, copies long, score long")
+    best = Window.partitionBy("leader", "slot").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
-    leader_of = asked.select(F.col("vec_id").alias("query_id"), "e").join(leaders.withColumnRenamed("vec_id", "leader"), "e").select("query_id", "leader")
-    each = leader_of.join(merged, "leader").where(F.col("query_id") != F.col("vec_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).alias("rank")
-    return each.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    leader_of = asked.where(F.col("slot") == 0).join(shared, "e").select(F.col("vec_id").alias("query_id"), "leader", "slot").union(
+        asked.where(F.col("slot") > 0).select("vec_id", F.col("vec_id").alias("leader"), "slot"))
+    each = leader_of.join(merged, ["leader", "slot"]).where(F.col("query_id") != F.col("vec_id"))
+    before = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = each.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0))).where(F.col("before") < k)
+    rank = F.explode(F.sequence((F.col("before") + 1).cast("int"), F.least(F.col("before") + F.col("copies"), F.lit(k)).cast("int"))).alias("rank")
+    return counted.select("query_id", rank, "vec_id", "score")
 
 
 ORACLE = """

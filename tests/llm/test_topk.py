@@ -83,3 +83,26 @@ def test_one_vector_held_by_most_rows(spark):
     for q in range(0, 600, 20):
         others = ids != q
         assert got[q] == plain(points[q:q + 1], points[others], ids[others], 5)[0]
+
+
+def test_repeated_smallest_id(spark):
+    """The query's id holds more rows than the limit, all ahead of the others."""
+    rows = [(0, [2.0])] * 9 + [(5, [2.0]), (6, [2.0]), (20, [2.0]), (7, [1.0]), (7, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(topk.top_k(frame, F.col("vec_id") % 20 == 0, 5, 1).collect())
+    assert [tuple(r) for r in got] == [(0, 1, 5, 4), (0, 2, 6, 4), (0, 3, 20, 4), (0, 4, 7, 2), (0, 5, 7, 2)] + [(20, i, 0, 4) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_with_several_vectors_and_repeated_rows(spark, seed):
+    rng = np.random.default_rng(seed)
+    ids = np.where(rng.random(300) < 0.4, 0, rng.integers(0, 60, 300))
+    points = rng.integers(-3, 4, (300, 2)).astype(float)
+    frame = spark.createDataFrame(list(zip(ids.tolist(), points.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(topk.top_k(frame, F.col("vec_id") % 20 == 0, 7, 1).collect()):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in {i for i in ids.tolist() if i % 20 == 0}:
+        asked = np.unique(points[ids == q], axis=0)
+        best = sorted((-int(s), int(i)) for v in asked for i, s in zip(ids[ids != q], points[ids != q] @ v))[:7]
+        assert got[q] == [(rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
