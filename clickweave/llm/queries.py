@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickweave.llm import fingerprints, jaccard, mixing, packing, phrases, quality, secrets, suffixes, token_counts, topk
+from clickweave.llm import collocations, fingerprints, infill, jaccard, mixing, neardup, packing, phrases, quality, secrets, suffixes, token_counts, topk
 from clickweave.llm.shared import table, workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", neardup.fingerprint_text(F.col("fingerprint")))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output = F.col("output")
+    return infill.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(output, F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _runnable(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         workers_find_package(spark)
@@ -74,9 +90,9 @@ def _runnable(query: Query) -> Query:
 
 def all_queries() -> dict[str, Query]:
     named = (op1_jaccard, op2_token_counts, op3_secrets, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_topk, op9_phrase_dedup,
-             op10_fingerprints)
+             op10_fingerprints, op11_neardup, op12_infill, op13_collocations)
     return {query.__name__: _runnable(query) for query in named} | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op8_topk": topk.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op8_topk": topk.ORACLE, "op12_infill": infill.ORACLE, "op13_collocations": collocations.ORACLE}

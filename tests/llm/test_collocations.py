@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from clickweave.llm import collocations
+from clickweave.llm.queries import all_oracles, op13_collocations
+from tests import compare
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute(docs, least, longest=5, top=2000):
+    counts, sizes = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        lang = lang if lang is not None else "und"
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            words = tuple(re.findall("[^\x20\x09]+", piece))
+            sizes[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang][words[i:i + k]] += 1
+    rows = []
+    for lang, found in counts.items():
+        candidates = {p: a for p, a in found.items() if 2 <= len(p) and a >= least}
+        scored = []
+        for phrase, a in candidates.items():
+            if any(len(q) > len(phrase) and 100 * b >= 100 * a and any(q[i:i + len(phrase)] == phrase for i in range(len(q)))
+                   for q, b in candidates.items()):
+                continue
+            score, _, l, r = min((1000 * a * sizes[lang] // (found[phrase[:k]] * found[phrase[k:]]), k, found[phrase[:k]], found[phrase[k:]])
+                                 for k in range(1, len(phrase)))
+            scored.append((-score, -a, " ".join(phrase).encode(), l, r))
+        rows += [(lang, i, p.decode(), -a, l, r, sizes[lang], -score) for i, (score, a, p, l, r) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(rows)
+
+
+def rows_of(frame, **options):
+    return sorted(tuple(r) for r in collocations.collocations(frame, **options).collect())
+
+
+def made_up(seed, n=250, words=18):
+    rng = random.Random(seed)
+    vocabulary = ["The", "of", "new", "york", "city", "é", "naïve", "中", "x-y", "a", "b", "Zed", "<p>", " ", "10", "I", "i", "q"][:words]
+    docs = []
+    for _ in range(n):
+        text = ""
+        for _ in range(rng.randrange(30)):
+            text += rng.choice(vocabulary + ["new York City hall", "of the"]) + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\n", " ; "])
+        docs.append((text, rng.choice(["en", "en", "fr", None])))
+    return docs
+
+
+@pytest.mark.parametrize("options", [{}, {"shipped": 0}, {"part_bytes": 60}, {"part_bytes": 60, "shipped": 0}])
+def test_brute_force(spark, options):
+    docs = made_up(1)
+    frame = spark.createDataFrame(docs, "text string, lang string").repartition(4)
+    assert rows_of(frame, least=8, **options) == brute(docs, 8)
+
+
+def test_limits(spark):
+    docs = made_up(2, words=6)
+    frame = spark.createDataFrame(docs, "text string, lang string")
+    assert rows_of(frame, least=5, top=7) == brute(docs, 5, top=7)
+    assert rows_of(frame, least=3, longest=3) == brute(docs, 3, longest=3)
+    assert rows_of(frame, least=10**6) == []
+
+
+def test_whole_table(spark, oracle_dir):
+    want = compare.duck_bag(compare.connect(oracle_dir), all_oracles()["op13_collocations"])
+    assert compare.spark_bag(op13_collocations(spark, oracle_dir)) == want and sum(want[1].values()) > 50
+    docs = [(r.text, r.lang) for r in spark.read.parquet(f"{oracle_dir}/documents.parquet").collect()]
+    assert sorted(dict(zip(want[0], row, strict=True))["phrase"] for row in want[1]) == sorted(r[2] for r in brute(docs, 100))
+
+
+def test_odd_rows(spark):
+    docs = [(None, "en"), ("", None), (" . , ", "en"), ("a b " * 300_000, "fr"), ("w" * 300_000 + " a b a b", "fr"), ("A B. a b", None), ("a b", None),
+            ("one two three four five six seven", "en"), ("one two three four five six seven", "en")]
+    frame = spark.createDataFrame([(t, lang, 1, "p", 5) for t, lang in docs], "text string, lang string, part int, grp string, n int")
+    assert rows_of(frame, least=2, part_bytes=10_000) == brute(docs, 2)
+    assert rows_of(frame.union(frame), least=2) == brute(docs + docs, 2)
+    assert rows_of(frame.limit(0)) == []
+
+
+def test_products_past_64_bits(spark):
+    """a * n * 1000 and l * r do not fit 64 bits for counts of ten digits and more."""
+    from pyspark.sql import functions as F
+    a, n, l, r = 3_000_000_019, 9_000_000_000_037, 4_000_000_007, 5_000_000_029
+    row = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").select(collocations.score("a", "n", "l", "r").alias("s")).first()
+    assert row.s == 1000 * a * n // (l * r)
+
+
+def test_stretches_hold_every_word_once():
+    rng = random.Random(4)
+    for _ in range(50):
+        text = "".join(rng.choice("ab  \n.") for _ in range(rng.randrange(1, 400))).encode()
+        parts = list(collocations.stretches(text, 20, 5))
+        assert b"".join(data[:own] for data, own in parts) == text

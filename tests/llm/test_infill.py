@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from clickweave.llm import bytescan, infill
+from clickweave.llm.queries import op12_infill
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def cut(doc_id, text):
+    """The row of a document, unit by unit."""
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = sha(f"1:{'' if doc_id is None else doc_id}")
+    h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return doc_id, n, "plain", None, None, sha(text), sha(text)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    spm = h[3] % 100 < 20
+    output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return doc_id, n, "spm" if spm else "psm", len(prefix), len(middle), sha(output), sha(text)
+
+
+def rows_of(frame):
+    from pyspark.sql import functions as F
+    done = infill.fill_in_middle(frame)
+    return [(r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, sha(r.output), sha(r.back))
+            for r in done.withColumn("back", infill.restored(F.col("output"), F.col("form"))).collect()]
+
+
+def order(rows):
+    return sorted(rows, key=str)
+
+
+def test_whole_table(spark, oracle_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{oracle_dir}/documents.parquet").collect()]
+    got = op12_infill(spark, oracle_dir)
+    assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    rows = [tuple(r) for r in got.collect()]
+    assert order(rows) == order(cut(*d) for d in docs)
+    assert {r[2] for r in rows} == {"plain", "psm", "spm"}
+
+
+def test_many_alphabets(spark):
+    rng = random.Random(5)
+    signs = "abZ09 \n\t.<>PSMéЖ中\U0001f600́﻿\x00"
+    docs = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(40)))) for i in range(-300, 900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert order(rows_of(frame)) == order(cut(*d) for d in docs)
+
+
+def test_odd_rows(spark):
+    docs = [(1, None), (2, ""), (3, "<"), (4, "a <M> b"), (5, "<P"), (6, "word"), (7, "wordsé " * 400_000), (8, "x" * 3_000_000),
+            (9, "中" * 500_000), (None, "no number here"), (10, "P><S <P <M"), (2**62, "a b c"), (-5, "d e f")]
+    frame = spark.createDataFrame([(i, t, "psm", 3, b"x") for i, t in docs], "doc_id long, text string, form string, n int, h1 binary")
+    assert order(rows_of(frame)) == order(cut(*d) for d in docs)
+    assert order(rows_of(frame.union(frame))) == order([cut(*d) for d in docs] * 2)
+    assert infill.fill_in_middle(frame.limit(0)).collect() == []
+
+
+def test_ranks_and_cuts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 1000):
+        values = rng.integers(0, 8, n).astype(np.uint8)
+        wavelet = infill.Wavelet(values, 3)
+        at = np.arange(n + 1)
+        for value in range(8):
+            assert wavelet.rank(value, at).tolist() == [int((values[:i] == value).sum()) for i in at]
+    data = np.frombuffer("ab  céd".encode(), np.uint8)
+    found = infill.Boundaries(bytescan.Chunk(0, data, np.array([0, 3, len(data)])))
+    assert found.units(np.array([0, 3, len(data)])).tolist() == [0, 2, 6]
+    assert found.behind(np.arange(7)).tolist() == [0, 2, 3, 4, 5, 7, 8]
