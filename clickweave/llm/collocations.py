@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -38,9 +38,11 @@ from clickweave.llm.shared import materialized
 NO_LANGUAGE = "und"
 BLANKS = b" \t"
 PIECE_ENDS = b".,;:!?\n\v\f\r"
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 #: Most groups that are sent to every task at once; more are joined to the parts.
 SHIPPED = 2_000_000
+#: Occurrences whose groups are counted together before they leave a task.
+TALLIED = 1 << 20
 #: Pieces into which the phrases of a language are dealt before its leaders are taken.
 DEALS = 256
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
@@ -51,6 +53,7 @@ _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 _WORDS = "part long, lang string, own long, n long, at binary, code binary, groups binary, words binary"
 _RELATION = "part long, own long, at binary, grp binary"
+_SEEN = ("part", "own", "at", "code", "groups")  # what the mining itself reads of the word relation
 _GROUPS = "grp long, n long, part long"
 _PHRASES = "grp long, lang string, phrase string, heads array<long>, tails array<long>"
 
@@ -144,7 +147,7 @@ def _words(longest: int, most: int):
                 words = b" ".join([lowered[starts[i]:ends[i]] for i in first])
                 own = int(at[n]) if n < len(at) else int(at[-1]) + 1
                 yield pa.RecordBatch.from_pylist([{
-                    "part": task << 32 | number, "lang": part.lang, "own": own, "n": n, "at": _packed(np.diff(at, prepend=0)),
+                    "part": task << 32 | number, "lang": part.lang, "own": own, "n": n, "at": _packed(np.diff(at, prepend=0), np.uint8),
                     "code": _packed(code), "groups": _packed(distinct, np.int64), "words": words}], schema=_schema(_WORDS))
                 number += 1
 
@@ -158,7 +161,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _occurrences(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Places and groups of a row of any relation."""
-    at = np.cumsum(np.frombuffer(row["at"], np.int32), dtype=np.int64)
+    at = np.cumsum(np.frombuffer(row["at"], np.uint8 if "code" in row else np.int32), dtype=np.int64)
     if "code" in row:
         return at, np.frombuffer(row["groups"], np.int64)[np.frombuffer(row["code"], np.int32)]
     return at, np.frombuffer(row["grp"], np.int64)
@@ -175,30 +178,55 @@ def _kept(row: dict, shipped: Broadcast | None) -> np.ndarray:
     return shipped.value if shipped else np.sort(np.array(row["kept"] or [], np.int64))
 
 
-def _counted(at: np.ndarray, group: np.ndarray, row: dict) -> pa.RecordBatch:
-    """Groups of a part with their occurrences, and with 0 what it only looks at, so that the part is told of these as well."""
-    own = at < row["own"]
-    distinct, n = np.unique(group[own], return_counts=True)
-    ahead = np.unique(group[~own])
-    distinct, n = np.concatenate([distinct, ahead]), np.concatenate([n, np.zeros(len(ahead), np.int64)]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n), pa.array(np.full(len(n), row["part"]))], schema=_schema(_GROUPS))
+def _tallied(found: Iterator[tuple[dict, np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Groups with their occurrences and a part that has them, added up over about ``most`` occurrences, or for each part if that is 0.
 
+    For each part, what it only looks at is a group with 0 occurrences, so that the list of its frequent groups has it as well.
+    """
 
-def _count_words(batches):
-    for row in _rows(batches):
-        yield _counted(*_occurrences(row), row)
+    def total(held: list) -> pa.RecordBatch:
+        owned = [group[at < row["own"]] for row, at, group in held]
+        groups, n = np.unique(np.concatenate(owned), return_counts=True)
+        home = np.full(len(groups), held[0][0]["part"])
+        for (row, _, _), group in zip(held[1:], owned[1:], strict=True):
+            home[np.searchsorted(groups, group)] = row["part"]
+        if not most:
+            (row, at, group), = held
+            ahead = np.setdiff1d(group[at >= row["own"]], groups)
+            groups, n, home = (np.concatenate([x, y]) for x, y in ((groups, ahead), (n, np.zeros(len(ahead), np.int64)),
+                                                                   (home, np.full(len(ahead), row["part"]))))
+        return pa.RecordBatch.from_arrays([pa.array(groups), pa.array(n.astype(np.int64)), pa.array(home)], schema=_schema(_GROUPS))
+
+    held, size = [], 0
+    for row, at, group in found:
+        held.append((row, at, group))
+        size += len(at)
+        if size >= most:
+            yield total(held)
+            held, size = [], 0
+    if held:
+        yield total(held)
+
+
+def _count_words(most: int):
+    def run(batches):
+        yield from _tallied(((row, *_occurrences(row)) for row in _rows(batches)), most)
+
+    return run
 
 
-def _count_longer(shipped: Broadcast | None):
+def _count_longer(shipped: Broadcast | None, most: int):
     """Groups one word longer than those of the relation, of which only frequent ones count."""
 
+    def longer(row: dict):
+        at, group = _occurrences(row)
+        if "code" in row:
+            keep = among(group, _kept(row, shipped))
+            at, group = at[keep], group[keep]
+        return row, *joined(at, group)
+
     def run(batches):
-        for row in _rows(batches):
-            at, group = _occurrences(row)
-            if "code" in row:
-                keep = among(group, _kept(row, shipped))
-                at, group = at[keep], group[keep]
-            yield _counted(*joined(at, group), row)
+        yield from _tallied(map(longer, _rows(batches)), most)
 
     return run
 
@@ -240,6 +268,10 @@ def _spell(batches):
             yield pa.RecordBatch.from_pylist(found, schema=_schema(_PHRASES))
 
 
+#: The counted groups of a relation, given over how many occurrences to add up first.
+Groups = Callable[[int], DataFrame]
+
+
 class Mining:
     """The tables that the mining writes out: the word relation, and the frequent groups of each size."""
 
@@ -247,28 +279,36 @@ class Mining:
         self.spark, self.least, self.shipped = documents.sparkSession, least, shipped
         texts = documents.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
         self.words = materialized(texts.mapInArrow(_words(longest, part_bytes), _WORDS), "phrases-words")
-        relation, groups, before = self.words, self.words.mapInArrow(_count_words, _GROUPS), None
+        relation, before = self.words.select(*_SEEN), None
+
+        def words(most: int) -> DataFrame:
+            return relation.mapInArrow(_count_words(most), _GROUPS)
+
+        def longer(known: tuple[DataFrame, Broadcast | None]) -> Callable[[int], DataFrame]:
+            return lambda most: known[0].mapInArrow(_count_longer(known[1], most), _GROUPS)
+
+        groups = words
         self.frequent = [self._frequent(groups)]
         for size in range(2, longest + 1):
             if size > 2:
                 relation = materialized(self._extended(relation, groups, before), f"phrases-{size - 1}")
             before = self._known(relation, groups, "kept") if size == 2 else (relation, None)
-            groups = before[0].mapInArrow(_count_longer(before[1]), _GROUPS)
+            groups = longer(before)
             self.frequent.append(self._frequent(groups))
 
-    def _frequent(self, groups: DataFrame) -> DataFrame:
-        totals = groups.groupBy("grp").agg(F.sum("n").alias("n"), F.min("part").alias("home"))
+    def _frequent(self, groups: Groups) -> DataFrame:
+        totals = groups(TALLIED).groupBy("grp").agg(F.sum("n").alias("n"), F.min("part").alias("home"))
         return materialized(totals.where(F.col("n") >= self.least), "phrases-frequent")
 
-    def _known(self, relation: DataFrame, groups: DataFrame, name: str) -> tuple[DataFrame, Broadcast | None]:
+    def _known(self, relation: DataFrame, groups: Groups, name: str) -> tuple[DataFrame, Broadcast | None]:
         """The relation whose tasks know the latest frequent groups: as one array, or as a list for each part."""
         frequent = self.frequent[-1].select("grp")
         if frequent.count() <= self.shipped:
             return relation, self.spark.sparkContext.broadcast(np.sort(frequent.toArrow().column(0).to_numpy()))
-        lists = groups.join(frequent, "grp", "left_semi").groupBy("part").agg(F.collect_list("grp").alias(name))
+        lists = groups(0).join(frequent, "grp", "left_semi").groupBy("part").agg(F.collect_list("grp").alias(name))
         return relation.join(lists, "part", "left"), None
 
-    def _extended(self, relation: DataFrame, groups: DataFrame, before: tuple[DataFrame, Broadcast | None]) -> DataFrame:
+    def _extended(self, relation: DataFrame, groups: Groups, before: tuple[DataFrame, Broadcast | None]) -> DataFrame:
         known, after = self._known(before[0], groups, "kept_next")
         return known.mapInArrow(_extend(before[1], after), _RELATION)
 
