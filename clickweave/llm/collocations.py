@@ -33,12 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.llm.bytescan import Hashes, mixed
-from clickweave.llm.shared import materialized
+from clickweave.llm.shared import arrow_batches, materialized
 
 NO_LANGUAGE = "und"
 BLANKS = b" \t"
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 PART_BYTES = 1 << 18
+#: Size of the batches in which texts and parts reach the tasks.
+BATCH = "4m"
 #: Most groups that are sent to every task at once; more are joined to the parts.
 SHIPPED = 2_000_000
 #: Occurrences whose groups are counted together before they leave a task.
@@ -337,9 +339,10 @@ def collocations(documents: DataFrame, least: int = 100, longest: int = 5, top:
     a, l and r count the phrase and its first and last part at the cut with the lowest score ``floor(1000 a n / (l r))``, n all words.
     Phrases that stand inside a phrase one word longer each time they occur are left out.
     """
-    mined = Mining(documents, least, longest, shipped, part_bytes)
-    counts = mined.counts()
-    found = materialized(mined.phrases().join(counts.withColumnRenamed("n", "a"), "grp"), "phrases-found")
+    with arrow_batches(documents.sparkSession, BATCH):
+        mined = Mining(documents, least, longest, shipped, part_bytes)
+        counts = mined.counts()
+        found = materialized(mined.phrases().join(counts.withColumnRenamed("n", "a"), "grp"), "phrases-found")
 
     inside = found.where(F.size("heads") > 1).select(
         "a", F.explode(F.array(F.element_at("heads", -1), F.element_at("tails", 1))).alias("grp"))
