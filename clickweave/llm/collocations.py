@@ -41,10 +41,11 @@ PIECE_ENDS = b".,;:!?\n\v\f\r"
 PART_BYTES = 1 << 18
 #: Size of the batches in which texts and parts reach the tasks.
 BATCH = "4m"
-#: Most groups that are sent to every task at once; more are joined to the parts.
+CODEC = "zstd"
+#: Most groups that are sent to every task at once (16 bytes each at most); more are joined to the parts.
 SHIPPED = 2_000_000
 #: Occurrences whose groups are counted together before they leave a task.
-TALLIED = 1 << 20
+TALLIED = 1 << 22
 #: Pieces into which the phrases of a language are dealt before its leaders are taken.
 DEALS = 256
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
@@ -57,6 +58,7 @@ _WORDS = "part long, lang string, own long, n long, at binary, code binary, grou
 _RELATION = "part long, own long, at binary, grp binary"
 _SEEN = ("part", "own", "at", "code", "groups")  # what the mining itself reads of the word relation
 _GROUPS = "grp long, n long, part long"
+_HOMES = "size long, grp long, part long"
 _PHRASES = "grp long, lang string, phrase string, heads array<long>, tails array<long>"
 
 
@@ -181,23 +183,19 @@ def _kept(row: dict, shipped: Broadcast | None) -> np.ndarray:
 
 
 def _tallied(found: Iterator[tuple[dict, np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
-    """Groups with their occurrences and a part that has them, added up over about ``most`` occurrences, or for each part if that is 0.
+    """Groups with their occurrences, added up over about ``most`` occurrences, or for each part if that is 0 (only then ``part`` has a meaning).
 
     For each part, what it only looks at is a group with 0 occurrences, so that the list of its frequent groups has it as well.
     """
 
     def total(held: list) -> pa.RecordBatch:
-        owned = [group[at < row["own"]] for row, at, group in held]
-        groups, n = np.unique(np.concatenate(owned), return_counts=True)
-        home = np.full(len(groups), held[0][0]["part"])
-        for (row, _, _), group in zip(held[1:], owned[1:], strict=True):
-            home[np.searchsorted(groups, group)] = row["part"]
+        part = held[0][0]["part"]
+        groups, n = np.unique(np.concatenate([group[at < row["own"]] for row, at, group in held]), return_counts=True)
         if not most:
-            (row, at, group), = held
-            ahead = np.setdiff1d(group[at >= row["own"]], groups)
-            groups, n, home = (np.concatenate([x, y]) for x, y in ((groups, ahead), (n, np.zeros(len(ahead), np.int64)),
-                                                                   (home, np.full(len(ahead), row["part"]))))
-        return pa.RecordBatch.from_arrays([pa.array(groups), pa.array(n.astype(np.int64)), pa.array(home)], schema=_schema(_GROUPS))
+            ahead = np.setdiff1d(np.concatenate([group[at >= row["own"]] for row, at, group in held]), groups)
+            groups, n = np.concatenate([groups, ahead]), np.concatenate([n, np.zeros(len(ahead), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(groups), pa.array(n.astype(np.int64)), pa.array(np.full(len(groups), part))],
+                                          schema=_schema(_GROUPS))
 
     held, size = [], 0
     for row, at, group in found:
@@ -252,18 +250,47 @@ def _extend(before: Broadcast | None, after: Broadcast | None):
     return run
 
 
+def _levels(row: dict, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size the groups of all phrases of a part by first word, and which of them lie in one piece."""
+    at, group = _occurrences(row)
+    for size in range(1, min(longest, len(at)) + 1):
+        if size > 1:
+            group = pair_group(group[:-1], group[1:])
+        yield size, group, at[size - 1:] - at[:len(at) - size + 1] == size - 1
+
+
+def _find(shipped: Broadcast):
+    """A part that has it for each of the shipped groups (sorted arrays by size), once in a task."""
+
+    def run(batches):
+        told = {size: np.zeros(len(groups), bool) for size, groups in shipped.value.items()}
+        for row in _rows(batches):
+            for size, group, whole in _levels(row, max(told)):
+                if size not in told:
+                    continue
+                groups = shipped.value[size]
+                here = np.unique(group[whole & among(group, groups)])
+                place = np.searchsorted(groups, here)
+                new = place[~told[size][place]]
+                if len(new):
+                    told[size][new] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), size)), pa.array(groups[new]), pa.array(np.full(len(new), row["part"]))],
+                                                     schema=_schema(_HOMES))
+
+    return run
+
+
 def _spell(batches):
     """Phrases of the groups in ``wanted`` (structs size, grp), with the groups of their first and last 1, 2, ... words."""
     for row in _rows(batches):
         words, code = row["words"].split(b" "), np.frombuffer(row["code"], np.int32)
-        at, group = _occurrences(row)
-        levels, found = [group], []
-        for size in range(2, max(w["size"] for w in row["wanted"]) + 1):
-            levels.append(pair_group(levels[-1][:-1], levels[-1][1:]))
+        levels, found = [], []
+        for size, group, whole in _levels(row, max(w["size"] for w in row["wanted"])):
+            levels.append(group)
             wanted = np.sort(np.array([w["grp"] for w in row["wanted"] if w["size"] == size], np.int64))
-            hits = np.flatnonzero(among(levels[-1], wanted) & (at[size - 1:] - at[:len(at) - size + 1] == size - 1))
-            for i in hits[np.unique(levels[-1][hits], return_index=True)[1]].tolist():
-                found.append({"grp": int(levels[-1][i]), "lang": row["lang"], "phrase": b" ".join([words[c] for c in code[i:i + size]]).decode(),
+            hits = np.flatnonzero(whole & among(group, wanted))
+            for i in hits[np.unique(group[hits], return_index=True)[1]].tolist():
+                found.append({"grp": int(group[i]), "lang": row["lang"], "phrase": b" ".join([words[c] for c in code[i:i + size]]).decode(),
                               "heads": [int(levels[k][i]) for k in range(size - 1)],
                               "tails": [int(levels[size - 2 - k][i + k + 1]) for k in range(size - 1)]})
         if found:
@@ -280,46 +307,54 @@ class Mining:
     def __init__(self, documents: DataFrame, least: int, longest: int, shipped: int, part_bytes: int):
         self.spark, self.least, self.shipped = documents.sparkSession, least, shipped
         texts = documents.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
-        self.words = materialized(texts.mapInArrow(_words(longest, part_bytes), _WORDS), "phrases-words")
+        self.words = materialized(texts.mapInArrow(_words(longest, part_bytes), _WORDS), "phrases-words", codec=CODEC)
         relation, before = self.words.select(*_SEEN), None
-
-        def words(most: int) -> DataFrame:
-            return relation.mapInArrow(_count_words(most), _GROUPS)
-
-        def longer(known: tuple[DataFrame, Broadcast | None]) -> Callable[[int], DataFrame]:
-            return lambda most: known[0].mapInArrow(_count_longer(known[1], most), _GROUPS)
-
-        groups = words
-        self.frequent = [self._frequent(groups)]
+        self.groups: list[Groups] = [lambda most, r=relation: r.mapInArrow(_count_words(most), _GROUPS)]
+        self.frequent = [self._frequent()]
         for size in range(2, longest + 1):
             if size > 2:
-                relation = materialized(self._extended(relation, groups, before), f"phrases-{size - 1}")
-            before = self._known(relation, groups, "kept") if size == 2 else (relation, None)
-            groups = longer(before)
-            self.frequent.append(self._frequent(groups))
+                relation = materialized(self._extended(relation, before), f"phrases-{size - 1}", codec=CODEC)
+            before = self._known(relation, "kept") if size == 2 else (self._gathered(relation), None)
+            self.groups.append(lambda most, k=before: k[0].mapInArrow(_count_longer(k[1], most), _GROUPS))
+            self.frequent.append(self._frequent())
 
-    def _frequent(self, groups: Groups) -> DataFrame:
-        totals = groups(TALLIED).groupBy("grp").agg(F.sum("n").alias("n"), F.min("part").alias("home"))
+    def _frequent(self) -> DataFrame:
+        totals = self.groups[-1](TALLIED).groupBy("grp").agg(F.sum("n").alias("n"))
         return materialized(totals.where(F.col("n") >= self.least), "phrases-frequent")
 
-    def _known(self, relation: DataFrame, groups: Groups, name: str) -> tuple[DataFrame, Broadcast | None]:
+    def _gathered(self, relation: DataFrame) -> DataFrame:
+        """The relation in tasks of about ``TALLIED`` occurrences, so that much is added up before it moves."""
+        occurrences = self.frequent[-1].agg(F.sum("n")).first()[0] or 0
+        return relation.coalesce(-(-occurrences // TALLIED) or 1)
+
+    def _known(self, relation: DataFrame, name: str) -> tuple[DataFrame, Broadcast | None]:
         """The relation whose tasks know the latest frequent groups: as one array, or as a list for each part."""
         frequent = self.frequent[-1].select("grp")
         if frequent.count() <= self.shipped:
             return relation, self.spark.sparkContext.broadcast(np.sort(frequent.toArrow().column(0).to_numpy()))
-        lists = groups(0).join(frequent, "grp", "left_semi").groupBy("part").agg(F.collect_list("grp").alias(name))
+        lists = self.groups[-1](0).join(frequent, "grp", "left_semi").groupBy("part").agg(F.collect_list("grp").alias(name))
         return relation.join(lists, "part", "left"), None
 
-    def _extended(self, relation: DataFrame, groups: Groups, before: tuple[DataFrame, Broadcast | None]) -> DataFrame:
-        known, after = self._known(before[0], groups, "kept_next")
+    def _extended(self, relation: DataFrame, before: tuple[DataFrame, Broadcast | None]) -> DataFrame:
+        known, after = self._known(before[0], "kept_next")
         return known.mapInArrow(_extend(before[1], after), _RELATION)
 
+    def _homes(self, few: bool) -> DataFrame:
+        """size, grp and a part that has it, for the frequent phrases of two words or more."""
+        phrases = list(enumerate(self.frequent[1:], 2))
+        if few:
+            arrays = {size: np.sort(found.select("grp").toArrow().column(0).to_numpy()) for size, found in phrases}
+            found = self.words.select(*_SEEN).mapInArrow(_find(self.spark.sparkContext.broadcast(arrays)), _HOMES)
+        else:
+            found = reduce(DataFrame.union, [self.groups[size - 1](0).join(frequent.select("grp"), "grp", "left_semi").select(
+                F.lit(size).cast("long").alias("size"), "grp", "part") for size, frequent in phrases])
+        return found.groupBy("size", "grp").agg(F.min("part").alias("part"))
+
     def phrases(self) -> DataFrame:
         """Frequent phrases of two words or more: grp, lang, phrase, heads, tails."""
-        homes = reduce(DataFrame.union, [found.select(F.lit(size).alias("size"), "grp", F.col("home").alias("part"))
-                                         for size, found in enumerate(self.frequent[1:], 2)])
-        wanted = homes.groupBy("part").agg(F.collect_list(F.struct("size", "grp")).alias("wanted"))  # no more than a part has
-        return self.words.join(wanted, "part").mapInArrow(_spell, _PHRASES)
+        few = sum(found.count() for found in self.frequent[1:]) <= self.shipped
+        wanted = self._homes(few).groupBy("part").agg(F.collect_list(F.struct("size", "grp")).alias("wanted"))  # no more than a part has
+        return self.words.join(F.broadcast(wanted) if few else wanted, "part").mapInArrow(_spell, _PHRASES)
 
     def counts(self) -> DataFrame:
         """grp and n of all frequent phrases and words."""

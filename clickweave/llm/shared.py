@@ -25,14 +25,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
-def materialized(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialized(df: DataFrame, name: str, partition_by: str | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written once below the shared folder and read back, so lost executors cost no recomputation.
 
-    Every call writes to a path of its own; nothing is overwritten.
+    Every call writes to a path of its own; nothing is overwritten. ``codec`` is the files' compression, the session's if not given.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", codec) if codec else df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
