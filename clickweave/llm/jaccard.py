@@ -348,8 +348,11 @@ def _without_id(texts: DataFrame) -> DataFrame:
 def one_of_each_component(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that have their component's smallest doc_id, once for each text; rows without doc_id all stay."""
     links = link_components(documents)
-    smallest = links.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = documents.join(smallest, F.col("doc_id").cast("long") == F.col("_kept")).withColumn("_text", F.xxhash64("text"))
-    first = Window.partitionBy("_kept", "_text").orderBy("doc_id")
-    once = with_id.withColumn("_at", F.row_number().over(first)).where(F.col("_at") == 1)
-    return once.select(*documents.columns).union(documents.where(F.col("doc_id").isNull()))
+    smallest = links.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    # The row is one field, so its columns can have any names.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    doc_id, text = F.col("row").getField("doc_id"), F.col("row").getField("text")
+    named = rows.select("row", doc_id.cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).join(smallest, F.col("id") == F.col("kept"))
+    first = Window.partitionBy("id", "text_hash").orderBy("id")
+    once = named.withColumn("turn", F.row_number().over(first)).where(F.col("turn") == 1).select("row")
+    return once.union(rows.where(doc_id.isNull())).select("row.*")

@@ -77,6 +77,23 @@ def test_run_and_odd_rows(spark, small_dir):
         assert stage(spark, docs.limit(0), small_dir).collect() == []
 
 
+def test_columns_of_any_name_stay_as_they_are(spark, small_dir):
+    names = ("_text", "_kept", "_at", "a.b", "row", "id", "kept", "turn", "text_hash", "document", "copies", "size", "class")
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 3), (2, text + " more", "en", "s", 4), (5, "quite another text", "fr", "s", 5), (None, text, "en", "s", 6)]
+    whole = [(*row, *(f"{name} of {row[0]}" for name in names)) for row in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{name}` string" for name in names)
+    docs = spark.createDataFrame(whole, schema)
+    single = corpus_pipeline.drop_near_copies(spark, docs, small_dir)
+    assert single.columns == docs.columns
+    assert sorted((tuple(r) for r in single.collect()), key=str) == sorted((r for r in whole if r[0] != 2), key=str)
+    for stage in (lambda d: quality.keep_good(d, quality.fit([], [])), secrets.redact, mixing.mix_documents):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert {tuple(r)[5:] for r in kept.collect()} <= {row[5:] for row in whole}
+    assert corpus_pipeline.pack_sequences(spark, docs, small_dir).count() == 4
+
+
 def test_spans_are_replaced_once():
     assert secrets.redacted_text("abcdefgh", [(1, 3), (2, 4), (6, 7)], "#") == "a#ef#h"
     assert secrets.redacted_text("abc", []) == "abc" and secrets.redacted_text("abc", [(0, 3)], "#") == "#"
