@@ -42,6 +42,8 @@ PART_BYTES = 1 << 18
 #: Size of the batches in which texts and parts reach the tasks.
 BATCH = "4m"
 CODEC = "zstd"
+#: One part in so many is looked at first for an occurrence of each frequent phrase.
+LOOKED_AT_FIRST = 16
 #: Most groups that are sent to every task at once (16 bytes each at most); more are joined to the parts.
 SHIPPED = 2_000_000
 #: Occurrences whose groups are counted together before they leave a task.
@@ -342,12 +344,20 @@ class Mining:
     def _homes(self, few: bool) -> DataFrame:
         """size, grp and a part that has it, for the frequent phrases of two words or more."""
         phrases = list(enumerate(self.frequent[1:], 2))
-        if few:
-            arrays = {size: np.sort(found.select("grp").toArrow().column(0).to_numpy()) for size, found in phrases}
-            found = self.words.select(*_SEEN).mapInArrow(_find(self.spark.sparkContext.broadcast(arrays)), _HOMES)
-        else:
+        if not few:
             found = reduce(DataFrame.union, [self.groups[size - 1](0).join(frequent.select("grp"), "grp", "left_semi").select(
                 F.lit(size).cast("long").alias("size"), "grp", "part") for size, frequent in phrases])
+            return found.groupBy("size", "grp").agg(F.min("part").alias("part"))
+        # Most phrases are met in a few of the parts; only the rest are looked for in all.
+        open_ = {size: np.sort(found.select("grp").toArrow().column(0).to_numpy()) for size, found in phrases}
+        some = self.words.where(F.pmod(F.xxhash64("part"), F.lit(LOOKED_AT_FIRST)) == 0)
+        met = materialized(self._look(some, open_), "phrases-homes")
+        known = met.select("size", "grp").toArrow().to_pandas()
+        rest = {size: np.setdiff1d(groups, known.grp[known["size"] == size]) for size, groups in open_.items()}
+        return met.union(self._look(self.words, rest)) if any(map(len, rest.values())) else met
+
+    def _look(self, words: DataFrame, groups: dict[int, np.ndarray]) -> DataFrame:
+        found = words.select(*_SEEN).mapInArrow(_find(self.spark.sparkContext.broadcast(groups)), _HOMES)
         return found.groupBy("size", "grp").agg(F.min("part").alias("part"))
 
     def phrases(self) -> DataFrame:
