@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from clickweave import sinks
 from clickweave.operators.ads import DEFAULT_THRESHOLD
@@ -16,7 +17,7 @@ from clickweave.plans.shared import remove_shared
 from clickweave.session import build_session
 from clickweave.sources import ad_lines, warehouse
 from clickweave import schemas
-from clickweave.streaming import ad_stream
+from clickweave.streaming import ad_stream, report, state
 from clickweave.streaming.ad_stream import BATCH_INTERVAL, AdTables, start_ad_stream
 from clickweave.streaming.tables import StreamTable
 from clickweave.streaming.words import running_word_count
@@ -88,35 +89,43 @@ def _lines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return ad_lines.file_lines(spark, args.files)
 
 
-def _statistic(clicks: DataFrame, args: argparse.Namespace):
-    """A running statistic kept in the state store, written below the output."""
-    if args.job == "rolling-hour-stream":
-        trigger = {"availableNow": True} if args.available_now else {"processingTime": args.interval}
-        return ad_stream.rolling_hour_stream(clicks, args.lateness or ad_stream.TREND_WINDOW).writeStream.outputMode("append").format(
-            "parquet").option("path", args.output).option("checkpointLocation", args.checkpoint).trigger(**trigger).start()
+def _statistic(spark: SparkSession, lines: DataFrame, args: argparse.Namespace) -> StreamingQuery:
+    """A running statistic kept in the state store, written below the output, with a report of its life next to it."""
+    clicks = ad_lines.ad_parse(lines, report.OBSERVED)
     if args.job == "city-daily-stream":
-        rows = ad_stream.city_daily_stream(clicks, args.lateness or "1 day")
-        table = StreamTable(args.output, schemas.AD_STAT, "latest", ("date", "province", "city", "adid"), "date")
+        rows, table = state.city_daily_counts(clicks), (schemas.AD_STAT, ("date", "province", "city", "adid"), "date")
+    elif args.job == "minute-trend-stream":
+        rows, table = state.minute_trend_counts(clicks), (schemas.AD_CLICK_TREND, ("date", "hour", "minute", "adid"), "date")
     else:
-        rows = ad_stream.minute_trend_stream(clicks, args.lateness or ad_stream.TREND_WINDOW)
-        table = StreamTable(args.output, schemas.AD_CLICK_TREND, "latest", ("date", "hour", "minute", "adid"), "date")
-    return ad_stream.upsert_stream(rows, table, args.checkpoint, args.available_now, args.interval)
+        if args.available_now:  # else timers that are not yet due would keep the query open
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        rows, table = state.rolling_counts(clicks), (schemas.AD_ROLLING_HOUR, ("adid",), None)
+    schema, keys, partition = table
+    listener = report.LifeReport(spark, f"{args.output}_report")
+    spark.streams.addListener(listener)
+    try:
+        query = ad_stream.upsert_stream(rows, StreamTable(args.output, schema, "latest", keys, partition), args.checkpoint,
+                                        args.available_now, args.interval)
+        query.awaitTermination()
+        listener.wait_for(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return query
 
 
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     lines = _lines(spark, args)
+    if args.job in STATISTICS:
+        _statistic(spark, lines, args)
+        return
     if args.job == "ad-stream":
         query = start_ad_stream(lines, AdTables.under(args.output), args.checkpoint, args.threshold,
                                 args.available_now, args.interval, args.probe_skew)
-    elif args.job in STATISTICS:
-        query = _statistic(ad_lines.ad_parse(lines), args)
     else:
         trigger = {"availableNow": True} if args.available_now else {"processingTime": args.interval}
         query = running_word_count(lines).writeStream.outputMode("complete").format("console").option(
             "checkpointLocation", args.checkpoint).trigger(**trigger).start()
     query.awaitTermination()
-    if args.job in STATISTICS and (late := ad_stream.late_rows(query)):
-        print(f"{late} clicks came after the watermark and are not counted")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -146,7 +155,6 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--kafka-topic")
         s.add_argument("--checkpoint", required=True)
         s.add_argument("--output", required=job != "word-stream", help="root directory of the result tables")
-        s.add_argument("--lateness", help="how long a running statistic waits for late clicks, e.g. '2 hours'")
         s.add_argument("--probe-skew", action=argparse.BooleanOptionalAction, default=True,
                        help="find users with very many clicks in each batch and spread them")
         s.add_argument("--threshold", type=int, default=DEFAULT_THRESHOLD)

@@ -20,6 +20,7 @@ from clickweave.sources.warehouse import (
     action_scan,
     action_scan_by_time,
     area_click_scan,
+    list_rejects,
     load_actions,
 )
 
@@ -220,6 +221,11 @@ def action_rejects_rows(spark, sf):
     return action_rejects(testdata.raw_actions(spark, sf)).select("event_id", "user_id", "action_time", "unreadable")
 
 
+@_query
+def action_list_rejects(spark, sf):
+    return list_rejects(testdata.raw_actions(spark, sf))
+
+
 @_query
 def top10_category(spark, sf):
     return jobs.top10_category(_all_actions(spark, sf), PARAMS, TASK)

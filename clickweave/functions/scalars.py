@@ -24,8 +24,8 @@ def json_field(json_col: Column, field: str) -> Column:
 
 
 def csv_values(col: Column) -> Column:
-    """Distinct numbers of a comma list (array of bigint); entries that are no numbers are one null."""
-    return F.array_distinct(F.transform(F.split(col, ","), lambda entry: F.trim(entry).try_cast("bigint")))
+    """Distinct numbers of a comma list (array of bigint), blanks around them or not; entries that are no numbers are one null."""
+    return F.array_distinct(F.split(col, ",").try_cast("array<bigint>"))
 
 
 def trim_comma(col: Column) -> Column:

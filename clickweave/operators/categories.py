@@ -11,15 +11,15 @@ from clickweave.sources.warehouse import NO_CLICK
 CLICK, ORDER, PAY = 0, 1, 2
 
 
-def category_events(actions: DataFrame) -> DataFrame:
-    """One row (kind, category_id) per action and distinct category it clicks, orders or pays for.
+def category_events(actions: DataFrame, *more: str) -> DataFrame:
+    """One row (kind, category_id and the columns ``more``) per action and distinct category it clicks, orders or pays for.
 
     One scan serves all three kinds: the lists of an action are unfolded by kind, then by value.
     """
     clicked = F.when(F.col("click_category_id") != NO_CLICK, F.array(F.col("click_category_id")))
     lists = F.array(clicked, csv_values(F.col("order_category_ids")), csv_values(F.col("pay_category_ids")))
-    by_kind = actions.select(F.posexplode(lists).alias("kind", "ids")).where(F.col("ids").isNotNull())
-    return by_kind.select("kind", F.explode("ids").alias("category_id")).where(F.col("category_id").isNotNull())
+    by_kind = actions.select(*more, F.posexplode(lists).alias("kind", "ids")).where(F.col("ids").isNotNull())
+    return by_kind.select("kind", *more, F.explode("ids").alias("category_id")).where(F.col("category_id").isNotNull())
 
 
 def category_universe(actions: DataFrame) -> DataFrame:
@@ -37,28 +37,39 @@ def category_counts(actions: DataFrame) -> DataFrame:
     )
 
 
+def session_category_counts(actions: DataFrame) -> DataFrame:
+    """Events per (kind, category_id, session_id): the totals of the categories and the clicks of the sessions are both sums of these."""
+    return category_events(actions, "session_id").groupBy("kind", "category_id", "session_id").agg(F.count("*").alias("n"))
+
+
+def category_totals(counts: DataFrame) -> DataFrame:
+    """``category_counts`` from ``session_category_counts``."""
+    n, kind = F.col("n"), F.col("kind")
+    return counts.groupBy("category_id").agg(*[
+        F.coalesce(F.sum(F.when(kind == value, n)), F.lit(0)).alias(name)
+        for value, name in ((CLICK, "click_count"), (ORDER, "order_count"), (PAY, "pay_count"))])
+
+
 def top_categories(counts: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` categories with most clicks, then orders, then payments, then the smallest id."""
     return counts.orderBy(
         F.desc("click_count"), F.desc("order_count"), F.desc("pay_count"), "category_id").limit(k)
 
 
-def top_category_sessions(actions: DataFrame, kept: DataFrame, top: DataFrame, k: int = 10) -> DataFrame:
+def top_category_sessions(counts: DataFrame, kept: DataFrame, top: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` kept sessions with most clicks in each of the ``top`` categories.
 
-    Clicks are counted per (category, session) before the kept sessions are looked up: a very long
-    session is then at most one row per top category, and wide action rows never move. Spark broadcasts
-    ``top`` by its own check of the size, as ``k`` is the caller's.
+    ``counts`` are ``session_category_counts``; ``top`` can be made of the same ones, and Spark then shuffles them once for both uses.
+    They are joined before the kept sessions are looked up, so a very long session is at most one row per top category and kind, and wide
+    action rows never move. Spark broadcasts ``top`` by its own check of the size, as ``k`` is the caller's.
     """
-    clicks = actions.where(F.col("click_category_id") != NO_CLICK).select(
-        F.col("click_category_id").alias("category_id"), "session_id")
-    counts = (
-        clicks.join(top.select("category_id"), "category_id")
-        .groupBy("category_id", "session_id").agg(F.count("*").alias("click_count"))
-        .join(kept.select("session_id"), "session_id", "left_semi")
-    )
+    clicks = F.sum(F.when(F.col("kind") == CLICK, F.col("n")))
+    of_top = counts.join(top.select("category_id"), "category_id").groupBy("category_id", "session_id").agg(clicks.alias("click_count"))
+    # Null-safe, as an equality would also be asked of the counts below and keep them from being shared; no kept session is null here.
+    named = kept.where(F.col("session_id").isNotNull()).select(F.col("session_id").alias("kept_id"))
+    clicked = of_top.where(F.col("click_count") > 0).join(named, F.col("session_id").eqNullSafe(F.col("kept_id")), "left_semi")
     order = Window.partitionBy("category_id").orderBy(F.desc("click_count"), "session_id")
     return (
-        counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        clicked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("category_id", "session_id", "click_count")
     )

@@ -251,6 +251,11 @@ def all_oracles() -> dict[str, str]:
             SELECT event_id, user_id, action_time,
               concat_ws(',', CASE WHEN no_time THEN 'action_time' END, CASE WHEN no_user THEN 'user_id' END) unreadable
             FROM raw WHERE no_time OR no_user"""),
+        "action_list_rejects": _pick(f"{_ACTION},{_RAW}", """
+            SELECT event_id, list_column, entry FROM (
+              SELECT event_id, 'order_category_ids' list_column, unnest(string_split(order_category_ids, ',')) entry FROM raw
+              UNION ALL SELECT event_id, 'pay_category_ids', unnest(string_split(pay_category_ids, ',')) FROM raw)
+            WHERE NOT regexp_full_match(trim(entry), '[+-]?[0-9]{1,18}')"""),
         "top10_category": _pick(_CATEGORIES, f"""
             SELECT '{TASK}' taskid, category_id categoryid, click_count "clickCount", order_count "orderCount",
               pay_count "payCount" FROM top10"""),

@@ -94,9 +94,10 @@ def top10_session(actions: DataFrame, users: DataFrame, params: TaskParams, task
                   date_of_time: bool = False) -> DataFrame:
     """The ten filtered sessions with most clicks in each of the ten leading categories."""
     scanned = action_scan_by_time(actions, params, date_of_time)
-    top = categories.top_categories(categories.category_counts(scanned), k)
+    counts = categories.session_category_counts(scanned)
+    top = categories.top_categories(categories.category_totals(counts), k)
     kept = sessions.kept_sessions(scanned, users, params)
-    return categories.top_category_sessions(scanned, kept, top, k).select(
+    return categories.top_category_sessions(counts, kept, top, k).select(
         _task(task_id), F.col("category_id").alias("categoryid"),
         F.col("session_id").alias("sessionid"), F.col("click_count").alias("clickCount"))
 

@@ -58,3 +58,5 @@ AD_USER_CLICK_COUNT = "date string, userid bigint, adid bigint, clickCount bigin
 AD_STAT = "date string, province string, city string, adid bigint, clickCount bigint"
 AD_PROVINCE_TOP3 = "date string, province string, adid bigint, clickCount bigint"
 AD_CLICK_TREND = "date string, hour string, minute string, adid bigint, clickCount bigint"
+AD_ROLLING_HOUR = "adid bigint, window_end_ms bigint, clickCount bigint"
+STREAM_REPORT = "kind string, n bigint"

@@ -60,12 +60,16 @@ def _readable() -> Column:
     return readable
 
 
-def ad_parse(lines: DataFrame) -> DataFrame:
-    """Readable lines as columns, with the event time ``ts``."""
-    return (
-        _split_line(lines).where(_readable()).drop("value")
-        .withColumn("ts", F.timestamp_millis("timestamp_ms"))
-    )
+def ad_parse(lines: DataFrame, observed_as: str | None = None) -> DataFrame:
+    """Readable lines as columns, with the event time ``ts``.
+
+    ``observed_as`` names metrics that a query then reports with each batch: lines ``read``, and of these ``accepted`` and ``rejected``.
+    """
+    split = _split_line(lines)
+    if observed_as:
+        split = split.observe(observed_as, F.count(F.lit(1)).alias("read"), F.count_if(_readable()).alias("accepted"),
+                              F.count_if(~_readable()).alias("rejected"))
+    return split.where(_readable()).drop("value").withColumn("ts", F.timestamp_millis("timestamp_ms"))
 
 
 def ad_rejects(lines: DataFrame) -> DataFrame:

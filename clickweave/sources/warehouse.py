@@ -2,13 +2,14 @@
 
 The scans take a DataFrame (a table, a Parquet directory, a view) and add only projections and
 predicates on stored columns, so both reach the file scan; a table partitioned by ``date`` is
-pruned by the same predicate. ``action_scan_by_time`` filters the stored text of the time, whose date
-prefix has a fixed width, next to the parsed time.
+pruned by the same predicate. ``action_scan_by_time`` filters the stored text of the time: where it can be
+read its date prefix has a fixed width, so the range of the text is that of the time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from clickweave.params import TaskParams
 from clickweave.schemas import CITY_AREA, PRODUCT_INFO, USER_INFO, USER_VISIT_ACTION
 
 NO_CLICK = -1
+CATEGORY_LISTS = ("order_category_ids", "pay_category_ids")
 
 # The ten cities of the original city dimension (id, name, area).
 CITY_AREA_ROWS = (
@@ -65,6 +67,14 @@ def action_rejects(df: DataFrame) -> DataFrame:
     return df.withColumn("unreadable", F.concat_ws(",", *unreadable)).where(F.col("unreadable") != "")
 
 
+def list_rejects(df: DataFrame, columns: Sequence[str] = CATEGORY_LISTS) -> DataFrame:
+    """Entries of the comma lists that are no numbers and so count for no category: event_id, list_column, entry, a row for each."""
+    lists = F.array(*[F.struct(F.lit(c).alias("list_column"), F.split(F.col(c), ",").alias("entries")) for c in columns])
+    entries = df.select("event_id", F.explode(lists).alias("list")).select(
+        "event_id", "list.list_column", F.explode("list.entries").alias("entry"))
+    return entries.where(F.col("entry").try_cast("bigint").isNull())
+
+
 def load_users(df: DataFrame) -> DataFrame:
     return typed(df, USER_INFO)
 
@@ -96,11 +106,12 @@ def action_scan_by_time(actions: DataFrame, params: TaskParams, date_of_time: bo
     if date_of_time:
         actions = action_scan(actions, params)
     if params.start_date:
-        actions = actions.where((F.col("action_time") >= params.start_date)
-                                & (F.col("action_ts") >= F.lit(params.start_date).cast("timestamp")))
+        actions = actions.where(F.col("action_time") >= params.start_date)
     if params.end_date:
         after = (dt.date.fromisoformat(params.end_date) + dt.timedelta(days=1)).isoformat()
-        actions = actions.where((F.col("action_time") < after) & (F.col("action_ts") < F.lit(after).cast("timestamp")))
+        actions = actions.where(F.col("action_time") < after)
+    if params.start_date or params.end_date:
+        actions = actions.where(F.col("action_ts").isNotNull())
     return actions
 
 

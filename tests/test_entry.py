@@ -1,0 +1,26 @@
+"""The named queries are there whatever the training-data subpackage lacks."""
+
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+from clickweave import catalog, oracle
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SCRIPT = """
+import sys
+sys.modules[{blocked!r}] = None
+import __spark_entry__ as entry
+print(*sorted(entry.queries()), "|", *sorted(entry.oracle_sql()))
+"""
+
+
+@pytest.mark.parametrize("blocked", ["clickweave.llm", "ahocorasick", "numpy"])
+def test_queries_without_the_subpackage_or_a_library_of_it(blocked):
+    out = subprocess.run([sys.executable, "-c", SCRIPT.format(blocked=blocked)], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    named, oracles = out.split("|")
+    assert named.split() == sorted(catalog.all_queries()) and oracles.split() == sorted(oracle.all_oracles())

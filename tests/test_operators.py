@@ -136,12 +136,20 @@ def test_top_categories_break_ties(spark):
     assert top == [5, 2, 3, 1]
 
 
+def test_totals_of_session_counts_are_the_category_counts(spark, small_dir):
+    from clickweave.sources import testdata
+    actions = warehouse.load_actions(testdata.raw_actions(spark, small_dir))
+    counts = categories.session_category_counts(actions)
+    assert rows(categories.category_totals(counts)) == rows(categories.category_counts(actions))
+
+
 def test_top_sessions_only_of_kept_sessions(spark):
     actions = load(spark, [act(session=s, category=c) for s, c in
                            [("a", 1), ("a", 1), ("b", 1), ("c", 1), ("d", 1), ("d", 1), ("d", 1), ("a", 2)]])
     kept = spark.createDataFrame([("a",), ("b",), ("c",)], "session_id string")
     top = spark.createDataFrame([(1,)], "category_id bigint")
-    assert rows(categories.top_category_sessions(actions, kept, top, 2)) == [(1, "a", 2), (1, "b", 1)]
+    counts = categories.session_category_counts(actions)
+    assert rows(categories.top_category_sessions(counts, kept, top, 2)) == [(1, "a", 2), (1, "b", 1)]
 
 
 def test_page_flow_without_a_step_and_single_page_session(spark):

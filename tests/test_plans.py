@@ -53,6 +53,15 @@ def test_category_counts_scan_once_and_shuffle_once(spark, small_dir):
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
+def test_leading_sessions_scan_the_clicks_once(spark, small_dir):
+    df = QUERIES["top10_category_sessions"](spark, small_dir)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    # One scan for the totals and the sessions' clicks, whose shuffle they share, and one for the kept sessions.
+    assert len([columns for columns in read_columns(final) if "props" in columns or "event_type" in columns]) <= 2
+    assert len([columns for columns in read_columns(final) if "c_custkey" not in columns]) == 2 and "ReusedExchange" in final
+
+
 def test_page_flow_shuffles_only_the_window(spark, small_dir):
     text = plan(QUERIES["page_flow_counts"](spark, small_dir))
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1

@@ -5,10 +5,9 @@ from __future__ import annotations
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from clickweave import schemas
-from clickweave.operators import ads, words
+from clickweave.operators import words
 from clickweave.plans import shared
 from clickweave.sources import ad_lines, testdata
 from clickweave.streaming import ad_stream
@@ -91,7 +90,7 @@ def check_tables(spark, tables, chunks, threshold=THRESHOLD):
     assert rows(tables.city_counts.read(spark, before)
                 .select("date", "province", "city", "adid", "clickCount")) == cities
     assert rows(tables.trend.read(spark, before).select("date", "hour", "minute", "adid", "clickCount")) == trend
-    assert rows(tables.province_top.read(spark, before)
+    assert rows(tables.province_top.read(spark)
                 .select("date", "province", "adid", "clickCount")) == top_three(cities)
 
 
@@ -142,18 +141,21 @@ def test_published_rows_rebuild_the_tables(spark, lines, tmp_path):
     database = {}
 
     def upsert(name, changed):
-        table = dict(tables.named())[name]
+        keys = dict(tables.keys())[name]
         target = database.setdefault(name, {})
         groups = {}
         for row in changed.collect():
-            groups.setdefault(tuple(row[k] for k in table.keys), []).append(tuple(row[c] for c in sorted(row.asDict())))
+            groups.setdefault(tuple(row[k] for k in keys), []).append(tuple(row[c] for c in sorted(row.asDict())))
         target.update(groups)
 
     for i, chunk in enumerate(chunks):
         batch = spark.createDataFrame([(v,) for v in chunk], "value string")
         ad_stream.process_batch(batch, i, tables, THRESHOLD, publish=upsert)
-    for name, table in tables.named():
-        current = table.read(spark, len(chunks))
+    stored = {"ad_province_top3": tables.province_top.read(spark)}
+    for table in (tables.user_counts, tables.blacklist, tables.city_counts, tables.trend):
+        stored[table.path.split("/")[-1]] = table.read(spark, len(chunks))
+    assert stored.keys() == dict(tables.keys()).keys()
+    for name, current in stored.items():
         published = sorted(row for group in database[name].values() for row in group)
         assert published == rows(current.select(*sorted(current.columns))) and published
 
@@ -189,7 +191,7 @@ def test_only_touched_dates_are_read(spark, tmp_path, monkeypatch):
         batch(i, start + i * day)
     read = []
     states = StreamTable._states
-    monkeypatch.setattr(StreamTable, "_states", lambda self, spark, value: read.append(value) or states(self, spark, value))
+    monkeypatch.setattr(StreamTable, "_states", lambda self, spark, place: read.append(place[0]) or states(self, spark, place))
     batch(3, start + day, 0)
     assert set(read) - {"all"} == {"2024-01-02", "1970-01-01", "20240102", "19700101"}
     read.clear()
@@ -206,7 +208,7 @@ def test_files_of_a_date_do_not_grow_with_the_batches(spark, tmp_path):
         table.write(row, batch_id)
     assert rows(table.read(spark, 1000).select("clickCount")) == [(6,)]
     assert rows(table.read(spark, 999).select("clickCount")) == [(5,)]
-    assert sorted(p.name for p in (tmp_path / "t" / "date=20240101").iterdir()) == ["state=251", "state=999"]
+    assert sorted(p.name for p in (tmp_path / "t" / "date=20240101").glob("bucket=*/*")) == ["state=251", "state=999"]
     assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 2 * 3
 
 
@@ -218,41 +220,20 @@ def test_steps_of_a_batch_stay_in_the_job_group(spark, lines, tmp_path, monkeypa
     assert groups and all(groups)
 
 
-@pytest.mark.parametrize("kind", ["city", "trend"])
-def test_running_statistics_equal_batch(spark, lines, tmp_path, kind):
-    source = write_files(tmp_path / "in", lines)
-    clicks = ad_lines.ad_parse(ad_lines.file_lines(spark, source, 1))
-    batch = ad_lines.ad_parse(spark.read.text(source))
-    if kind == "city":
-        stream, want = ad_stream.city_daily_stream(clicks), ads.city_daily(batch)
-        table = StreamTable(str(tmp_path / "t"), schemas.AD_STAT, "latest",
-                            ("date", "province", "city", "adid"), "date")
-    else:
-        stream, want = ad_stream.minute_trend_stream(clicks), ads.minute_trend(batch)
-        table = StreamTable(str(tmp_path / "t"), schemas.AD_CLICK_TREND, "latest",
-                            ("date", "hour", "minute", "adid"), "date")
-    query = ad_stream.upsert_stream(stream, table, str(tmp_path / "check"), available_now=True)
-    query.awaitTermination(300)
-    assert query.exception() is None
-    done = query.lastProgress["batchId"] + 1
-    assert rows(table.read(spark, done).select(*want.columns)) == rows(want)
-
-
-def test_rolling_hour_equals_batch_for_closed_windows(spark, lines, tmp_path):
-    source = write_files(tmp_path / "in", lines)
-    clicks = ad_lines.ad_parse(ad_lines.file_lines(spark, source))
-    query = (
-        ad_stream.rolling_hour_stream(clicks).writeStream.outputMode("append").format("memory")
-        .queryName("rolling_hour").option("checkpointLocation", str(tmp_path / "check"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination(300)
-    assert query.exception() is None
-    got = spark.table("rolling_hour")
-    newest = got.agg(F.max("window_end")).first()[0]
-    want = ads.hour_sliding(ad_lines.ad_parse(spark.read.text(source))).where(F.col("window_end") <= newest)
-    assert newest is not None
-    assert rows(got) == rows(want)
+def test_report_of_the_ad_stream(spark, lines, tmp_path):
+    """Counts add up over batches, runs and replays."""
+    chunks = busy(lines)
+    chunks[1] = [*chunks[1], "not a click", f"{2_000_000_000_000} 1 1 5000 1"]
+    tables = ad_stream.AdTables.under(str(tmp_path / "out"))
+    for i in (0, 1, 1, 2, 2, 3):
+        ad_stream.process_batch(spark.createDataFrame([(v,) for v in chunks[i]], "value string"), i, tables, THRESHOLD)
+    ad_stream.process_batch(spark.createDataFrame([], "value string"), 4, tables, THRESHOLD)
+    got = dict(rows(tables.report.read(spark, 5)))
+    users, *_ = expected([[v for v in chunk if v != "not a click"] for chunk in chunks], THRESHOLD)
+    accepted = sum(r[-1] for r in users)
+    assert got["read"] == sum(map(len, chunks)) and got["rejected"] == 1
+    assert got["accepted"] == accepted and got["blacklisted"] == got["read"] - 1 - accepted
+    assert 0 < got["late"] < accepted
 
 
 def test_running_word_count(spark, tmp_path):
