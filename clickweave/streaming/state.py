@@ -180,24 +180,24 @@ class AcceptedClicks(StatefulProcessor):
         self.listed = handle.getValueState("listed", "micros bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clicks = pd.concat(list(rows), ignore_index=True).sort_values(["_micros", self.tie], kind="stable")
+        clicks = pd.concat(list(rows), ignore_index=True).sort_values(["click_micros", self.tie], kind="stable")
         listed = self.listed.get()
         listed_at = listed[0] if listed else None
         if listed_at is None:
             listed_at = self._count(clicks)
-        accepted = clicks if listed_at is None else clicks[clicks["_micros"] <= listed_at]
+        accepted = clicks if listed_at is None else clicks[clicks["click_micros"] <= listed_at]
         yield accepted[self.columns]
 
     def _count(self, clicks: pd.DataFrame) -> int | None:
         """Adds the clicks to the counts; the time of the first that brings one of them to the threshold."""
-        groups = clicks.groupby(["_day", "adid"], sort=False)
+        groups = clicks.groupby(["click_day", "adid"], sort=False)
         reached, totals = [], {}
         for (day, ad), group in groups:
             known = self.counts.getValue((int(day), int(ad)))
             before = known[0] if known else 0
             totals[(int(day), int(ad))] = before + len(group)
             if before + len(group) >= self.threshold:
-                reached.append(int(group["_micros"].iloc[max(self.threshold - before, 1) - 1]))
+                reached.append(int(group["click_micros"].iloc[max(self.threshold - before, 1) - 1]))
         if reached:
             self.listed.update((min(reached),))
             self.counts.clear()
@@ -219,8 +219,9 @@ def accepted_stream(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD, tie:
     On clicks that come in the order of (ts, ``tie``) the result is that of ``operators.ads.accepted_clicks`` however they are cut into
     batches; inside a batch they are put into that order. A user's counts are kept for ``kept_days`` before the newest day seen of the user;
     a listed user's state is one number. The clicks of one user in one batch are held in memory: the source's limit on a batch bounds them.
+    Column names must not begin with an underscore, as Spark hands rows over as named tuples.
     """
     columns = clicks.columns
-    keyed = clicks.withColumns({"_micros": F.unix_micros(F.col("ts").cast("timestamp")), "_day": F.unix_date(F.to_date("ts"))})
+    keyed = clicks.withColumns({"click_micros": F.unix_micros(F.col("ts").cast("timestamp")), "click_day": F.unix_date(F.to_date("ts"))})
     return keyed.groupBy("userid").transformWithStateInPandas(
         AcceptedClicks(columns, threshold, tie, kept_days), outputStructType=clicks.schema, outputMode="Append", timeMode="None")
