@@ -43,13 +43,13 @@ class AdTables:
     def under(cls, root: str, buckets: int = DEFAULT_BUCKETS) -> AdTables:
         """``buckets``: into how many pieces the keys of a date are dealt; a batch reads and writes those that it touches."""
 
-        def table(name, schema, keys):
-            return StreamTable(f"{root}/{name}", schema, "added", keys, "date", buckets)
+        def table(name, schema, keys, bucket_by=()):
+            return StreamTable(f"{root}/{name}", schema, "added", keys, "date", buckets, bucket_by)
 
         return cls(
             user_counts=table("ad_user_click_count", schemas.AD_USER_CLICK_COUNT, ("date", "userid", "adid")),
             blacklist=KeySet(f"{root}/ad_blacklist", "userid"),
-            city_counts=table("ad_stat", schemas.AD_STAT, ("date", "province", "city", "adid")),
+            city_counts=table("ad_stat", schemas.AD_STAT, ("date", "province", "city", "adid"), ("date", "province")),
             province_top=GroupTable(f"{root}/ad_province_top3", schemas.AD_PROVINCE_TOP3, ("date", "province")),
             trend=table("ad_click_trend", schemas.AD_CLICK_TREND, ("date", "hour", "minute", "adid")),
             report=report_table(f"{root}/report"),
@@ -117,8 +117,9 @@ def process_batch(lines: DataFrame, batch_id: int, tables: AdTables,
     def save_places() -> None:
         save(tables.city_counts, ads.city_daily(accepted))
         groups = changed[_name(tables.city_counts.path)].select("date", "province").distinct()
-        dates = {date for date, _ in touched[tables.city_counts.path]}
-        current = tables.city_counts.read(spark, batch_id + 1, dates).join(groups, ["date", "province"], "left_semi")
+        # A province of a date stands in one bucket, which the batch has touched.
+        current = tables.city_counts.read_places(spark, batch_id + 1, touched[tables.city_counts.path]).join(
+            groups, ["date", "province"], "left_semi")
         leaders = ads.province_top(ads.province_daily(current), k).persist()
         tables.province_top.write(leaders)
         changed[_name(tables.province_top.path)] = leaders

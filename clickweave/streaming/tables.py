@@ -49,6 +49,7 @@ class StreamTable:
     keys: tuple[str, ...]
     partition: str | None = None      # column by which the table is split, e.g. the date
     buckets: int = DEFAULT_BUCKETS
+    bucket_by: tuple[str, ...] = ()   # keys that decide the bucket, if not all of them: rows equal in these stand together
 
     def __post_init__(self) -> None:
         if self.merge not in ("added", "latest"):
@@ -59,7 +60,7 @@ class StreamTable:
     def write(self, rows: DataFrame, batch_id: int) -> list[Place]:
         """Merges the rows of one micro-batch, which hold each key at most once; the places touched are returned."""
         spark = rows.sparkSession
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(*(self.bucket_by or self.keys)), F.lit(self.buckets)).cast("int")
         rows = self._split(rows.withColumns({VERSION: F.lit(batch_id).cast("bigint"), BUCKET: bucket})).persist()
         try:
             touched = sorted((r[0], r[1]) for r in rows.select(self._column, BUCKET).distinct().collect())
@@ -79,7 +80,11 @@ class StreamTable:
 
     def read(self, spark: SparkSession, before: int, partitions: Iterable[str] | None = None) -> DataFrame:
         """The table as it was before batch ``before``, or only some of its partitions."""
-        return self._whole(self._load(spark, before, self._places(spark, partitions))).drop(VERSION)
+        return self.read_places(spark, before, self._places(spark, partitions))
+
+    def read_places(self, spark: SparkSession, before: int, places: Iterable[Place]) -> DataFrame:
+        """The rows of some places, as they were before batch ``before``."""
+        return self._whole(self._load(spark, before, places)).drop(VERSION)
 
     def changed(self, spark: SparkSession, batch_id: int, touched: Iterable[Place]) -> DataFrame:
         """Current rows of every key that a batch has written; ``touched`` is what its ``write`` returned."""
