@@ -112,3 +112,57 @@ def test_odd_rows(spark):
     assert packing.pack_documents(frame.limit(0), tokenizer_file(FILE)).collect() == []
     twice = packing.pack_documents(frame.union(frame), tokenizer_file(FILE), 16).collect()
     assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice) == 2 * packing.token_pieces(frame, tokenizer_file(FILE), 16).count()
+
+
+def plain_best_fit(counts, capacity):
+    """Rooms left when each document goes to the fullest sequence that takes it."""
+    rooms = []
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            fits = [(room, i) for i, room in enumerate(rooms) if room >= size]
+            if fits:
+                rooms[min(fits)[1]] -= size
+            else:
+                rooms.append(capacity - size)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_groups_fill_as_single_documents_do(seed):
+    rng = random.Random(seed)
+    counts = defaultdict(int)
+    for _ in range(rng.randrange(1, 60)):
+        counts[rng.randrange(1, rng.choice([8, 21]))] += 1
+    plan = list(packing.best_fit(counts, 20))
+    check_plan(counts, 20, plan)
+    assert sorted(20 - sum(size * n for size, n in filling.items()) for filling, times in plan for _ in range(times)) == plain_best_fit(counts, 20)
+
+
+def test_plan_does_not_grow_with_the_counts():
+    assert packing.pack_lengths({1100: 10**6, 600: 10**6}) == [({1100: 1, 600: 1}, 10**6)]
+    rng = random.Random(11)
+    counts = {size: rng.randrange(1, 1000) for size in range(1, 2049)}
+    small, large = (packing.pack_lengths({size: n * times for size, n in counts.items()}) for times in (1, 10**6))
+    check_plan({size: n * 10**6 for size, n in counts.items()}, 2048, large)
+    for plan in (small, large):
+        assert len(plan) <= 5 * 2048
+
+
+def test_long_texts_in_stretches(spark):
+    text = b"  ab cd\n" + b"x" * 50 + b" y" * 40
+    for size in (1, 3, 10, 49, 1000):
+        cut = list(packing.stretches(text, size))
+        assert b"".join(cut) == text and all(stretch[:1] in b" \n" for stretch in cut[1:])
+    long = [(1, "It's a word, 2024! " * 120_000), (2, "é" * 700_000), (3, None), (4, "a b")]
+    frame = spark.createDataFrame(long, "doc_id long, text string")
+    check_rows(packing.pack_documents(frame, tokenizer_file(FILE)).collect(), long, 2048)
+
+
+def test_lengths_in_many_parts(spark):
+    docs = [(i, "word " * (i % 3)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    pieces = packing.token_pieces(frame, tokenizer_file(FILE), 16).cache()
+    check_rows(packing.best_fit_pack(pieces, 16, part_rows=7).collect(), docs, 16)
+    plan = packing.best_fit_pack(pieces, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+    pieces.unpersist()
