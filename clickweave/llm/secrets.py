@@ -3,13 +3,18 @@
 Base kinds are found by pattern, leftmost first and without overlap inside a kind; a match that is too short is dropped:
 ``assign`` (a value given to a password, secret, token or key), ``access`` (AKIA keys), ``hex`` (long lower-case hex).
 
-The battery looks at every unbroken run of 20 or more letters, digits and ``+/_=-`` that holds at least two kinds of
-signs. For each the narrowest fitting alphabet is taken (hex, base32, base36, base62, base64). The null hypothesis is an
-ordinary string: signs with the frequencies of prose, kinds of signs (letters, digits, others) that seldom change.
-Two p-values speak against it, that of a chi-squared statistic (against the uniform alphabet) as low as this one and that of as
-many changes of kind; Fisher's rule joins them. Benjamini-Hochberg control picks the runs to report,
-separately by alphabet and length band, from counts over all documents. Runs whose signs come in a telling order (Wald-Wolfowitz
-runs test about the median sign, or serial correlation of neighbours, below 0.001) are left out.
+The battery looks at every unbroken run of 20 or more letters, digits and ``+/_=-``; what base spans leave of a run is looked at by
+itself. The narrowest fitting alphabet is inferred. Two questions are put:
+
+* Does the run look like uniform draws from that alphabet? Chi-squared of the counts of signs, Wald-Wolfowitz runs about the middle
+  sign and the serial correlation of neighbours each give a two-sided p-value, which Fisher's rule joins.
+* Is it an ordinary string instead? Null hypothesis: a chain of kinds of signs (small letters, capitals, digits, others) that seldom
+  changes, letters as frequent as in prose. The same chain with small letters and capitals exchanged is ordinary, too.
+
+The evidence is the likelihood ratio of uniform against ordinary, divided by the number of alphabets (as the fitting one is chosen) and
+multiplied by the joint p-value. Under the null hypothesis its mean is at most one at every length, so one divided by it is a valid p-value
+without approximation: a run that is unlike prose but not uniform either (rules of signs, counting, repeats) has no evidence left.
+Benjamini-Hochberg control picks the runs to report, separately by alphabet and length band, from counts over all documents.
 
 Null and empty texts have no spans. Repeated rows are scanned each; an empty table gives an empty result. Columns other
 than those named are ignored.
@@ -41,23 +46,32 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 #: Words of which one stands in every match of ASSIGN; looked for first, as that is much faster.
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
+DIGITS, SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Alphabets from narrow to wide.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+    "hex": DIGITS + "abcdef",
+    "HEX": DIGITS + "ABCDEF",
+    "small": SMALL,
+    "CAPITAL": SMALL.upper(),
+    "base32": SMALL.upper() + "234567",
+    "base36": DIGITS + SMALL,
+    "BASE36": DIGITS + SMALL.upper(),
+    "base62": DIGITS + SMALL.upper() + SMALL,
+    "base64": SMALL.upper() + SMALL + DIGITS + "+/_-=",
 }
 #: Per cent of the letters e t a o i n s h r d l c u m w f g y p b v k j x q z in prose.
 PROSE = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (
     12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.15,
     0.15, 0.1, 0.07), strict=True))
-
-#: Shares in ordinary strings: capitals among letters where both occur, and neighbours between which the kind of sign changes.
-CAPITALS = 0.15
-CHANGES = 0.25
+#: Share of letters that are drawn alike, whatever the language.
+ANY_LETTER = 0.05
+#: Chances in ordinary strings of the next sign's kind (small letter, capital, digit, other), by the kind before.
+NEXT_KIND = {
+    "a": {"a": 0.86, "A": 0.05, "0": 0.04, "-": 0.05},
+    "A": {"a": 0.46, "A": 0.44, "0": 0.05, "-": 0.05},
+    "0": {"a": 0.06, "A": 0.05, "0": 0.80, "-": 0.09},
+    "-": {"a": 0.35, "A": 0.15, "0": 0.20, "-": 0.30},
+}
 
 #: -log10 of the p-values is counted in steps of 1/10, up to this many steps.
 STEPS = 300
@@ -65,60 +79,63 @@ BANDS = (20, 28, 40, 64, 128, 1024)
 
 
 def infer_alphabet(run: str) -> str:
-    signs = set(run.rstrip("="))
-    return next((name for name, alphabet in ALPHABETS.items() if signs <= set(alphabet)), "base64")
+    signs = set(run)
+    return next(name for name, alphabet in ALPHABETS.items() if signs <= set(alphabet))
 
 
 def length_band(n: int) -> int:
     return max(b for b in BANDS if b <= n)
 
 
-def _ordinary(alphabet: str) -> dict[str, float]:
-    """Frequencies of the signs of ``alphabet`` in ordinary strings: letters as in prose, a tenth for all others."""
-    letters = {c: PROSE.get(c.lower(), 0.0) for c in alphabet}
-    others = [c for c in alphabet if not letters[c]]
-    total = sum(letters.values())
-    share = 0.9 if total else 0.0
-    cased = {c: (CAPITALS if c.isupper() else 1 - CAPITALS) if letters[c] and letters.get(c.swapcase()) else 1.0 for c in alphabet}
-    total = sum(letters[c] * cased[c] for c in alphabet)
-    return {c: share * letters[c] * cased[c] / total if letters[c] else (1 - share) / max(1, len(others)) for c in alphabet}
+def _kind(sign: str) -> str:
+    return "0" if sign in DIGITS else "a" if sign in SMALL else "A" if sign.lower() in SMALL else "-"
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _sign_chance(sign: str) -> float:
+    """Of a sign among those of its kind, in ordinary strings."""
+    kind = _kind(sign)
+    if kind in "aA":
+        return (1 - ANY_LETTER) * PROSE[sign.lower()] / sum(PROSE.values()) + ANY_LETTER / len(SMALL)
+    return 1 / len(DIGITS) if kind == "0" else 1 / len("+/_-=")
 
 
-def uniformity(run: str, alphabet: str) -> tuple[float, float]:
-    """Chi-squared of the signs against the uniform one, and the p-value of an ordinary string having as low a value."""
-    signs, n, k = ALPHABETS[alphabet], len(run), len(ALPHABETS[alphabet])
-    chi2 = sum(c * c for s, c in Counter(run).items() if s in signs) * k / n - n
-    p = _ordinary(signs).values()
-    q2, q3 = sum(x * x for x in p), sum(x ** 3 for x in p)
-    mean = k * (n - 1) * q2 + k - n
-    variance = k * k * max(1e-9, 2 * (n - 1) / n * (2 * (n - 2) * q3 + q2 - (2 * n - 3) * q2 * q2))
-    return chi2, _normal_tail((mean - chi2) / math.sqrt(variance))
+_SIGNS = ALPHABETS["base64"]
+_FIRST = {sign: math.log(_sign_chance(sign) / len(NEXT_KIND)) for sign in _SIGNS}
+_NEXT = {before + sign: math.log(_sign_chance(sign) * NEXT_KIND[_kind(before)][_kind(sign)]) for before in _SIGNS for sign in _SIGNS}
 
 
-def changes_of_kind(run: str) -> float:
-    """P-value of an ordinary string having as many changes of kind. A capital and the small letter behind it are one kind."""
-    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in run]
-    seen = sum(a != b and a + b != "Aa" for a, b in zip(kinds, kinds[1:], strict=False))
-    n = len(run) - 1
-    return sum(math.comb(n, i) * CHANGES ** i * (1 - CHANGES) ** (n - i) for i in range(seen, n + 1)) if n < 256 else _normal_tail(
-        (seen - 0.5 - n * CHANGES) / math.sqrt(n * CHANGES * (1 - CHANGES)))
+def ordinary_likelihood(run: str) -> float:
+    """Natural logarithm of the chance of ``run`` among ordinary strings of its length, in small letters or in capitals, whichever is likelier."""
+    return max(_FIRST[case[0]] + sum(_NEXT[case[i:i + 2]] for i in range(len(case) - 1)) for case in (run, run.swapcase()))
 
 
-def randomness(run: str, alphabet: str) -> float:
-    """Fisher's joint p-value of the two tests against an ordinary string."""
-    product = max(1e-300, uniformity(run, alphabet)[1] * changes_of_kind(run))
-    return min(1.0, product * (1 - math.log(product)))
+def _two_sided(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def uniformity(run: str, alphabet: str) -> float:
+    """Two-sided p-value of the chi-squared statistic of the counts of signs, uniform draws assumed.
+
+    Its mean and variance for this number of signs are exact; the cube root of a gamma variable with these is nearly normal.
+    """
+    k, n = len(ALPHABETS[alphabet]), len(run)
+    if n < 2:
+        return 1.0
+    chi2 = sum(c * c for c in Counter(run).values()) * k / n - n
+    mean, variance = k - 1, 2 * (k - 1) * (n - 1) / n
+    spread = variance / (9 * mean * mean)
+    return _two_sided((math.cbrt(chi2 / mean) - (1 - spread)) / math.sqrt(spread))
+
+
+def _ranks(run: str, alphabet: str) -> list[int]:
+    rank = {sign: i for i, sign in enumerate(ALPHABETS[alphabet])}
+    return [rank[sign] for sign in run]
 
 
 def runs_test(run: str, alphabet: str) -> float:
-    """Two-sided p-value of the number of stretches above and below the middle sign."""
-    rank = {c: i for i, c in enumerate(ALPHABETS[alphabet])}
-    values = [rank[c] for c in run if c in rank]
-    middle = sorted(values)[len(values) // 2] if values else 0
+    """Two-sided p-value of the number of stretches above and below the middle sign; 0 if there is but one stretch."""
+    values = _ranks(run, alphabet)
+    middle = sorted(values)[len(values) // 2]
     above = [v >= middle for v in values]
     n1, n2 = sum(above), len(above) - sum(above)
     if not n1 or not n2:
@@ -127,20 +144,36 @@ def runs_test(run: str, alphabet: str) -> float:
     mean = 1 + 2 * n1 * n2 / n
     variance = (mean - 1) * (mean - 2) / (n - 1)
     stretches = 1 + sum(a != b for a, b in zip(above, above[1:], strict=False))
-    return 2 * _normal_tail(abs(stretches - mean) / math.sqrt(variance)) if variance > 0 else 1.0
+    return _two_sided((stretches - mean) / math.sqrt(variance)) if variance > 0 else 1.0
 
 
 def serial_correlation(run: str, alphabet: str) -> float:
-    """Two-sided p-value of the correlation of neighbouring signs."""
-    rank = {c: i for i, c in enumerate(ALPHABETS[alphabet])}
-    values = [rank[c] for c in run if c in rank]
+    """Two-sided p-value of the correlation of neighbouring signs; 0 if all are the same."""
+    values = _ranks(run, alphabet)
     n = len(values)
-    mean = sum(values) / max(1, n)
+    mean = sum(values) / n
     square = sum((v - mean) ** 2 for v in values)
     if n < 3 or not square:
         return 0.0
     r = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / square
-    return 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
+    return _two_sided((r + 1 / n) * math.sqrt(n))
+
+
+def battery(run: str, alphabet: str) -> float:
+    """Fisher's joint p-value of the three tests, uniform draws assumed."""
+    product = 1.0
+    for test in (uniformity, runs_test, serial_correlation):
+        product *= max(1e-100, test(run, alphabet))
+    x = -math.log(product)
+    return min(1.0, product * (1 + x + x * x / 2))
+
+
+def randomness(run: str, alphabet: str) -> float:
+    """P-value of an ordinary string having as much evidence of being random as ``run``; for long runs at least 1e-300."""
+    ratio = -len(run) * math.log(len(ALPHABETS[alphabet])) - ordinary_likelihood(run) - math.log(len(ALPHABETS))
+    if ratio <= 0:
+        return 1.0
+    return math.exp(-max(0.0, min(690.0, ratio + math.log(battery(run, alphabet)))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -155,21 +188,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def parts_outside(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the spans, which come by start, leave of the stretch from ``start`` to ``end``."""
+    parts = []
+    for s, e, _ in base:
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                parts.append((start, s))
+            start = max(start, e)
+    return [*parts, (start, end)] if start < end else parts
+
+
 def battery_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, alphabet, length band, p-value) of the runs outside the base spans that could be random."""
-    found = []
+    """(start, end, alphabet, length band, p-value) of every run, or part of one, outside the base spans."""
+    found, near, at = [], [], 0
     for m in RUN.finditer(text):
-        run, start, end = m.group(), m.start(), m.end()
-        if any(s < end and start < e for s, e, _ in base):
-            continue
-        core = run.rstrip("=")
-        kinds = any(c.isdigit() for c in core) + any(c.islower() for c in core) + any(c.isupper() for c in core[1:])
-        if len(core) < BANDS[0] or kinds < 2 or len(set(core)) < 8:
-            continue
-        alphabet = infer_alphabet(core)
-        p = randomness(core, alphabet)
-        if runs_test(core, alphabet) >= 1e-3 and serial_correlation(core, alphabet) >= 1e-3:
-            found.append((start, end, alphabet, length_band(len(core)), p))
+        while at < len(base) and base[at][0] < m.end():
+            near.append(base[at])
+            at += 1
+        near = [span for span in near if span[1] > m.start()]
+        for start, end in parts_outside(m.start(), m.end(), near):
+            core = text[start:end].rstrip("=")
+            if len(core) >= BANDS[0]:
+                alphabet = infer_alphabet(core)
+                found.append((start, end, alphabet, length_band(len(core)), randomness(core, alphabet)))
     return found
 
 
