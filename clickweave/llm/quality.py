@@ -176,7 +176,8 @@ def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select(doc_id.cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    learnt = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # at most ``sample`` rows
+    # At most ``sample`` rows: of the texts that share an id the least is learnt from.
+    learnt = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for batch in batches:

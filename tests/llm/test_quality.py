@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from clickweave.llm import bytescan, quality
 from clickweave.llm.queries import op7_quality
 
@@ -75,3 +77,17 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.classify(docs.limit(0), labels).collect() == []
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_repeated_ids_are_learnt_once(spark, monkeypatch):
+    rows = [(i, f"good words {i} here" if i % 2 else f"BAD {i}!!", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, label) for i, _, label in rows], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda features, good: seen.append(len(features)) or fit(features, good))
+    once = quality.fit_model(docs, labels)
+    again = docs.withColumn("text", F.concat("text", F.lit(" zz")))
+    often = quality.fit_model(docs.union(docs).union(again).union(again), labels)
+    assert seen[0] == seen[1] <= 60
+    assert (once.weights == often.weights).all() and once.bias == often.bias
