@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate, count, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -42,8 +43,8 @@ PART_BYTES = 1 << 18
 #: Size of the batches in which texts and parts reach the tasks.
 BATCH = "4m"
 CODEC = "zstd"
-#: One part in so many is looked at first for an occurrence of each frequent phrase.
-LOOKED_AT_FIRST = 16
+#: About so many parts are looked at first for an occurrence of each frequent phrase, in one task; each further turn has ``FURTHER`` times as many.
+LOOKED_AT_FIRST, FURTHER = 64, 4
 #: Most groups that are sent to every task at once (16 bytes each at most); more are joined to the parts.
 SHIPPED = 2_000_000
 #: Occurrences whose groups are counted together before they leave a task.
@@ -348,13 +349,29 @@ class Mining:
             found = reduce(DataFrame.union, [self.groups[size - 1](0).join(frequent.select("grp"), "grp", "left_semi").select(
                 F.lit(size).cast("long").alias("size"), "grp", "part") for size, frequent in phrases])
             return found.groupBy("size", "grp").agg(F.min("part").alias("part"))
-        # Most phrases are met in a few of the parts; only the rest are looked for in all.
+        # Most phrases are met in a few of the parts, and every task tells of each that it meets: few tasks look for all, more only for the rest.
         open_ = {size: np.sort(found.select("grp").toArrow().column(0).to_numpy()) for size, found in phrases}
-        some = self.words.where(F.pmod(F.xxhash64("part"), F.lit(LOOKED_AT_FIRST)) == 0)
-        met = materialized(self._look(some, open_), "phrases-homes")
-        known = met.select("size", "grp").toArrow().to_pandas()
-        rest = {size: np.setdiff1d(groups, known.grp[known["size"] == size]) for size, groups in open_.items()}
-        return met.union(self._look(self.words, rest)) if any(map(len, rest.values())) else met
+        *turns, last = self._turns()
+        homes = []
+        for parts in turns:
+            homes.append(materialized(self._look(parts, open_), "phrases-homes"))
+            met = homes[-1].select("size", "grp").toArrow().to_pandas()
+            open_ = {size: np.setdiff1d(groups, met.grp[met["size"] == size]) for size, groups in open_.items()}
+            if not any(map(len, open_.values())):
+                return reduce(DataFrame.union, homes)
+        return reduce(DataFrame.union, [*homes, self._look(last, open_)])
+
+    def _turns(self) -> list[DataFrame]:
+        """The parts dealt by chance: as many as one task looks at, then ``FURTHER`` times as many in as many more tasks and so on; last the other parts."""
+        total = self.words.count()
+        sizes = list(takewhile(lambda size: size * FURTHER <= total, (LOOKED_AT_FIRST * FURTHER ** i for i in count())))
+        if not sizes:
+            return [self.words]
+        place = F.pmod(F.xxhash64("part"), F.lit(total))
+        turn = reduce(Column.__add__, [(place >= end).cast("int") for end in accumulate(sizes)])
+        dealt = self.words.select(*_SEEN, turn.alias("turn"))
+        first = materialized(dealt.where(F.col("turn") < len(sizes)), "phrases-looked-at", "turn", CODEC)
+        return [*(first.where(F.col("turn") == i).coalesce(FURTHER ** i) for i in range(len(sizes))), dealt.where(F.col("turn") == len(sizes))]
 
     def _look(self, words: DataFrame, groups: dict[int, np.ndarray]) -> DataFrame:
         found = words.select(*_SEEN).mapInArrow(_find(self.spark.sparkContext.broadcast(groups)), _HOMES)

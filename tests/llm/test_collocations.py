@@ -63,6 +63,42 @@ def test_brute_force(spark, options):
     assert rows_of(frame, least=8, **options) == brute(docs, 8)
 
 
+def test_few_rows_tell_where_phrases_are(spark, monkeypatch):
+    """About one task tells of a phrase that is in all of them; rare phrases are looked for until they are met."""
+    rng = random.Random(3)
+    # every text has the common phrases, every fiftieth one that only it has
+    docs = [(f"{' '.join(f'common{i}' for i in range(20))} ; {f'rare{n} pair{n} , ' * 9 if n % 50 == 0 else rng.random()}", "en") for n in range(1500)]
+    frame = spark.createDataFrame(docs, "text string, lang string").repartition(16)
+    told = spark.sparkContext.accumulator(0)
+    find = collocations._find
+
+    def counted(shipped):
+        def run(batches):
+            for batch in find(shipped)(batches):
+                told.add(batch.num_rows)
+                yield batch
+        return run
+
+    monkeypatch.setattr(collocations, "_find", counted)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert rows_of(frame, least=9, part_bytes=150) == brute(docs, 9)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    frequent = 19 + 18 + 17 + 16 + 30
+    assert frequent <= told.value <= 1.5 * frequent
+
+
+def test_turns_deal_every_part_once(spark):
+    docs = made_up(7, n=1500)
+    mined = collocations.Mining(spark.createDataFrame(docs, "text string, lang string").repartition(8), 50, 2, 1000, 60)
+    turns = mined._turns()
+    assert [turn.rdd.getNumPartitions() for turn in turns[:-1]] == [collocations.FURTHER ** i for i in range(len(turns) - 1)] and len(turns) > 2
+    dealt = [r.part for turn in turns for r in turn.select("part").collect()]
+    assert sorted(dealt) == sorted(r.part for r in mined.words.select("part").collect()) and len(set(dealt)) == len(dealt)
+
+
 def test_limits(spark):
     docs = made_up(2, words=6)
     frame = spark.createDataFrame(docs, "text string, lang string")
