@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.llm import bytescan
+from clickweave.llm.shared import rows_in_arrow
 
 FEATURES = 1 << 18
 #: Most labelled rows the model is fitted on.
@@ -223,4 +224,4 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.5) -> Dat
                 good[row] = score(sent.value, present) >= threshold
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return rows_in_arrow(documents, keep)

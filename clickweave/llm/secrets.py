@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickweave.llm.shared import materialized
+from clickweave.llm.shared import materialized, rows_in_arrow
 
 KINDS = ("assign", "access", "hex")
 BATTERY = "random"
@@ -344,7 +344,7 @@ def redact(documents: DataFrame, rate: float = 1e-2) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return documents.mapInArrow(replace, documents.schema)
+    return rows_in_arrow(documents, replace)
 
 
 def spans_text(spans: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,12 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+def rows_in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator]) -> DataFrame:
+    """``df.mapInArrow`` for rows that keep their columns, whose names may hold dots; the function sees them numbered."""
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return numbered.mapInArrow(function, numbered.schema).toDF(*df.columns)
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers look for this package where the driver found it, unless they have it installed."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
