@@ -3,7 +3,9 @@
 Texts (A-Z lower-cased) are split at ``.,;:!?`` and line breaks into pieces, and these at spaces and tabs into words. The relation R1
 has an occurrence for every word, in order, with places that leave a gap behind each piece. Two neighbouring occurrences of length k make one of
 length k + 1; its group is counted over the corpus per language, and only occurrences of frequent groups are written out as the next relation
-(the semi-join), in order as before. A phrase occurs no more often than its parts, so no frequent phrase is missed.
+(the semi-join), in order as before. A phrase occurs no more often than its parts, so no frequent phrase is missed. Groups of three words and more
+are first counted by buckets of their hashes (Park, Chen and Yu's filter), which move as compact blocks; only groups in buckets that hold enough
+occurrences, as those of all frequent groups do, are counted one by one.
 
 A row of a relation is a part: about ``PART_BYTES`` of texts of one language; a longer text is cut into parts that
 overlap by what a phrase can reach, and an occurrence counts where it starts. Group counts are added up per part before they move. The frequent groups
@@ -23,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import accumulate, count, takewhile
+from itertools import accumulate, count, groupby, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +51,10 @@ LOOKED_AT_FIRST, FURTHER = 64, 4
 SHIPPED = 2_000_000
 #: Occurrences whose groups are counted together before they leave a task.
 TALLIED = 1 << 22
+#: Buckets of the filter per occurrence and least count, so that a bucket seldom holds enough by chance; fewest and most bits of their number.
+BUCKETS, BUCKET_BITS = 8, (16, 28)
+#: Buckets of the filter that move and are added up together.
+BLOCK = 1 << 16
 #: Pieces into which the phrases of a language are dealt before its leaders are taken.
 DEALS = 256
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
@@ -61,6 +67,8 @@ _WORDS = "part long, lang string, own long, n long, at binary, code binary, grou
 _RELATION = "part long, own long, at binary, grp binary"
 _SEEN = ("part", "own", "at", "code", "groups")  # what the mining itself reads of the word relation
 _GROUPS = "grp long, n long, part long"
+_COUNTED = "block long, low binary, n binary"
+_BUSY = "block long, busy binary"
 _HOMES = "size long, grp long, part long"
 _PHRASES = "grp long, lang string, phrase string, heads array<long>, tails array<long>"
 
@@ -185,6 +193,19 @@ def _kept(row: dict, shipped: Broadcast | None) -> np.ndarray:
     return shipped.value if shipped else np.sort(np.array(row["kept"] or [], np.int64))
 
 
+def _together(found: Iterator[tuple[dict, np.ndarray, np.ndarray]], most: int) -> Iterator[list]:
+    """What is found, in lists of about ``most`` occurrences."""
+    held, size = [], 0
+    for row, at, group in found:
+        held.append((row, at, group))
+        size += len(at)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _tallied(found: Iterator[tuple[dict, np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
     """Groups with their occurrences, added up over about ``most`` occurrences, or for each part if that is 0 (only then ``part`` has a meaning).
 
@@ -200,15 +221,7 @@ def _tallied(found: Iterator[tuple[dict, np.ndarray, np.ndarray]], most: int) ->
         return pa.RecordBatch.from_arrays([pa.array(groups), pa.array(n.astype(np.int64)), pa.array(np.full(len(groups), part))],
                                           schema=_schema(_GROUPS))
 
-    held, size = [], 0
-    for row, at, group in found:
-        held.append((row, at, group))
-        size += len(at)
-        if size >= most:
-            yield total(held)
-            held, size = [], 0
-    if held:
-        yield total(held)
+    yield from map(total, _together(found, most))
 
 
 def _count_words(most: int):
@@ -218,15 +231,19 @@ def _count_words(most: int):
     return run
 
 
-def _count_longer(shipped: Broadcast | None, most: int):
-    """Groups one word longer than those of the relation, of which only frequent ones count."""
+def _count_longer(shipped: Broadcast | None, most: int, busy: Broadcast | None = None):
+    """Groups one word longer than those of the relation, of which only frequent ones count; those in ``busy`` buckets, if given."""
 
     def longer(row: dict):
         at, group = _occurrences(row)
         if "code" in row:
             keep = among(group, _kept(row, shipped))
             at, group = at[keep], group[keep]
-        return row, *joined(at, group)
+        at, group = joined(at, group)
+        if busy:
+            keep = in_busy(group, busy.value)
+            at, group = at[keep], group[keep]
+        return row, at, group
 
     def run(batches):
         yield from _tallied(map(longer, _rows(batches)), most)
@@ -234,6 +251,47 @@ def _count_longer(shipped: Broadcast | None, most: int):
     return run
 
 
+def bucket(group: np.ndarray, bits: int) -> np.ndarray:
+    return (group.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def in_busy(group: np.ndarray, busy: np.ndarray) -> np.ndarray:
+    """Which groups lie in buckets whose bit is set."""
+    at = bucket(group, (len(busy) * 8).bit_length() - 1)
+    return (busy[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _count_buckets(bits: int, least: int, most: int):
+    """Occurrences one word longer than those of the relation by buckets: for each block the buckets that have any, and their counts up to ``least``."""
+
+    def blocks(held: list) -> pa.RecordBatch:
+        full, n = np.unique(np.concatenate([bucket(group[at < row["own"]], bits) for row, at, group in held]), return_counts=True)
+        low, n = (full % BLOCK).astype(np.uint16), np.minimum(n, least).astype(np.min_scalar_type(least))
+        numbers, first = np.unique(full // BLOCK, return_index=True)
+        ends = np.append(first, len(full))[1:]
+        pieces = [pa.array([values[i:k].tobytes() for i, k in zip(first, ends, strict=True)], pa.binary()) for values in (low, n)]
+        return pa.RecordBatch.from_arrays([pa.array(numbers), *pieces], schema=_schema(_COUNTED))
+
+    def run(batches):
+        yield from map(blocks, _together(((row, *joined(*_occurrences(row))) for row in _rows(batches)), most))
+
+    return run
+
+
+def _add_buckets(least: int):
+    """The bits of the buckets with ``least`` occurrences and more, from rows of ``_count_buckets`` sorted by block."""
+
+    def run(batches):
+        for block, rows in groupby(_rows(batches), lambda row: row["block"]):
+            n = np.zeros(BLOCK, np.int64)
+            for row in rows:
+                n[np.frombuffer(row["low"], np.uint16)] += np.frombuffer(row["n"], np.min_scalar_type(least))
+            if (n >= least).any():
+                yield pa.RecordBatch.from_pylist([{"block": block, "busy": np.packbits(n >= least).tobytes()}], schema=_schema(_BUSY))
+
+    return run
+
+
 def _extend(before: Broadcast | None, after: Broadcast | None):
     """The next relation: occurrences one word longer, of frequent groups only."""
 
@@ -317,18 +375,29 @@ class Mining:
         for size in range(2, longest + 1):
             if size > 2:
                 relation = materialized(self._extended(relation, before), f"phrases-{size - 1}", codec=CODEC)
-            before = self._known(relation, "kept") if size == 2 else (self._gathered(relation), None)
-            self.groups.append(lambda most, k=before: k[0].mapInArrow(_count_longer(k[1], most), _GROUPS))
+            if size == 2:
+                before, busy = self._known(relation, "kept"), None
+            else:
+                occurrences = self.frequent[-1].agg(F.sum("n")).first()[0] or 0
+                before = relation.coalesce(-(-occurrences // TALLIED) or 1), None  # so that much is added up before it moves
+                busy = self._busy(before[0], occurrences)
+            self.groups.append(lambda most, k=before, busy=busy: k[0].mapInArrow(_count_longer(k[1], most, busy), _GROUPS))
             self.frequent.append(self._frequent())
 
     def _frequent(self) -> DataFrame:
         totals = self.groups[-1](TALLIED).groupBy("grp").agg(F.sum("n").alias("n"))
         return materialized(totals.where(F.col("n") >= self.least), "phrases-frequent")
 
-    def _gathered(self, relation: DataFrame) -> DataFrame:
-        """The relation in tasks of about ``TALLIED`` occurrences, so that much is added up before it moves."""
-        occurrences = self.frequent[-1].agg(F.sum("n")).first()[0] or 0
-        return relation.coalesce(-(-occurrences // TALLIED) or 1)
+    def _busy(self, relation: DataFrame, occurrences: int) -> Broadcast:
+        """A bit for each bucket (32 MB of bits at most): whether groups one word longer than the relation's have ``least`` occurrences there together."""
+        fewest, most = BUCKET_BITS
+        bits = min(max((BUCKETS * occurrences // self.least).bit_length(), fewest), most)
+        counted = relation.mapInArrow(_count_buckets(bits, self.least, TALLIED), _COUNTED)
+        found = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_add_buckets(self.least), _BUSY).toArrow()
+        busy = np.zeros(((1 << bits) // BLOCK, BLOCK // 8), np.uint8)
+        for row in found.to_pylist():
+            busy[row["block"]] = np.frombuffer(row["busy"], np.uint8)
+        return self.spark.sparkContext.broadcast(busy.ravel())
 
     def _known(self, relation: DataFrame, name: str) -> tuple[DataFrame, Broadcast | None]:
         """The relation whose tasks know the latest frequent groups: as one array, or as a list for each part."""

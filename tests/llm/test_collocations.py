@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from clickweave.llm import collocations
@@ -90,6 +92,43 @@ def test_few_rows_tell_where_phrases_are(spark, monkeypatch):
     assert frequent <= told.value <= 1.5 * frequent
 
 
+def test_few_candidates_of_three_words(spark):
+    """Rare groups of frequent pairs are counted by buckets, not one by one."""
+    rng = random.Random(6)
+    docs = [(" ".join(f"w{rng.randrange(25)}" for _ in range(400)), "en") for _ in range(60)]
+    mined = collocations.Mining(spark.createDataFrame(docs, "text string, lang string"), 25, 4, 10**6, 1 << 18)
+    counts = Counter(tuple(w[i:i + 3]) for w in (text.split(" ") for text, _ in docs) for i in range(len(w) - 2))
+    frequent = sum(n >= 25 for n in counts.values())
+    assert mined.frequent[2].count() == frequent
+    candidates = mined.groups[2](collocations.TALLIED).count()
+    assert frequent <= candidates < len(counts) / 10
+
+
+@pytest.mark.parametrize("buckets", [None, 50])
+def test_buckets_keep_every_frequent_group(monkeypatch, buckets):
+    """No group is lost, also where many lie in each bucket; what a part only looks at does not count."""
+    if buckets:
+        monkeypatch.setattr(collocations, "bucket", lambda group, bits, bucket=collocations.bucket: bucket(group, bits) % buckets)
+    rng = np.random.default_rng(5)
+    rows, counts = [], Counter()
+    for part in range(30):
+        at, group = np.cumsum(rng.integers(1, 3, 400)), rng.integers(1, 12, 400)
+        rows.append({"part": part, "own": 500, "at": collocations._packed(np.diff(at, prepend=0)), "grp": collocations._packed(group, np.int64)})
+        at, group = collocations.joined(at, group)
+        counts.update(group[at < 500].tolist())
+    rows.append({"part": 30, "own": 1, "at": collocations._packed(np.array([1])), "grp": collocations._packed(np.array([3]), np.int64)})
+    batch = pa.RecordBatch.from_pylist(rows, schema=collocations._schema(collocations._RELATION))
+    counted = [row for most in (1, 2000) for b in collocations._count_buckets(17, 90, most)([batch]) for row in b.to_pylist()]
+    counted = pa.RecordBatch.from_pylist(sorted(counted, key=lambda row: row["block"]), schema=collocations._schema(collocations._COUNTED))
+    busy = np.zeros((2, collocations.BLOCK // 8), np.uint8)
+    for found in collocations._add_buckets(90)([counted]):
+        busy[found.column(0)[0].as_py()] = np.frombuffer(found.column(1)[0].as_py(), np.uint8)
+    groups = np.array(list(counts))
+    kept = set(groups[collocations.in_busy(groups, busy.ravel())].tolist())
+    enough = {group for group, n in counts.items() if 2 * n >= 90}  # all were counted twice
+    assert enough and enough <= kept and (buckets or kept == enough)
+
+
 def test_turns_deal_every_part_once(spark):
     docs = made_up(7, n=1500)
     mined = collocations.Mining(spark.createDataFrame(docs, "text string, lang string").repartition(8), 50, 2, 1000, 60)
