@@ -51,7 +51,9 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
 
 
 def rows_in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator]) -> DataFrame:
-    """``df.mapInArrow`` for rows that keep their columns, whose names may hold dots; the function sees them numbered."""
+    """``df.mapInArrow`` for rows that keep their columns; where names hold dots, the function sees numbered ones."""
+    if not any(sign in name for name in df.columns for sign in ".`"):
+        return df.mapInArrow(function, df.schema)
     numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return numbered.mapInArrow(function, numbered.schema).toDF(*df.columns)
 
