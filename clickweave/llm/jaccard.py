@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from clickweave.llm import bytescan
 from clickweave.llm.graph import connected_components
-from clickweave.llm.shared import materialized
+from clickweave.llm.shared import in_arrow, materialized
 
 WIDTH = 5
 #: More sets than this on one key make it hot.
@@ -241,7 +241,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
+    return in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), test, "a long, b long")
 
 
 def _pairs_of_unlucky(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -258,7 +258,7 @@ def _pairs_of_unlucky(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes), pa.array(np.concatenate(sets).astype(np.int64))], names=["node", "h"])
 
-    shingles = texts.select("text").mapInArrow(explode, "node long, h long")
+    shingles = in_arrow(texts.select("text"), explode, "node long, h long")
     own = shingles.join(unlucky, "node").withColumnRenamed("node", "a").distinct()
     return own.join(shingles.withColumnRenamed("node", "b"), "h").where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
@@ -267,8 +267,8 @@ def link_components(documents: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     named = texts.where(F.col("doc_id").isNotNull())
-    entries = named.mapInArrow(_entries, _ENTRIES)
-    found = materialized(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, _RUNS), "runs", "kind")
+    entries = in_arrow(named, _entries, _ENTRIES)
+    found = materialized(in_arrow(entries.repartition("key").sortWithinPartitions("key", "node"), _runs, _RUNS), "runs", "kind")
     classes = found.where(F.col("kind") == _CLASS)
     members = found.where(F.col("kind") == _MEMBER).select("key", "node", "info", "hot")
 
@@ -332,7 +332,7 @@ def _node_texts(texts: DataFrame, per_node: DataFrame, pairs: DataFrame) -> Data
                     seen.add(node)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return materialized(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(matching, "node long, text binary"), "texts")
+    return materialized(in_arrow(texts.join(wanted, "doc_id").select("node", "text"), matching, "node long, text binary"), "texts")
 
 
 def _without_id(texts: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def _without_id(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), batch.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
-    return texts.where(F.col("doc_id").isNull()).mapInArrow(count, "doc_id long, n_shingles long, component_id long")
+    return in_arrow(texts.where(F.col("doc_id").isNull()), count, "doc_id long, n_shingles long, component_id long")
 
 
 def one_of_each_component(documents: DataFrame) -> DataFrame:

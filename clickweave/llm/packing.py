@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickweave.llm.shared import materialized
+from clickweave.llm.shared import in_arrow, materialized
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered together; a length has as many parts as its count asks for.
@@ -78,6 +78,11 @@ class WordEncoder:
                 del known[word]
         return ids
 
+    def rest(self, between: int) -> None:
+        """Between tasks no more than this many words stay."""
+        if len(self.known) > between:
+            self.known.clear()
+
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
@@ -92,8 +97,11 @@ def _encoder(tokenizer_file: str, memory: int) -> WordEncoder:
 
 
 def token_pieces(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0,
-                 at_once: int = 256, memory: int = MEMORY) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut at the capacity."""
+                 at_once: int = 256, memory: int = MEMORY, between: int | None = None) -> DataFrame:
+    """Rows doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut at the capacity.
+
+    A worker keeps the ids of ``memory`` words, and of ``between``, if given, from a task to the next.
+    """
     step = capacity * _WIDTH
 
     def some(batch) -> Iterator[list[tuple[int, bytes]]]:
@@ -127,9 +135,10 @@ def token_pieces(documents: DataFrame, tokenizer_file: str, capacity: int = CAPA
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.rest(memory if between is None else between)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(texts, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Left:
@@ -325,7 +334,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int =
 
 
 def pack_documents(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0,
-                   memory: int = MEMORY) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset. A worker keeps the ids of ``memory`` words."""
-    pieces = materialized(token_pieces(documents, tokenizer_file, capacity, end_id, memory=memory), "pieces")
+                   memory: int = MEMORY, between: int | None = None) -> DataFrame:
+    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``memory`` and ``between`` as in token_pieces."""
+    pieces = materialized(token_pieces(documents, tokenizer_file, capacity, end_id, memory=memory, between=between), "pieces")
     return best_fit_pack(pieces, capacity)

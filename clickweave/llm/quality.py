@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickweave.llm import bytescan
-from clickweave.llm.shared import rows_in_arrow
+from clickweave.llm.shared import in_arrow, rows_in_arrow
 
 FEATURES = 1 << 18
 #: Most labelled rows the model is fitted on.
@@ -186,7 +186,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())],
                                              names=["doc_id", "good", "features"])
 
-    rows = learnt.mapInArrow(extract, "doc_id long, good boolean, features binary").collect()
+    rows = in_arrow(learnt, extract, "doc_id long, good boolean, features binary").collect()
     rows.sort(key=lambda row: (row.doc_id, row.features))
     return fit([np.frombuffer(row.features, np.int32) for row in rows], np.array([row.good for row in rows], bool))
 
@@ -200,8 +200,8 @@ def quality_scores(documents: DataFrame, model: Model) -> DataFrame:
             scores = [score(sent.value, present) for _, present in _each_text(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(each, "doc_id long, score double")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return in_arrow(texts, each, "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickweave.llm.shared import materialized, rows_in_arrow
+from clickweave.llm.shared import in_arrow, materialized, rows_in_arrow
 
 KINDS = ("assign", "access", "hex")
 BATTERY = "random"
@@ -271,7 +271,7 @@ def find_secrets(documents: DataFrame, rate: float = 1e-2) -> DataFrame:
     ``rate`` is the false-discovery rate of the battery. The counts by alphabet, band and step have a fixed number of rows.
     """
     found = materialized(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _FOUND), "secrets")
+        in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, _FOUND), "secrets")
     run = F.col("run")
     counts = found.select(F.explode("runs").alias("run")).groupBy(run.alphabet.alias("a"), run.band.alias("b"), run.step.alias("s")).count()
     lowest = thresholds([tuple(row) for row in counts.collect()], rate)
@@ -320,7 +320,7 @@ def redact(documents: DataFrame, rate: float = 1e-2) -> DataFrame:
         columns = list(zip(*[(*key, n[key]) for key in keys], strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["alphabet", "band", "step", "n"])
 
-    counts = documents.select("text").mapInArrow(count, counts_type).groupBy("alphabet", "band", "step").agg(F.sum("n")).collect()
+    counts = in_arrow(documents.select("text"), count, counts_type).groupBy("alphabet", "band", "step").agg(F.sum("n")).collect()
     lowest = thresholds([tuple(row) for row in counts], rate)
     text_at = documents.columns.index("text")
     chars_at = documents.columns.index("n_chars") if "n_chars" in documents.columns else None

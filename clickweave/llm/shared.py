@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -50,12 +53,32 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+def give_memory_back() -> None:
+    """What this process has freed, and its allocators still hold, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` whose workers, which later tasks use again, hold no memory of a task that has ended."""
+
+    def task(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_memory_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def rows_in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator]) -> DataFrame:
     """``df.mapInArrow`` for rows that keep their columns; where names hold dots, the function sees numbered ones."""
     if not any(sign in name for name in df.columns for sign in ".`"):
-        return df.mapInArrow(function, df.schema)
+        return in_arrow(df, function, df.schema)
     numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return numbered.mapInArrow(function, numbered.schema).toDF(*df.columns)
+    return in_arrow(numbered, function, numbered.schema).toDF(*df.columns)
 
 
 def workers_find_package(spark: SparkSession) -> None:

@@ -10,6 +10,8 @@ from clickweave.llm.shared import materialized, table, workers_find_package
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps: fewer than packing by itself, as the workers still hold memory of the stages before.
 WORDS_KEPT = 300_000
+#: Of them, those that stay when a task has ended, as the workers go on with other stages.
+WORDS_BETWEEN_TASKS = 30_000
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     workers_find_package(spark)
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=WORDS_KEPT)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=WORDS_KEPT, between=WORDS_BETWEEN_TASKS)
 
 
 STAGES = [
